@@ -60,19 +60,19 @@ class Lanes:
         self.top = ones << (length - 1)
         self.full = ones * ((1 << length) - 1)
         masks: dict = {}
+        steps = [0]
+        for i in range(min(length, self.lanes)):
+            steps.append(steps[-1] | 1 << (i * length))
         for p, s in enumerate(symbols):
             first, last = max(0, p - length + 1), min(p, self.lanes - 1)
             # window a holds symbol p at offset p - a, that is at bit a * width + p - a
-            masks[s] = masks.get(s, 0) | (self._steps(last - first + 1) << (p + first * length))
+            masks[s] = masks.get(s, 0) | (steps[last - first + 1] << (p + first * length))
         self.masks = masks
         self.bits = length.bit_length() + 1
 
     def _progression(self, count: int) -> int:
         return ((1 << (count * self.width)) - 1) // ((1 << self.width) - 1)
 
-    def _steps(self, count: int) -> int:
-        return ((1 << (count * self.length)) - 1) // ((1 << self.length) - 1)
-
     def within(self, text, budget: int) -> bool:
         """Whether some window is within ``budget`` edits of some substring of ``text``."""
         full, top, low, shift = self.full, self.top, self.low, self.length - 1
@@ -109,29 +109,32 @@ def window_lengths(n: int, least: int) -> list[int]:
 
 @dataclass
 class Item:
+    """A test item: its symbols, the windows that decide, the pieces sought and the gram filter."""
+
     key: int
     symbols: object
     lengths: list[int]
     piece: int
     gram: int
-    need: int
-    grams: frozenset
+    grams: list
+
+    def need(self, n: int) -> int:
+        """Grams a window of ``n`` symbols shares with its match: an edit destroys ``gram`` of them at most."""
+        return max(1, n - self.gram + 1 - self.gram * (n // PER_EDIT))
 
 
 def make_item(key: int, text: str, chinese: bool) -> Item | None:
     """Pieces and filters of one test item; None if it holds no symbol."""
     folded = fold(text or "")
-    symbols = chars_of(folded) if chinese else words_of(folded)
+    symbols = chars_of(folded) if chinese else tuple(words_of(folded))
     lengths = window_lengths(len(symbols), MIN_CHARS if chinese else MIN_WORDS)
     if not lengths:
         return None
     # pigeonhole: of budget + 1 pieces one is intact, so every passage holds an exact run this long
-    piece = min(n // (n // PER_EDIT + 1) for n in lengths)
+    piece = max(1, min(n // (n // PER_EDIT + 1) for n in lengths))
     gram = min(4 if chinese else 2, piece)
-    # an edit destroys at most `gram` of a window's grams
-    need = max(1, min(n - gram + 1 - gram * (n // PER_EDIT) for n in lengths))
-    grams = frozenset(tuple(symbols[i : i + gram]) for i in range(len(symbols) - gram + 1))
-    return Item(key, symbols, lengths, piece, gram, need, grams)
+    grams = [symbols[i : i + gram] for i in range(len(symbols) - gram + 1)]
+    return Item(key, symbols, lengths, piece, gram, grams)
 
 
 class Searcher:
@@ -177,7 +180,7 @@ class Searcher:
                     hits.setdefault(at, []).append(end)
             out += self._verified(symbols, hits)
         if False in self.automata:
-            words = words_of(folded)
+            words = tuple(words_of(folded))
             flat = " " + " ".join(words) + " "
             hits = {}
             starts = None
@@ -189,51 +192,65 @@ class Searcher:
                         at_char += len(w) + 1
                 for at in spots:
                     hits.setdefault(at, []).append(bisect_right(starts, end - 1) - 1)
-            if hits:
-                out += self._verified(words, hits)
+            out += self._verified(words, hits)
         return out
 
     def _verified(self, symbols, hits: dict[int, list[int]]) -> list[int]:
+        """Items whose gram matches and windows bear the hits out."""
+        if not hits:
+            return []
+        reach = max(len(self.items[at].symbols) for at in hits) * (PER_EDIT + 1) // PER_EDIT + 1
+        where: dict[int, dict] = {}
+        spans: list[list[int]] = []
+        for end in sorted({e for ends in hits.values() for e in ends}):
+            if spans and end - reach <= spans[-1][1]:
+                spans[-1][1] = end + reach
+            else:
+                spans.append([max(0, end - reach), end + reach])
         out = []
-        for at, ends in hits.items():
+        for at in hits:
             item = self.items[at]
-            reach = len(item.symbols) + len(item.symbols) // PER_EDIT + 1
-            low = None
-            for end in ends:
-                if low is None:
-                    low, high = end - reach, end + reach
-                elif end - reach <= high:
-                    high = end + reach
-                else:
-                    if self._holds(at, symbols[max(0, low) : high + 1]):
-                        break
-                    low, high = end - reach, end + reach
-            else:
-                if low is None or not self._holds(at, symbols[max(0, low) : high + 1]):
-                    continue
-            out.append(item.key)
+            g = item.gram
+            if g not in where:
+                # positions of the grams of the document around its hits, once for all items
+                found: dict = {}
+                for low, high in spans:
+                    for j in range(low, min(high, len(symbols) - g + 1)):
+                        found.setdefault(symbols[j : j + g], []).append(j)
+                where[g] = found
+            if self._holds(at, symbols, where[g]):
+                out.append(item.key)
         return out
 
-    def _holds(self, at: int, region) -> bool:
+    def _holds(self, at: int, symbols, where: dict) -> bool:
         item = self.items[at]
-        g = item.gram
-        seen = {tuple(region[i : i + g]) for i in range(len(region) - g + 1)} & item.grams
-        if len(seen) < item.need - self._repeats(item):
-            return False
-        for n in item.lengths:
-            lanes = self.lanes.get((at, n))
-            if lanes is None:
-                lanes = Lanes(item.symbols, n)
-                if n == item.lengths[0] and len(self.lanes) < 1024:
-                    self.lanes[at, n] = lanes
-            if lanes.within(region, n // PER_EDIT):
-                return True
+        most = len(item.symbols) // PER_EDIT + 1
+        # matching grams by diagonal; a passage drifts by its edits at most, so two bands hold it
+        bands: dict[int, set[int]] = {}
+        for p, gram in enumerate(item.grams):
+            for j in where.get(gram, ()):
+                band = (j - p) // most
+                bands.setdefault(band, set()).add(j)
+                bands.setdefault(band + 1, set()).add(j)
+        for spots in bands.values():
+            if len(spots) < item.need(item.lengths[0]):
+                continue
+            spots = sorted(spots)
+            for n in item.lengths:
+                need, budget = item.need(n), n // PER_EDIT
+                width = n + budget
+                dense = [i for i in range(len(spots) - need + 1) if spots[i + need - 1] - spots[i] <= width]
+                if dense and self._lanes(at, n).within(symbols[max(0, spots[dense[0]] - width) : spots[dense[-1] + need - 1] + width + item.gram], budget):
+                    return True
         return False
 
-    @staticmethod
-    def _repeats(item: Item) -> int:
-        """Grams an item holds more than once count once in a set."""
-        return len(item.symbols) - item.gram + 1 - len(item.grams)
+    def _lanes(self, at: int, n: int) -> Lanes:
+        lanes = self.lanes.get((at, n))
+        if lanes is None:
+            lanes = Lanes(self.items[at].symbols, n)
+            if n == self.items[at].lengths[0] and len(self.lanes) < 1024:
+                self.lanes[at, n] = lanes
+        return lanes
 
 
 _SEARCHERS: dict[int, Searcher] = {}
