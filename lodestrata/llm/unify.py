@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import is_no_value
+from ..session import materialize
 
 # Letters of other scripts that look like a Latin letter of the same case.
 LOOK_ALIKES = {
@@ -60,6 +61,17 @@ def _decompose(ch: str) -> str:
     return "".join(_decompose(chr(int(c, 16))) for c in codes)
 
 
+def _ranges(chars) -> str:
+    """The body of a character class, neighbours as ranges: lone characters beyond the BMP are slow to test."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if out and code <= out[-1][1] + 1 + 8 * (code > 0xFFFF):
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
 class Transducer:
     """A longest-match rewriting of grapheme clusters, compiled from the mappings and checked.
 
@@ -71,20 +83,25 @@ class Transducer:
     def __init__(self, look_alikes: dict[str, str] = LOOK_ALIKES, signs: dict[str, str] = SIGNS) -> None:
         self._direct = {**look_alikes, **signs}
         self.table: dict[str, str] = {}
+        skip = {*_SPACES, *_INVISIBLE, *_MARKS}
         for code in range(0x80, 0x30000):
             ch = chr(code)
-            if ch in _SPACES or ch in _INVISIBLE or ch in _MARKS:
+            if (ch not in self._direct and not unicodedata.decomposition(ch)) or ch in skip:
                 continue
             target = self._cluster(ch)
             if target != ch:
                 self.table[ch] = target
         self._check(look_alikes)
-        keys = re.escape("".join(self.table))
+        keys = _ranges(self.table)
         spaces, hidden, marks = re.escape(_SPACES), re.escape(_INVISIBLE), re.escape(_MARKS)
         # alternatives in order of length: runs of blanks and invisibles, clusters, single characters
         self._pattern = re.compile(
             f"[{hidden}]*[{spaces}][{spaces}{hidden}]*|[{hidden}]+|[^{spaces}{hidden}][{marks}{hidden}]*[{marks}][{marks}{hidden}]*|[{keys}]"
         )
+        odd = re.escape(_SPACES.replace(" ", ""))
+        # most texts hold no combining mark; without one no cluster is longer than its character
+        self._marked = re.compile(f"[{marks}]")
+        self._plain = re.compile(f"[{hidden}{spaces}]{{2,}}|[{hidden}{odd}{keys}]")
         self._memo: dict[str, str] = dict(self.table)
 
     def _cluster(self, cluster: str) -> str:
@@ -112,7 +129,7 @@ class Transducer:
         cluster = match.group()
         found = self._memo.get(cluster)
         if found is None:
-            if any(c in _SPACES for c in cluster):
+            if any(c in _SPACES for c in cluster) and not any(c not in _SPACES and c not in _INVISIBLE for c in cluster):
                 found = " "
             else:
                 found = self._cluster(cluster)
@@ -121,7 +138,10 @@ class Transducer:
         return found
 
     def __call__(self, text: str) -> str:
-        return self._pattern.sub(self._replace, text).strip(" ")
+        if text.isascii():
+            return " ".join(text.split()) if not text.isprintable() or "  " in text else text.strip(" ")
+        pattern = self._pattern if self._marked.search(text) else self._plain
+        return pattern.sub(self._replace, text).strip(" ")
 
 
 @lru_cache(maxsize=1)
@@ -154,8 +174,11 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     digest, so that a form held by most rows costs no more than its spellings; only then are the
     rows of each spelling looked up. An empty table gives no rows.
     """
-    forms = df.where(~is_no_value(F.col(text))).select(
-        F.col(key).alias("__id"), F.unhex(F.md5(F.col(text))).alias("__raw"), F.unhex(F.md5(unified(F.col(text)))).alias("__form")
+    # digests of all texts are written once, as they are read four times below
+    forms = materialize(
+        df.where(~is_no_value(F.col(text))).select(
+            F.col(key).alias("__id"), F.unhex(F.md5(F.col(text))).alias("__raw"), F.unhex(F.md5(unified(F.col(text)))).alias("__form")
+        )
     )
     spellings = forms.groupBy("__form", "__raw").agg(F.count(F.lit(1)).alias("__n"))
     several = spellings.groupBy("__form").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("__form")
