@@ -28,6 +28,11 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, rf"^(?:{SPACES}|﻿)+|(?:{SPACES}|﻿)+$", "")
 
 
+def trim_spaces(col: Column) -> Column:
+    """Trim any Unicode white space from both ends, nothing else."""
+    return F.regexp_replace(col, rf"^{SPACES}+|{SPACES}+$", "")
+
+
 def is_no_value(col: Column) -> Column:
     """True for null, blank, and marks that stand for nothing; never null."""
     bare = F.upper(strip(half_width(col)))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_queries
+from . import quality_queries, reference_queries
 
-_MODULES = [quality_queries]
+_MODULES = [quality_queries, reference_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
