@@ -53,7 +53,7 @@ _MARKS = "".join(chr(c) for r in ((0x300, 0x370), (0x483, 0x488), (0x1AB0, 0x1B0
 def _decompose(ch: str) -> str:
     """Full decomposition, except where it would change the look."""
     form = unicodedata.decomposition(ch)
-    if not form or form.startswith(_VISIBLE):
+    if not form or form.startswith(_VISIBLE) or " 0020" in form:  # the last: spacing accents
         return ch
     codes = form.split()
     if codes[0].startswith("<"):
