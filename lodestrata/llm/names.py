@@ -15,7 +15,7 @@ from .name_parts import Lexicon, damerau, parse_name
 #: Names looked at to choose pivots, and most pivots.
 SAMPLE, MAX_PIVOTS = 1024, 96
 #: Copies of a part's code in the compared string: two parts that differ are that far apart.
-CODE = 12
+CODE = 9
 #: Edits (adjacent swaps count one) between two spellings of a stem, by kind of name.
 RADIUS = {"zh": 1, "latin": 2, "person": 2}
 
@@ -111,9 +111,11 @@ def radius_pairs(strings: DataFrame) -> DataFrame:
     if not pivots:
         return spark.createDataFrame([], "sid_a bigint, sid_b bigint, d int")
     distances = F.array(*[F.levenshtein(full, F.lit(p)) for p in pivots])
-    placed = strings.withColumn("dist", distances).withColumn("reach", F.array_min("dist") + 4 * F.col("radius"))
+    # distances to all pivots are the costly part: spread them evenly, and compute them once
+    placed = strings.repartition(spark.sparkContext.defaultParallelism * 2, "sid").withColumn("dist", distances).withColumn("reach", F.array_min("dist") + 4 * F.col("radius"))
     cells = F.filter(F.transform("dist", lambda d, i: F.when(d <= F.col("reach"), i)), lambda c: c.isNotNull())
     placed = placed.withColumn("home", (F.array_position("dist", F.array_min("dist")) - 1).cast("int")).withColumn("cells", cells)
+    placed = materialize(placed.select("sid", "code", "stem", "radius", "home", "cells"))
 
     def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,7 +126,7 @@ def radius_pairs(strings: DataFrame) -> DataFrame:
                     rows += [(int(c), hash_key(code, v), sid, stem, int(radius), int(c) == home) for c in at]
             yield pd.DataFrame(rows, columns=["cell", "variant", "sid", "stem", "radius", "at_home"])
 
-    keyed = placed.select("sid", "code", "stem", "radius", "home", "cells").mapInPandas(
+    keyed = placed.mapInPandas(
         variants, "cell int, variant string, sid bigint, stem string, radius int, at_home boolean"
     )
     left, right = keyed.where("at_home").alias("x"), keyed.alias("y")
