@@ -15,7 +15,7 @@ from .name_parts import Lexicon, damerau, parse_name
 #: Names looked at to choose pivots, and most pivots.
 SAMPLE, MAX_PIVOTS = 1024, 96
 #: Copies of a part's code in the compared string: two parts that differ are that far apart.
-CODE = 9
+CODE = 12
 #: Edits (adjacent swaps count one) between two spellings of a stem, by kind of name.
 RADIUS = {"zh": 1, "latin": 2, "person": 2}
 
@@ -117,6 +117,8 @@ def radius_pairs(strings: DataFrame) -> DataFrame:
     placed = placed.withColumn("home", (F.array_position("dist", F.array_min("dist")) - 1).cast("int")).withColumn("cells", cells)
     placed = materialize(placed.select("sid", "code", "stem", "radius", "home", "cells"))
 
+    columns = ["cell", "variant", "sid", "stem", "radius", "at_home"]
+
     def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -124,7 +126,10 @@ def radius_pairs(strings: DataFrame) -> DataFrame:
                 for v in deletions(stem, radius):
                     # one run of a code's copies is enough once strings are compared within a cell
                     rows += [(int(c), hash_key(code, v), sid, stem, int(radius), int(c) == home) for c in at]
-            yield pd.DataFrame(rows, columns=["cell", "variant", "sid", "stem", "radius", "at_home"])
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     keyed = placed.mapInPandas(
         variants, "cell int, variant string, sid bigint, stem string, radius int, at_home boolean"

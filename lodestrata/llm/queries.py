@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import NO_VALUE_MARKS
 from ..session import table
 from . import leaks, names, packing, reading, survivors, unify
 
@@ -93,4 +94,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_forms, p5_found, p5_entities, p7_packing, p8_found, p9_found, p9_levels)}
-SQL: dict[str, str] = {}
+_MARKS = "('', " + ", ".join("'" + m + "'" for m in NO_VALUE_MARKS) + ")"
+_KEY = "CASE WHEN upper(trim(application_no)) NOT IN " + _MARKS + r" THEN nullif(regexp_replace(regexp_replace(upper(application_no), '[^\p{L}\p{Nd}]', '', 'g'), '^CN', ''), '') END"
+_DATE = "try_strptime(trim(application_date), ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y/%m/%d', '%Y.%m.%d', '%Y%m%d', '%Y年%m月%d日'])"
+_BARE = r"""coalesce(regexp_replace(ipc_all_raw, '[;；,，、|｜"''“”\[\]\s]+', '', 'g'), '')"""
+
+
+def _survivor_sql(name: str, source: str, key: str, competes: str) -> str:
+    return f"""SELECT 'CN' || left(app, length(app) - 1) || '.' || right(app, 1) AS application_no, '{name}' AS field_name, arg_max(id, ROW(-trust, ts, id)) FILTER (WHERE ok) AS holder_id FROM
+ (SELECT app, {key} AS id, coalesce(trust_rank, 2147483647) AS trust, epoch_us(loaded_at) AS ts, {competes} AS ok FROM (SELECT *, {_KEY} AS app FROM {source}) AS t LEFT JOIN feeds USING (feed_code) WHERE app IS NOT NULL) GROUP BY app HAVING count(*) >= 2 AND bool_or(ok)"""
+
+
+SQL: dict[str, str] = {
+    "p2_found": " UNION ALL ".join([
+        _survivor_sql("application_date", "raw_records", "rec_id", f"{_DATE} IS NOT NULL"),
+        _survivor_sql("ipc_all_raw", "raw_records", "rec_id", f"upper({_BARE}) NOT IN {_MARKS}"),
+        _survivor_sql("abstract_clean", "text_records", "text_id", f"coalesce(upper(trim(abstract_clean)), '') NOT IN {_MARKS} AND length(abstract_clean) >= 0.8 * max(length(abstract_clean)) OVER (PARTITION BY app)"),
+    ])
+}
