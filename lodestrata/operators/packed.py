@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import NO_VALUE_MARKS, half_width, is_no_value
@@ -47,6 +48,9 @@ CODE = r"[A-Za-z][0-9]{2}[A-Za-z]\s*[0-9]+\s*[/／]\s*[0-9]+(?:\s*[\[(（][0-9]{
 
 _CUT = "\u0001"
 
+#: Occurrences over all sources that weigh as much as those of the source itself.
+PRIOR = 20.0
+
 
 def skeleton(value: Column, piece: str = CODE) -> Column:
     """The layout of a packed field: quoted and regular pieces become one letter each, ends are bare."""
@@ -66,7 +70,8 @@ def score_delimiters(
     Rows are reduced to layouts before the shuffle, so a source holding most rows costs its few
     layouts only. ``regular`` is the share of a candidate's occurrences that stand between two
     regular pieces, ``consistent`` the share of values using it whose piece count equals their count
-    of regular pieces; ``score`` is their product. Null values are ignored; an empty input gives no rows.
+    of regular pieces, both shrunk by PRIOR occurrences towards their value over all sources;
+    ``score`` is their product. Null values are ignored; an empty input gives no rows.
     """
     candidates = candidates or CANDIDATES
     layouts = (
@@ -94,15 +99,20 @@ def score_delimiters(
         F.size(F.filter(F.split("__layout", any_cut), lambda p: F.trim(p) != "")).alias("__pieces"),
         F.explode(F.array(*stats)).alias("s"),
     ).where("s.hits > 0")
-    used = F.sum("__n")
+    counted = per_layout.groupBy(*source, F.col("s.candidate").alias("candidate"), F.col("s.pattern").alias("pattern")).agg(
+        F.sum("__n").alias("n_values"),
+        F.sum(F.col("__n") * F.col("s.good")).alias("__good"),
+        F.sum(F.col("__n") * F.col("s.hits")).alias("__hits"),
+        F.sum(F.when(F.col("__typed") == F.col("__pieces"), F.col("__n")).otherwise(0)).alias("__even"),
+    )
+    # a source with few occurrences leans on what the candidate does in all sources
+    everywhere = W.partitionBy("candidate")
+    shrunk = lambda a, n: (F.col(a) + PRIOR * F.sum(a).over(everywhere) / F.sum(n).over(everywhere)) / (F.col(n) + PRIOR)
     return (
-        per_layout.groupBy(*source, F.col("s.candidate").alias("candidate"), F.col("s.pattern").alias("pattern"))
-        .agg(
-            used.alias("n_values"),
-            F.try_divide(F.sum(F.col("__n") * F.col("s.good")), F.sum(F.col("__n") * F.col("s.hits"))).alias("regular"),
-            F.try_divide(F.sum(F.when(F.col("__typed") == F.col("__pieces"), F.col("__n")).otherwise(0)), used).alias("consistent"),
-        )
+        counted.withColumn("regular", shrunk("__good", "__hits"))
+        .withColumn("consistent", shrunk("__even", "n_values"))
         .withColumn("score", F.col("regular") * F.col("consistent"))
+        .drop("__good", "__hits", "__even")
     )
 
 

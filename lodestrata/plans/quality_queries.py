@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import packed, parse_lines, skew
 from ..functions.dates import full_date
+from ..functions.values import NO_VALUE_MARKS
 from ..session import table
 
 
@@ -85,5 +86,69 @@ def p6_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_delimiters, p3_found, p3_sound, p6_found, p6_firms)}
-SQL: dict[str, str] = {}
+def _logical_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_lines written as one export and scanned in every mode: records and fields found."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.logical_csv import MODES, read_logical
+
+    path = f"{shared_dir(spark)}/lodestrata-export-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "raw_lines").select("raw_text").where("raw_text is not null").write.text(path)
+    out = None
+    for mode in MODES:
+        size = F.size("fields")
+        part = read_logical(spark, path, mode, split_bytes=1 << 20).select(F.lit(mode).alias("mode"), size.alias("n_fields"), (F.length(F.coalesce(F.get("fields", F.lit(28)), F.lit(""))) > 0).alias("has_abstract"))
+        out = part if out is None else out.unionAll(part)
+    return out.groupBy("mode", "n_fields").agg(F.count(F.lit(1)).alias("n_records"), F.count_if("has_abstract").alias("n_abstracts"))
+
+
+def logical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four scanners over one export."""
+    return _logical_modes(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_delimiters, p3_found, p3_sound, p6_found, p6_firms, logical_records)}
+
+# ---- the same in DuckDB -------------------------------------------------------------------------
+
+_NONE = "('', " + ", ".join("'" + m.replace("'", "''") + "'" for m in NO_VALUE_MARKS) + ")"
+_HALF = "translate(@@, '" + "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "\u3000', '" + "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''") + " ')"
+
+
+def half(c: str) -> str:
+    return _HALF.replace("@@", c)
+
+
+def no_value(c: str) -> str:
+    return f"(coalesce(upper(trim({half(c)})), '') IN {_NONE})"
+
+
+def full_date_sql(c: str) -> str:
+    return f"try_strptime(trim({half(c)}), ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y/%m/%d', '%Y.%m.%d', '%Y%m%d', '%Y年%m月%d日'])::date"
+
+
+_CLEAN = r"""regexp_replace(regexp_replace(x, '[\s\x01\x{a0}\x{3000}]+', '', 'g'), '^["''“”‘’]+|["''“”‘’]+$', '', 'g')"""
+_PIECES = rf"""f AS (SELECT rec_id, 'ipc_all_raw' AS field_name, ipc_all_raw AS v FROM raw_records UNION ALL SELECT rec_id, 'ipc_main_raw', ipc_main_raw FROM raw_records),
+b AS (SELECT rec_id, field_name, regexp_replace(v, '^\s*\[((?s).*)\]\s*$', '\1') AS v FROM f WHERE NOT {no_value('v')}),
+c AS (SELECT rec_id, field_name, regexp_replace(regexp_replace(v, '([0-9)\]INin])([ \x{{a0}}]+)([A-Za-z][0-9?])', '\1' || chr(1) || '\2' || chr(1) || '\3', 'g'), '([;；,，、|｜\r\n\t\x{{3000}}]+)', chr(1) || '\1' || chr(1), 'g') AS v FROM b),
+d AS (SELECT rec_id, field_name, regexp_extract_all(v, '[\s\[\x01]*(?:"[^"]*"|''[^'']*''|“[^”]*”)[^\x01]*|[^\x01]+') AS l FROM c),
+e AS (SELECT rec_id, field_name, list_transform(l, lambda x: upper({half(_CLEAN)})) AS l FROM d),
+g AS (SELECT rec_id, field_name, list_filter(l, lambda x: NOT regexp_full_match(x, '[;,、|.&+#]*') AND x NOT IN {_NONE}) AS l FROM e),
+p AS (SELECT rec_id, field_name, len(l) AS n, unnest(range(1, len(l) + 1))::int AS pos, unnest(l) AS ipc_value FROM g)"""
+
+_FIELD = r'"(?:[^"]|"")*"|[^",][^,]*|'
+_PARSED = rf"""q AS (SELECT row_id, raw_text, regexp_full_match(raw_text, '(?s)(?:{_FIELD})(?:,(?:{_FIELD}))*') AS ok FROM raw_lines),
+w AS (SELECT row_id, ok, CASE WHEN ok THEN list_transform(regexp_extract_all(',' || raw_text, '(?s),({_FIELD})', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) END AS l FROM q),
+r AS (SELECT row_id, l, CASE WHEN ok IS NULL THEN 'column_count' WHEN NOT ok THEN 'quoting' WHEN len(l) <> 31 THEN 'column_count' WHEN NOT regexp_matches(l[1], '\p{{Nd}}') THEN 'stock_code' WHEN {no_value('l[17]')} THEN 'application_no'
+ WHEN {full_date_sql('l[18]')} IS NULL THEN 'application_date' WHEN regexp_matches(l[29], '[\x{{fffd}}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]') THEN 'abstract' END AS fail_reason FROM w)"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"WITH {_PIECES} SELECT rec_id, field_name, pos, ipc_value FROM p WHERE n >= 2",
+    "p1_values": f"WITH {_PIECES} SELECT rec_id, field_name, pos, ipc_value FROM p",
+    "p3_found": f"WITH {_PARSED} SELECT row_id, fail_reason FROM r WHERE fail_reason IS NOT NULL",
+    "p3_sound": f"WITH {_PARSED} SELECT row_id, {', '.join(f'l[{i + 1}] AS {c}' for i, c in enumerate(parse_lines.COLUMNS))} FROM r WHERE fail_reason IS NULL",
+    "p6_found": "SELECT 'stkcd' AS field_name, stkcd AS key_value FROM raw_records WHERE stkcd IS NOT NULL GROUP BY stkcd HAVING count(*) >= 0.02 * (SELECT count(stkcd) FROM raw_records)"
+    " UNION ALL SELECT 'listed_parent', listed_parent FROM text_records WHERE listed_parent IS NOT NULL GROUP BY listed_parent HAVING count(*) >= 0.02 * (SELECT count(listed_parent) FROM text_records)",
+    "p6_firms": f"SELECT stkcd, count(*) AS n_rows, count(d) AS n_dated, min(d) AS first_date, max(d) AS last_date, max(loaded_at) AS last_loaded, count(DISTINCT application_no) AS n_applications FROM (SELECT *, {full_date_sql('application_date')} AS d FROM raw_records) GROUP BY stkcd",
+}

@@ -4,7 +4,7 @@ SCHEMA = "id bigint, src string, v string, pieces_ int"
 
 
 def run(spark, values, filler=True):
-    base = [(1000 + i, "s", f"A01B1/0{i}{sep}C02D3/1{i}", 0) for i in range(1, 6) for sep in (";", "; ", "|", "、", "\n", "  ", "，", "\t", "　", "||", " | ")] if filler else []
+    base = [(1000 + i, "s", f"A01B1/0{i}{sep}C02D3/1{i}", 0) for i in range(1, 6) for sep in ("；", ";", "; ", "|", "、", "\n", "  ", "，", "\t", "　", "||", " | ")] if filler else []
     df = spark.createDataFrame(base + [(i, "s", v, 0) for i, v in enumerate(values)], SCHEMA)
     out = packed.split_packed(df, ["src"], "v")
     return {r.id: r.pieces for r in out.collect() if r.id < 1000}
@@ -28,7 +28,7 @@ def test_separators_quotes_and_layout(spark):
 def test_unused_separator_is_not_inferred(spark):
     df = spark.createDataFrame([(i, "s", "A01B1/02-x, y", 0) for i in range(20)] + [(100 + i, "t", "A01B1/02,C02D3/14", 0) for i in range(20)], SCHEMA)
     scores = {(r.src, r.candidate): r.score for r in packed.score_delimiters(df, ["src"], "v").collect()}
-    assert scores[("t", "comma")] == 1.0 and scores.get(("s", "comma"), 0) < 0.5
+    assert scores[("t", "comma")] > 0.5 and scores.get(("s", "comma"), 0) < 0.5
 
 
 def test_empty_null_source_and_long(spark):

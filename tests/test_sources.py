@@ -81,7 +81,7 @@ def zipped(**members):
 
 
 def test_schemes():
-    rows = {r["ipc_code"]: r for r in D.scheme_rows(zipped(EN_ipc_scheme___xml=FLAT))}
+    rows = {r["ipc_code"]: r for r in D.scheme_rows(zipped(EN_ipc_scheme_x__xml=FLAT))}
     assert rows["H"]["title_en"] == "ELECTRICITY" and rows["H01L21/3065"] == {"ipc_code": "H01L21/3065", "ipc_level": "subgroup", "parent_code": "H01L21/00", "title_en": "ETCH ING"}
     rows = {r["ipc_code"]: r for r in D.scheme_rows(zipped(only__xml=TREE))}
     assert rows["H01"]["parent_code"] == "H" and rows["H01"]["title_en"] == "BASIC" and "H02" not in rows
@@ -103,7 +103,7 @@ def test_wrapped_titles():
 
 
 def test_sources_in_spark(spark, tmp_path):
-    (tmp_path / "a.zip").write_bytes(zipped(EN_ipc_scheme___xml=FLAT))
+    (tmp_path / "a.zip").write_bytes(zipped(EN_ipc_scheme_x__xml=FLAT))
     assert D.read_dictionary_source(spark, str(tmp_path), "scheme").count() == 2
     assert len(D.source_hashes(spark, str(tmp_path)).first().sha256) == 64
     (tmp_path / "m.tsv").write_text("CN1\tNA\n")
