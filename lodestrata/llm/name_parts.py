@@ -266,6 +266,8 @@ def _parse_person(text: str) -> tuple[str, str, str, str] | None:
     if len(long) != 1 or len(givens) > 1 or (not givens and not small):
         return None
     letters = "".join(small)
+    if not givens and letters in LATIN_LEGAL and not re.match(r"\w\.? \w\.? ", text):
+        return None  # A.G., K.K.
     if givens:
         return ("person", _plain(long[0]), GIVEN[givens[0]], letters[:1]) if len(letters) <= 1 else None
     return ("person", _plain(long[0]), letters[0], letters[1:2]) if len(letters) <= 2 else None
