@@ -1,6 +1,6 @@
 """Jobs from files to files: code metrics, text metrics, similarity, dictionary and audits.
 
-``python -m lodestrata.plans.jobs codes|text|similarity|dictionary|audit --config FILE``
+``python -m lodestrata.plans.jobs codes|coverage|text|similarity|dictionary|audit --config FILE``
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, load_config
 from ..functions import codes, keys
-from ..functions.dates import lenient_date, ordinal_label, quarter_ordinal
+from ..functions.dates import lenient_date, ordinal_label, quarter_label, quarter_ordinal
 from ..functions.text import clean_text, combine_text, words
 from ..operators import audits, code_metrics, records, similarity, text_records
 from ..operators.parse_lines import POSITIONS
@@ -193,10 +193,29 @@ def run_audit(spark: SparkSession, config: Config) -> dict:
     return facts
 
 
+def run_coverage(spark: SparkSession, config: Config) -> dict:
+    """Coding coverage by quarter and dimension over the outputs of the code job."""
+    out = config.output
+    universe, edges = spark.read.parquet(f"{out}/patent_universe"), spark.read.parquet(f"{out}/patent_firm_edge").where("baseline_eligible = 1")
+    valid = dict_sources.read_dictionary(spark, config.dictionary).where("is_valid and ipc_level = 'subclass'").select(F.col("ipc_code").alias("s")).distinct()
+    coded = universe.select("application_no", F.explode("ipc_subclasses").alias("s")).join(valid, "s", "left_semi").select("application_no").distinct().withColumn("has_ipc", F.lit(True))
+    held = edges.groupBy("application_no").agg(audits.collapse(F.collect_set("relation_type")).alias("relation"), audits.collapse(F.collect_set(F.nullif(F.col("applicant_type"), F.lit("")))).alias("applicant_type"))
+    apps = universe.select("application_no", "application_date", "patent_type_group").join(coded, "application_no", "left").join(held, "application_no", "left")
+    apps = apps.select(F.year("application_date").alias("year"), quarter_label(F.col("application_date")).alias("quarter"), "patent_type_group", "relation", "applicant_type", F.coalesce("has_ipc", F.lit(False)).alias("has_ipc"))
+    coverage = audits.coverage_by_dimension(apps, ["patent_type_group", "relation", "applicant_type"])
+    sinks.write_parquet(coverage, f"{out}/coverage")
+    coverage = spark.read.parquet(f"{out}/coverage")
+    annual = audits.coverage_annual(coverage)
+    sinks.write_csv(annual, f"{out}/coverage_annual_csv")
+    facts = {"rows": coverage.count(), "applications": universe.count()}
+    sinks.write_report(f"{out}/coverage.md", "Coverage", facts, {"By year": annual.where("dimension = 'overall'").orderBy("year")})
+    return facts
+
+
 def main(argv: list[str] | None = None) -> int:
     """Command line of the jobs."""
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=["codes", "text", "similarity", "audit", "dictionary"])
+    parser.add_argument("job", choices=["codes", "coverage", "text", "similarity", "audit", "dictionary"])
     parser.add_argument("--config", required=True)
     args = parser.parse_args(argv)
     spark = build_session()
@@ -206,7 +225,7 @@ def main(argv: list[str] | None = None) -> int:
         given = json.loads(Path(args.config).read_text(encoding="utf-8"))
         print(build_dictionary(spark, given["sources"], given["output"]))
         return 0
-    print({"codes": run_codes, "text": run_text, "similarity": run_similarity, "audit": run_audit}[args.job](spark, load_config(args.config)))
+    print({"codes": run_codes, "coverage": run_coverage, "text": run_text, "similarity": run_similarity, "audit": run_audit}[args.job](spark, load_config(args.config)))
     return 0
 
 

@@ -603,3 +603,117 @@ def similarity_firm(spark, d):
     _, scored = _similarity(spark, d)
     edges = records.firm_edges(_records(spark, d)).where("baseline_eligible = 1").select("listed_parent", F.col("application_no").alias("app"))
     return similarity.quality_summary(scored.join(edges, "app"), ["listed_parent", "q"]).select("listed_parent", ordinal_label(F.col("q")).alias("quarter"), "patent_count", "quality_mean", "quality_median", "bs_mean", "fs_mean")
+
+
+# ---- remaining counts, sources and streams ----------------------------------------------------------
+
+
+@query(
+    f"{S.CORE}\n#SELECT {S.quarter('application_date')} AS quarter, count(*) AS granted_count FROM core WHERE patent_type_group = 'invention' AND (coalesce(grant_no, '') <> '' OR grant_date IS NOT NULL) AND application_date IS NOT NULL GROUP BY 1"
+)
+def granted_counts(spark, d):
+    """Granted inventions per quarter."""
+    core = records.canonical_core(_records(spark, d)).where("application_date is not null")
+    granted = core.where(codes.granted_invention(F.col("patent_type_group"), F.col("grant_no"), F.col("grant_date")) == 1)
+    return granted.groupBy(quarter_label(F.col("application_date")).alias("quarter")).agg(F.count(F.lit(1)).alias("granted_count"))
+
+
+@query(
+    f"{S.PAIRS}\n#SELECT year(application_date) AS year, count(DISTINCT application_no) AS n_applications, count(*) AS n_pairs, sum(historical_first)::bigint AS n_first, max(historical_total_pair_count) AS max_history FROM ev GROUP BY 1"
+)
+def yearly_history(spark, d):
+    """Pair history by year: sums and maxima."""
+    return _events(spark, d).groupBy(F.year("application_date").alias("year")).agg(
+        F.count_distinct("application_no").alias("n_applications"), F.count(F.lit(1)).alias("n_pairs"), F.sum("historical_first").alias("n_first"), F.max("historical_total_pair_count").alias("max_history")
+    )
+
+
+@query(f"{S.CORE}\n#SELECT source_record_count, count(*) AS n_applications, sum(application_date_conflict)::bigint AS n_date_conflicts, sum(ipc_conflict_flag)::bigint AS n_code_conflicts, sum(metadata_conflict_flag)::bigint AS n_metadata_conflicts FROM core GROUP BY 1")
+def deduplication_audit(spark, d):
+    """Applications by their number of source records, with conflicts."""
+    core = records.canonical_core(_records(spark, d))
+    return core.groupBy("source_record_count").agg(
+        F.count(F.lit(1)).alias("n_applications"), F.sum("application_date_conflict").alias("n_date_conflicts"), F.sum("ipc_conflict_flag").alias("n_code_conflicts"), F.sum("metadata_conflict_flag").alias("n_metadata_conflicts")
+    )
+
+
+@query(
+    f"{S.TEXT}\n#SELECT {_PERIOD.format(y='year(application_date)')} AS period, count(*) AS n_applications, count(*) FILTER (abstract_conflict_flag = 1) AS n_conflicts, max(abstract_version_count) AS most_versions FROM tc WHERE application_date IS NOT NULL GROUP BY 1"
+)
+def text_version_periods(spark, d):
+    """Text versions by period; null where no period holds the year."""
+    core = text_records.text_core(_text(spark, d)).where("application_date is not null")
+    return core.groupBy(period_of_year(F.year("application_date")).alias("period")).agg(
+        F.count(F.lit(1)).alias("n_applications"), F.count_if(F.col("abstract_conflict_flag") == 1).alias("n_conflicts"), F.max("abstract_version_count").alias("most_versions")
+    )
+
+
+@query()
+def clean_texts(spark, d):
+    """Texts in NFKC form without control characters."""
+    from ..functions.text import clean_text
+
+    return table(spark, d, "text_records").select("text_id", clean_text(F.col("abstract_clean")).alias("abstract"))
+
+
+@query("\n#SELECT ipc_code, ipc_level, is_valid, scheme_version, CASE WHEN contains(ipc_code, '/') THEN split_part(ipc_code, '/', 1) || '/00' END AS main_group_code FROM ipc_dictionary WHERE scheme_version = '2026.01'")
+def dictionary_from_sources(spark, d):
+    """The current dictionary written as an XML scheme and symbol list in ZIP files, and read back and merged.
+
+    The dictionary is a fixed few thousand codes, so its files are made on the driver.
+    """
+    import io
+    import uuid
+    import zipfile
+
+    from pyarrow import fs
+
+    from ..session import shared_dir
+    from ..sources.dictionary import read_dictionary_source
+
+    rows = table(spark, d, "ipc_dictionary").where(F.col("scheme_version") == audits.CURRENT).select("ipc_code", "ipc_level", "is_valid").collect()
+    items = "".join(f'<classification-item level="{r[1]}" symbol="{r[0]}"><title lang="en">{r[0]}</title></classification-item>' for r in rows)
+    symbols = "".join(f'<IPCSymbol symbol="{r[0]}"/>' for r in rows if r[2])
+    base = f"{shared_dir(spark)}/lodestrata-sources-{uuid.uuid4().hex}"
+    system, inner = fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base)
+    for kind, name, body in (("scheme", "EN_ipc_scheme_x.xml", f"<c>{items}</c>"), ("valid_symbols", "valid_symbols.xml", f"<c>{symbols}</c>")):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(name, body)
+        system.create_dir(f"{inner}/{kind}", recursive=True)
+        with system.open_output_stream(f"{inner}/{kind}/{kind}.zip") as out:
+            out.write(buffer.getvalue())
+    none = spark.createDataFrame([], "ipc_code string, title string")
+    merged = audits.merge_dictionary(read_dictionary_source(spark, f"{base}/scheme", "scheme"), read_dictionary_source(spark, f"{base}/valid_symbols", "valid_symbols"), none, none, audits.CURRENT)
+    return merged.select("ipc_code", "ipc_level", "is_valid", "scheme_version", "main_group_code")
+
+
+@query("\n#SELECT event_type, ts::date AS day, count(*) AS n FROM events GROUP BY ALL")
+def stream_event_windows(spark, d):
+    """Daily counts per event type, computed by a stream run to its end."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..streaming.ingest import windowed_counts
+
+    name = f"lodestrata_{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, d, "events"))
+    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
+    run = windowed_counts(source, "ts", "event_type").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("event_type", F.to_date("window_start").alias("day"), "n")
+
+
+def _stream_folder(spark, d: str, name: str) -> str:
+    """A folder holding the table: the table itself if it is a folder, else a copy, as streams read folders."""
+    import os
+    import uuid
+
+    from ..session import shared_dir
+
+    path = f"{d}/{name}.parquet"
+    if os.path.isdir(path):
+        return path
+    copy = f"{shared_dir(spark)}/lodestrata-stream-{uuid.uuid4().hex}"
+    table(spark, d, name).write.parquet(copy)
+    return copy

@@ -35,6 +35,27 @@ def test_codes_job_and_resume(spark, config):
     assert jobs.run_codes(spark, config) == facts
 
 
+def test_coverage_job(spark, config, tmp_path):
+    from dataclasses import replace
+
+    jobs.run_codes(spark, config)
+    spark.createDataFrame([("A01B", "subclass", True)], "ipc_code string, ipc_level string, is_valid boolean").write.parquet(str(tmp_path / "dict"))
+    assert jobs.run_coverage(spark, replace(config, dictionary=str(tmp_path / "dict")))["applications"] == 2
+    rows = spark.read.parquet(f"{config.output}/coverage").where("dimension = 'overall'").collect()
+    assert {(r.quarter, r.patent_count, r.ipc_coding_rate) for r in rows} == {("1985Q1", 1, 1.0), ("1994Q1", 1, 1.0)}
+
+
+def test_dictionary_job(spark, tmp_path):
+    from test_sources import FLAT, zipped
+
+    (tmp_path / "s.zip").write_bytes(zipped(EN_ipc_scheme_x__xml=FLAT))
+    (tmp_path / "v.zip").write_bytes(zipped(valid_symbols__xml='<a><IpcSymbol symbol="H"/></a>'))
+    facts = jobs.build_dictionary(spark, {"2026.01": {"scheme": str(tmp_path / "s.zip"), "valid_symbols": str(tmp_path / "v.zip")}}, str(tmp_path / "out"))
+    assert facts == {"codes": 2}
+    got = {r.ipc_code: (r.is_valid, r.ipc_level, r.main_group_code) for r in spark.read.parquet(str(tmp_path / "out" / "ipc_dictionary")).collect()}
+    assert got == {"H": (True, "section", None), "H01L21/3065": (False, "subgroup", "H01L21/00")}
+
+
 def test_text_similarity_and_audit_jobs(spark, config, tmp_path):
     assert jobs.run_text(spark, config)["history_mismatch_dates"] == 0
     assert jobs.run_similarity(spark, config)["documents"] == 2
