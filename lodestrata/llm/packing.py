@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 #: Sum of capacities up to which the histogram, one row per length and capacity, may be planned on the driver.
-MAX_LENGTHS = 4_000_000
+MAX_LENGTHS = 500_000
 #: Rows of one length that are ranked in one task, about.
 ROWS_PER_BUCKET = 200_000
 
