@@ -142,8 +142,10 @@ def split_packed(
     brackets are dropped, full-width forms become half-width, white space is removed, letters become
     upper case; empty pieces and marks that stand for nothing are left out. Null gives an empty
     array; a null source is a source of its own; a value without separators gives one piece.
+    A column of the input named ``pieces`` is kept as ``in_pieces``.
     """
     spark = df.sparkSession
+    df = df.withColumnsRenamed({"pieces": "in_pieces"} if "pieces" in {*df.columns} - {*source, value} else {})
     candidates = candidates or CANDIDATES
     chosen = (
         score_delimiters(df, source, value, candidates, piece)

@@ -20,6 +20,13 @@ class Measure:
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def _estimated_partitions(df: DataFrame) -> int:
+    """Partitions of the input by the optimizer's size estimate; nothing is executed to learn it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    each = int(str(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    return max(1, min(-(-size // each), 1_000_000))
+
+
 def tree_aggregate(
     df: DataFrame,
     keys: list[str],
@@ -29,14 +36,13 @@ def tree_aggregate(
 ) -> DataFrame:
     """Per-key results of mergeable measures, merged through rounds of fan-in ``fan_in``.
 
-    The input is cut into chunks of about equal size by the hash of the partition it was read in;
-    each chunk is combined locally, and the states of ``fan_in`` chunks merge in each round until one
+    The input is cut into chunks of about equal size, those of its partitions; each chunk is combined locally, and the states of ``fan_in`` chunks merge in each round until one
     is left, so that no reducer ever gets more than ``fan_in`` states of one key. Keys may be null
-    (null is a key). ``chunks`` defaults to the number of input partitions; with one chunk there is
-    one round. States: ``sum``, ``min`` or ``max`` of ``init``; nulls in ``init`` do not count.
+    (null is a key). ``chunks`` defaults to the number of partitions the plan's estimated size makes; with
+    one chunk there is one round. States: ``sum``, ``min`` or ``max`` of ``init``; nulls in ``init`` do not count.
     An empty table gives an empty result.
     """
-    chunks = chunks or max(1, df.rdd.getNumPartitions())
+    chunks = chunks or _estimated_partitions(df)
     node = "__node"
     # The first combine happens inside each input chunk: the chunk number is constant within a
     # partition, hence map-side aggregation leaves one state per key and chunk.
@@ -68,11 +74,12 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
 
     No rows where the table is empty or all keys are null.
     """
-    counts = tree_aggregate(df.where(F.col(key).isNotNull()), [key], [Measure("n_rows", F.lit(1).cast("bigint"))])
+    keyed = df.select(F.col(key).cast("string").alias("key_value")).where(F.col("key_value").isNotNull())
+    counts = tree_aggregate(keyed, ["key_value"], [Measure("n_rows", F.lit(1).cast("bigint"))])
     # the total is one row; a scalar subquery in effect, so the join is a one-row broadcast
     total = counts.agg(F.sum("n_rows").alias("__total"))
     return (
         counts.join(F.broadcast(total))
         .where(F.col("n_rows") >= F.lit(share) * F.col("__total"))
-        .select(F.col(key).cast("string").alias("key_value"), "n_rows")
+        .select("key_value", "n_rows")
     )

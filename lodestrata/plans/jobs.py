@@ -17,7 +17,7 @@ from ..functions.dates import lenient_date, ordinal_label, quarter_label, quarte
 from ..functions.text import clean_text, combine_text, words
 from ..operators import audits, code_metrics, records, similarity, text_records
 from ..operators.parse_lines import POSITIONS
-from ..session import build_session
+from ..session import build_session, drop_materialized
 from ..sources import dictionary as dict_sources
 from ..sources import sinks
 from ..sources.logical_csv import read_logical
@@ -226,6 +226,7 @@ def main(argv: list[str] | None = None) -> int:
         print(build_dictionary(spark, given["sources"], given["output"]))
         return 0
     print({"codes": run_codes, "coverage": run_coverage, "text": run_text, "similarity": run_similarity, "audit": run_audit}[args.job](spark, load_config(args.config)))
+    drop_materialized(spark)
     return 0
 
 

@@ -50,9 +50,27 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _written(spark: SparkSession) -> list[str]:
+    if not hasattr(spark, "_lodestrata_written"):
+        spark._lodestrata_written = []
+    return spark._lodestrata_written
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete what ``materialize`` has written in this session; call it when its readers are done."""
+    paths = _written(spark)
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    n = len(paths)
+    paths.clear()
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -96,3 +96,10 @@ def test_streamed_history_and_windows(spark, tmp_path):
     timed = stream.withColumn("ts", F.col("application_date").cast("timestamp"))
     drain(ingest.windowed_counts(timed, "ts", "pair_id"), "win", "complete")
     assert sum(r.n for r in spark.table("win").collect()) == 4
+
+
+def test_materialized_tables_are_dropped(spark):
+    from lodestrata.session import drop_materialized, materialize
+
+    assert materialize(spark.range(3)).count() == 3
+    assert drop_materialized(spark) >= 1 and drop_materialized(spark) == 0

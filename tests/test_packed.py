@@ -44,3 +44,9 @@ def test_positions(spark):
     df = spark.createDataFrame([(i, "s", "A01B1/00;C02D1/00", 0) for i in range(3)], SCHEMA)
     out = packed.explode_pieces(packed.split_packed(df, ["src"], "v"), ["id"], minimum=2)
     assert sorted(map(tuple, out.collect()))[:2] == [(0, 1, "A01B1/00"), (0, 2, "C02D1/00")]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "s", "A01B1/00;C02D1/00", "mine") for i in range(3)], "id bigint, src string, v string, pieces string")
+    row = packed.split_packed(df, ["src"], "v").first()
+    assert row.in_pieces == "mine" and row.pieces == ["A01B1/00", "C02D1/00"]

@@ -7,14 +7,14 @@ from lodestrata.operators import skew
 
 def test_tree_aggregate_equals_plain_grouping(spark):
     df = spark.range(0, 20_000, 1, 50).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 97 == 0, None).otherwise((F.col("id") % 40).cast("string")).alias("k"), "id")
-    got = skew.tree_aggregate(df, ["k"], [skew.Measure("n", F.lit(1)), skew.Measure("s", F.col("id")), skew.Measure("lo", F.col("id"), "min"), skew.Measure("hi", F.col("id"), "max")], fan_in=4)
+    got = skew.tree_aggregate(df, ["k"], [skew.Measure("n", F.lit(1)), skew.Measure("s", F.col("id")), skew.Measure("lo", F.col("id"), "min"), skew.Measure("hi", F.col("id"), "max")], fan_in=4, chunks=50)
     want = df.groupBy("k").agg(F.count("*"), F.sum("id"), F.min("id"), F.max("id"))
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
 def test_rounds_follow_fan_in(spark):
     df = spark.range(0, 1000, 1, 20).select(F.lit("a").alias("k"))
-    plan = skew.tree_aggregate(df, ["k"], [skew.Measure("n", F.lit(1))], fan_in=2)._jdf.queryExecution().optimizedPlan().toString()
+    plan = skew.tree_aggregate(df, ["k"], [skew.Measure("n", F.lit(1))], fan_in=2, chunks=20)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 5  # 20 -> 10 -> 5 -> 3 -> 2 -> 1
 
 
@@ -27,6 +27,11 @@ def test_heavy_keys_and_edges(spark):
     assert skew.tree_aggregate(empty, ["k"], [skew.Measure("n", F.lit(1))]).count() == 0
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "n_rows string, key_value int")
+    assert [tuple(r) for r in skew.heavy_keys(df, "n_rows", 0.5).collect()] == [("a", 2)]
+
+
 def test_distinct_counts(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", None), (None, 3)], "k string, v int")
     assert {r.k: r.n for r in skew.distinct_counts(df, ["k"], "v", "n").collect()} == {"a": 2, None: 1}
