@@ -82,7 +82,7 @@ def p6_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     apps = skew.distinct_counts(df, ["stkcd"], "application_no", "n_applications").withColumnRenamed("stkcd", "__k")
     return (
         rows.join(apps, F.col("stkcd").eqNullSafe(F.col("__k")), "left")
-        .select("stkcd", "n_rows", "n_dated", "first_date", "last_date", "last_loaded", F.coalesce("n_applications", F.lit(0).cast("bigint")).alias("n_applications"))
+        .select("stkcd", "n_rows", "n_dated", "first_date", "last_date", F.unix_micros(F.col("last_loaded").cast("timestamp")).alias("last_loaded_us"), F.coalesce("n_applications", F.lit(0).cast("bigint")).alias("n_applications"))
     )
 
 
@@ -150,5 +150,5 @@ SQL: dict[str, str] = {
     "p3_sound": f"WITH {_PARSED} SELECT row_id, {', '.join(f'l[{i + 1}] AS {c}' for i, c in enumerate(parse_lines.COLUMNS))} FROM r WHERE fail_reason IS NULL",
     "p6_found": "SELECT 'stkcd' AS field_name, stkcd AS key_value FROM raw_records WHERE stkcd IS NOT NULL GROUP BY stkcd HAVING count(*) >= 0.02 * (SELECT count(stkcd) FROM raw_records)"
     " UNION ALL SELECT 'listed_parent', listed_parent FROM text_records WHERE listed_parent IS NOT NULL GROUP BY listed_parent HAVING count(*) >= 0.02 * (SELECT count(listed_parent) FROM text_records)",
-    "p6_firms": f"SELECT stkcd, count(*) AS n_rows, count(d) AS n_dated, min(d) AS first_date, max(d) AS last_date, max(loaded_at) AS last_loaded, count(DISTINCT application_no) AS n_applications FROM (SELECT *, {full_date_sql('application_date')} AS d FROM raw_records) GROUP BY stkcd",
+    "p6_firms": f"SELECT stkcd, count(*) AS n_rows, count(d) AS n_dated, min(d) AS first_date, max(d) AS last_date, epoch_us(max(loaded_at)) AS last_loaded_us, count(DISTINCT application_no) AS n_applications FROM (SELECT *, {full_date_sql('application_date')} AS d FROM raw_records) GROUP BY stkcd",
 }
