@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words of a script that are ranked one by one; all rarer ones share the rank after the last.
@@ -65,11 +66,15 @@ def vocabulary_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def _ranks(documents: DataFrame, text: str) -> dict[str, dict[str, int]]:
     """Frequency rank of the VOCABULARY most frequent tokens of each script (ties by token)."""
-    counts = vocabulary_counts(documents, text)
-    out: dict[str, dict[str, int]] = {}
-    counts = counts.persist()
-    for script in ("han", "latin"):
-        top = counts.where(F.col("script") == script).orderBy(F.desc("n"), "token").limit(VOCABULARY).select("token").collect()
+    counts = vocabulary_counts(documents, text).persist()
+    out: dict[str, dict[str, int]] = {"han": {}, "latin": {}}
+    # the count a token needs to be among the first: read off the numbers of tokens per count, which are
+    # few, so that the tokens sorted and collected are hardly more than the vocabulary
+    above = W.partitionBy("script").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
+    per_count = counts.groupBy("script", "n").agg(F.count(F.lit(1)).alias("m"))
+    needed = per_count.withColumn("above", F.coalesce(F.sum("m").over(above), F.lit(0))).where(F.col("above") < VOCABULARY)
+    for script, least in needed.groupBy("script").agg(F.min("n")).collect():
+        top = counts.where((F.col("script") == script) & (F.col("n") >= least)).orderBy(F.desc("n"), "token").limit(VOCABULARY).select("token").collect()
         out[script] = {r["token"]: i for i, r in enumerate(top, 1)}
     counts.unpersist()
     return out
