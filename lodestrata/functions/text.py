@@ -36,14 +36,21 @@ def words(col: Column) -> Column:
 
 
 def char_ngrams(col: Column, low: int = 2, high: int = 4) -> Column:
-    """All overlapping n-grams of ``low`` to ``high`` characters."""
-    size = F.length(col)
+    """All overlapping n-grams of ``low`` to ``high`` characters; an empty array for null and short texts.
+
+    For long texts cut the characters into a column of their own and use ``ngrams_of`` on it.
+    """
+    return F.when(F.length(col) >= low, ngrams_of(F.split(col, ""), low, high)).otherwise(F.array().cast("array<string>"))
+
+
+def ngrams_of(chars: Column, low: int = 2, high: int = 4) -> Column:
+    """The same over an array of characters."""
 
     def of(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(col, i, F.lit(n)))
-        return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+        return F.transform(chars, lambda x, i: F.concat(x, *[F.get(chars, i + k) for k in range(1, n)]))
 
-    return F.coalesce(F.concat(*[of(n) for n in range(low, high + 1)]), F.array().cast("array<string>"))
+    # n-grams running over the end are null
+    return F.array_compact(F.concat(*[of(n) for n in range(low, high + 1)]))
 
 
 def distinct_chars(col: Column) -> Column:

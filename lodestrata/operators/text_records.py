@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import lenient_date, period_of_year, quarter_label
 from ..functions.keys import joined_values
 from ..functions.values import trim_spaces
-from ..functions.text import char_ngrams, distinct_chars, token_bucket
+from ..functions.text import distinct_chars, ngrams_of, token_bucket
 
 META = ["stkcd_raw", "stkcd", "company_name", "relation", "relation_type", "listed_parent", "applicant", "applicant_type"]
 
@@ -93,7 +93,9 @@ def ngram_frequencies(docs: DataFrame, low: int = 2, high: int = 4, buckets: int
 
     ``docs`` has ``app``, ``date``, ``text``. With ``buckets`` n-grams are hashed.
     """
-    grams = docs.select("app", "date", F.explode(char_ngrams(F.col("text"), low, high)).alias("g"))
+    # characters are cut once per text; cutting substrings by position would be quadratic in its length
+    cut = docs.select("app", "date", F.split("text", "").alias("c"))
+    grams = cut.select("app", "date", F.explode(ngrams_of(F.col("c"), low, high)).alias("g"))
     if buckets:
         grams = grams.withColumn("g", token_bucket(F.col("g"), buckets))
     return grams.groupBy("app", "date", "g").agg(F.count(F.lit(1)).alias("tf"))
