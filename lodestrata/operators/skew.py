@@ -76,10 +76,5 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """
     keyed = df.select(F.col(key).cast("string").alias("key_value")).where(F.col("key_value").isNotNull())
     counts = tree_aggregate(keyed, ["key_value"], [Measure("n_rows", F.lit(1).cast("bigint"))])
-    # the total is one row; a scalar subquery in effect, so the join is a one-row broadcast
-    total = counts.agg(F.sum("n_rows").alias("__total"))
-    return (
-        counts.join(F.broadcast(total))
-        .where(F.col("n_rows") >= F.lit(share) * F.col("__total"))
-        .select("key_value", "n_rows")
-    )
+    total = counts.agg(F.sum("n_rows")).scalar()
+    return counts.where(F.col("n_rows") >= F.lit(share) * total)

@@ -185,4 +185,6 @@ def history_audit(rows: DataFrame) -> DataFrame:
         F.count_if((F.col("prior_centroid_novelty") < -1e-9) | (F.col("prior_centroid_novelty") > 1 + 1e-9)).alias("novelty_out_of_bounds"),
         F.count_if(F.col("abstract_length_chars") > 0).alias("valid_count"), F.count_if(F.col("history_cold_start_flag") == 1).alias("cold_start_count"),
     )
-    return bounds.join(F.broadcast(history)).join(F.broadcast(keys))
+    one = lambda df: df.select(F.struct("*")).scalar()
+    both = bounds.withColumn("h", one(history)).withColumn("k", one(keys))
+    return both.select(*bounds.columns, "h.*", "k.*")
