@@ -101,18 +101,21 @@ def pack(lengths: DataFrame, limits: DataFrame) -> DataFrame:
     spread over many tasks.
     """
     spark = lengths.sparkSession
+    # token counts are costly to make: written once, then counted and read
+    lengths = materialize(lengths.select("doc_id", "n_tokens"))
+    rows_in = lengths.count()
     caps = {r[0]: r[1] for r in limits.select("limit_id", "capacity_tokens").collect() if r[1] and r[1] > 0}
     if sum(caps.values()) > MAX_LENGTHS:
         raise ValueError("capacities too large to plan over lengths on the driver")
     size = F.coalesce(F.col("n_tokens"), F.lit(0))
-    limit_rows = F.broadcast(spark.createDataFrame(sorted(caps.items()), "limit_id int, capacity int"))
-    docs = lengths.select("doc_id", size.cast("bigint").alias("n"))
-    wide = docs.join(limit_rows)
+    if not caps:
+        return spark.createDataFrame([], "limit_id int, capacity_tokens int, container_id bigint, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint")
+    every = F.array(*[F.struct(F.lit(i).alias("limit_id"), F.lit(c).alias("capacity")) for i, c in sorted(caps.items())])
+    wide = lengths.select("doc_id", size.cast("bigint").alias("n"), F.explode(every).alias("l")).select("doc_id", "n", "l.*")
     # full containers of long documents need no planning: they are numbered after the planned ones
     full = F.when(F.col("n") > F.col("capacity"), F.floor(F.col("n") / F.col("capacity"))).otherwise(F.lit(0)).cast("bigint")
     items = wide.withColumn("full", full).withColumn("rest", F.col("n") - F.col("full") * F.col("capacity"))
-    total = lengths.count()
-    buckets = max(1, -(-total // ROWS_PER_BUCKET)) * 4
+    buckets = max(1, -(-rows_in // ROWS_PER_BUCKET)) * 4
     # repeated ids are told apart by a number within their bucket
     items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "n"), F.lit(buckets)).cast("int"))
     items = materialize(items)

@@ -79,3 +79,8 @@ def test_token_lengths(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "doc_id bigint, text string")
     got = {r.doc_id: r.n_tokens for r in P.token_lengths(docs, "/opt/tokenizers/byte_bpe_50k.tiktoken").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+
+
+def test_no_limits(spark):
+    lengths = spark.createDataFrame([(1, 5)], "doc_id bigint, n_tokens bigint")
+    assert P.pack(lengths, spark.createDataFrame([(1, None)], "limit_id int, capacity_tokens int")).count() == 0
