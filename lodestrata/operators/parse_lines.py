@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.dates import full_date
 from ..functions.values import is_no_value
+from .barrier import where_computed
 
 N_FIELDS = 31
 
@@ -30,7 +31,8 @@ _WHOLE = r"(^|,)\"[^\"]*+(?:\"\"[^\"]*+)*+\"(?=,|$)"
 def _hide_breaks(text: Column) -> Column:
     hidden = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "0")), F.lit(""), F.lit(_ESCAPE + "1"))
     hidden = F.replace(hidden, F.lit(""), F.lit(_ESCAPE + "2"))
-    return F.translate(hidden, "\n\r", _LF + _CR)
+    hidden = F.translate(hidden, "\n\r", _LF + _CR)
+    return F.when(text.rlike(f"[\\n\\r{_LF}{_CR}{_ESCAPE}]"), hidden).otherwise(text)
 
 
 def _show_breaks(text: Column) -> Column:
@@ -91,9 +93,9 @@ def parse_lines(df: DataFrame, text: str = "raw_text") -> DataFrame:
 
 def failures(df: DataFrame, key: str, text: str = "raw_text") -> DataFrame:
     """``key`` and ``fail_reason`` of the rows that are not sound."""
-    return parse_lines(df, text).where(F.col("fail_reason").isNotNull()).select(key, "fail_reason")
+    return where_computed(parse_lines(df, text).select(key, "fail_reason"), F.col("fail_reason").isNotNull())
 
 
 def sound_rows(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """The sound rows as columns, without the raw text."""
-    return parse_lines(df, text).where(F.col("fail_reason").isNull()).drop("fail_reason", "n_fields")
+    return where_computed(parse_lines(df, text), F.col("fail_reason").isNull()).drop("fail_reason", "n_fields")
