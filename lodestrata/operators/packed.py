@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import NO_VALUE_MARKS, half_width, is_no_value
+from .barrier import where_computed
 
 # Quoting pairs around one packed value.
 QUOTED = r"\"[^\"]*\"|'[^']*'|“[^”]*”"
@@ -185,6 +186,6 @@ def clean_piece(piece: Column) -> Column:
 
 def explode_pieces(df: DataFrame, keep: list[str], minimum: int = 1) -> DataFrame:
     """One row per piece of fields with at least ``minimum`` of them, position counted from 1."""
-    return df.where(F.size("pieces") >= minimum).select(*keep, F.posexplode("pieces").alias("__at", "ipc_value")).select(
+    return where_computed(df, F.size("pieces") >= minimum).select(*keep, F.posexplode("pieces").alias("__at", "ipc_value")).select(
         *keep, (F.col("__at") + 1).cast("int").alias("pos"), "ipc_value"
     )
