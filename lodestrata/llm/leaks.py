@@ -20,7 +20,8 @@ MIN_CHARS, MIN_WORDS = 40, 15
 #: Symbols of test items searched for in one pass over the corpus; more items take more passes.
 MAX_BLOCK_SYMBOLS = 2_000_000
 
-_FOLD = str.maketrans({k: v.lower() for k, v in LOOK_ALIKES.items()} | {k.lower(): v.lower() for k, v in LOOK_ALIKES.items() if len(k.lower()) == 1})
+_FOLD = {k.lower(): v.lower() for k, v in LOOK_ALIKES.items() if len(k.lower()) == 1}
+_LOOK_ALIKE = re.compile("[" + "".join(_FOLD) + "]")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]+")
 _JUNK = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -32,7 +33,7 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     text = text.lower()
-    return text if text.isascii() else text.translate(_FOLD)
+    return text if text.isascii() else _LOOK_ALIKE.sub(lambda m: _FOLD[m.group()], text)
 
 
 def chars_of(folded: str) -> str:
