@@ -20,8 +20,7 @@ MIN_CHARS, MIN_WORDS = 40, 15
 #: Symbols of test items searched for in one pass over the corpus; more items take more passes.
 MAX_BLOCK_SYMBOLS = 2_000_000
 
-_FOLD = {k.lower(): v.lower() for k, v in LOOK_ALIKES.items() if len(k.lower()) == 1}
-_LOOK_ALIKE = re.compile("[" + "".join(_FOLD) + "]")
+_LOOK_ALIKE = re.compile("[" + "".join(LOOK_ALIKES) + "]")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]+")
 _JUNK = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -30,10 +29,11 @@ _HAN = re.compile("[\u3400-\u9fff]")
 
 def fold(text: str) -> str:
     """Case, width, compatibility forms, look-alike letters and invisible characters made equal."""
-    if not text.isascii():
-        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = text.lower()
-    return text if text.isascii() else _LOOK_ALIKE.sub(lambda m: _FOLD[m.group()], text)
+    if text.isascii():
+        return text.lower()
+    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    # before the case is lost: the look of a letter of another script depends on it
+    return _LOOK_ALIKE.sub(lambda m: LOOK_ALIKES[m.group()], text).lower()
 
 
 def chars_of(folded: str) -> str:

@@ -23,7 +23,7 @@ FEATURES = [*(f"coverage_{int(s * 100)}" for s in SHARES), "sentence_tokens", "c
 SHRINK = 20.0
 
 _LATIN = re.compile(r"[a-z]+(?:['-][a-z]+)*")
-_HAN = re.compile("[\u3400-\u9fff]")
+_FIRST_HAN, _LAST_HAN = 0x3400, 0x9FFF
 _SENTENCE = re.compile(r"[。!?;；｡]|\.(?=\s|$)|\n")
 _CLAUSE = re.compile(r"[。!?;；｡,、:]|\.(?=\s|$)|\n")
 
@@ -32,33 +32,40 @@ def _folded(text: str) -> str:
     return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
-def _tokens(folded: str) -> tuple[str, list[str]]:
-    """The script most tokens are in, and the tokens of that script: Han characters or Latin words."""
+def _tokens(folded: str) -> tuple[str, np.ndarray | list[str]]:
+    """The script most tokens are in, and the tokens of that script: Han characters (as offsets) or Latin words."""
     words = _LATIN.findall(folded)
-    han = [] if folded.isascii() else _HAN.findall(folded)
-    return ("han", han) if 2 * len(han) > len(han) + len(words) else ("latin", words)
+    if folded.isascii():
+        return "latin", words
+    codes = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    han = codes[(codes >= _FIRST_HAN) & (codes <= _LAST_HAN)] - _FIRST_HAN
+    return ("han", han) if len(han) > len(words) else ("latin", words)
 
 
 def vocabulary_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     """``script``, ``token``, ``n`` over all documents. Each task sends one row per distinct token."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = {"han": Counter(), "latin": Counter()}
+        latin: Counter = Counter()
+        han = np.zeros(_LAST_HAN - _FIRST_HAN + 1, dtype=np.int64)
 
-        def flush() -> pd.DataFrame:
-            rows = [(s, t, n) for s, c in seen.items() for t, n in c.items()]
-            for c in seen.values():
-                c.clear()
-            return pd.DataFrame(rows, columns=["script", "token", "n"])
+        def rows(counts) -> pd.DataFrame:
+            return pd.DataFrame([("latin", t, n) for t, n in counts.items()], columns=["script", "token", "n"])
 
         for batch in batches:
             for body in batch["text"].tolist():
                 if body:
                     script, tokens = _tokens(_folded(body))
-                    seen[script].update(tokens)
-            if sum(map(len, seen.values())) > 500_000:
-                yield flush()
-        yield flush()
+                    if script == "latin":
+                        latin.update(tokens)
+                    else:
+                        han += np.bincount(tokens, minlength=len(han))
+            if len(latin) > 500_000:
+                yield rows(latin)
+                latin.clear()
+        yield rows(latin)
+        found = np.flatnonzero(han)
+        yield pd.DataFrame({"script": "han", "token": [chr(_FIRST_HAN + i) for i in found], "n": han[found]})
 
     slim = documents.select(documents[text].alias("text"))
     return slim.mapInPandas(count, "script string, token string, n bigint").groupBy("script", "token").agg(F.sum("n").alias("n"))
@@ -92,21 +99,27 @@ def document_features(documents: DataFrame, doc_id: str = "doc_id", text: str =
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks = shipped.value
+        known = ranks["latin"]
+        han_ranks = np.full(_LAST_HAN - _FIRST_HAN + 1, VOCABULARY + 1, dtype=np.int64)
+        for token, rank in ranks["han"].items():
+            han_ranks[ord(token) - _FIRST_HAN] = rank
         for batch in batches:
             rows = []
             for doc, body in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
                 folded = _folded(body or "")
                 script, tokens = _tokens(folded)
-                if not tokens:
+                n = len(tokens)
+                if not n:
                     rows.append((doc, None, *[None] * len(FEATURES)))
                     continue
-                known = ranks[script]
-                n = len(tokens)
-                order = np.sort(np.fromiter((known.get(t, VOCABULARY + 1) for t in tokens), dtype=np.int64, count=n))
+                if script == "han":
+                    order, size = np.sort(han_ranks[tokens]), 1.0
+                else:
+                    order = np.sort(np.fromiter((known.get(t, VOCABULARY + 1) for t in tokens), dtype=np.int64, count=n))
+                    size = sum(map(len, tokens)) / n
                 cover = [math.log(order[math.ceil(n * s) - 1]) for s in SHARES]
                 sentences = sum(1 for s in _SENTENCE.split(folded) if s.strip())
                 clauses = sum(1 for s in _CLAUSE.split(folded) if s.strip())
-                size = sum(map(len, tokens)) / n
                 rows.append((doc, script, *cover, math.log(n / max(1, sentences)), math.log(n / max(1, clauses)), size))
             yield pd.DataFrame(rows, columns=["doc_id", "script", *FEATURES])
 
