@@ -49,8 +49,8 @@ def vocabulary_counts(documents: DataFrame, text: str = "text") -> DataFrame:
         latin: Counter = Counter()
         han = np.zeros(_LAST_HAN - _FIRST_HAN + 1, dtype=np.int64)
 
-        def rows(counts) -> pd.DataFrame:
-            return pd.DataFrame([("latin", t, n) for t, n in counts.items()], columns=["script", "token", "n"])
+        def rows(script, counts) -> pd.DataFrame:
+            return pd.DataFrame([(script, t, n) for t, n in counts], columns=["script", "token", "n"])
 
         for batch in batches:
             for body in batch["text"].tolist():
@@ -61,11 +61,10 @@ def vocabulary_counts(documents: DataFrame, text: str = "text") -> DataFrame:
                     else:
                         han += np.bincount(tokens, minlength=len(han))
             if len(latin) > 500_000:
-                yield rows(latin)
+                yield rows("latin", latin.items())
                 latin.clear()
-        yield rows(latin)
-        found = np.flatnonzero(han)
-        yield pd.DataFrame({"script": "han", "token": [chr(_FIRST_HAN + i) for i in found], "n": han[found]})
+        yield rows("latin", latin.items())
+        yield rows("han", ((chr(_FIRST_HAN + int(i)), int(han[i])) for i in np.flatnonzero(han)))
 
     slim = documents.select(documents[text].alias("text"))
     return slim.mapInPandas(count, "script string, token string, n bigint").groupBy("script", "token").agg(F.sum("n").alias("n"))
