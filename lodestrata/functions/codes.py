@@ -59,7 +59,17 @@ def normalize_code(raw: Column, compat: bool = False) -> Column:
     subgroups have two digits at least. ``compat`` keeps the historic reading of padded subgroups,
     which fills a subgroup such as 10 to ``01``.
     """
-    text = F.regexp_replace(F.replace(F.upper(F.regexp_replace(raw, r"\[[0-9]{4}\.[0-9]{2}\]", "")), F.lit("／"), F.lit("/")), r"\s+", "")
+    return _form(_flat(raw), compat)
+
+
+def _flat(raw: Column) -> Column:
+    """Upper case, without version, blanks and full-width slashes."""
+    plain = F.upper(F.regexp_replace(raw, r"\[[0-9]{4}\.[0-9]{2}\]", ""))
+    return F.regexp_replace(F.replace(plain, F.lit("／"), F.lit("/")), r"\s+", "")
+
+
+def _form(text: Column, compat: bool = False) -> Column:
+    """The display form of a flattened code."""
     tail = F.regexp_replace(F.regexp_extract(text, _PADDED, 3), "0+$", "")
     if compat:
         sub = F.when(tail == "", F.lit("00")).otherwise(_two(tail.try_cast("bigint").cast("string")))
@@ -124,19 +134,22 @@ def code_tokens(raw: Column) -> Column:
     """
     flag = r"(?i)([A-H]\s*[0-9]{2}\s*[A-Z]\s*[0-9]{1,4}\s*/\s*[0-9]{1,6})[IN]$"
 
-    def token(p: Column) -> Column:
-        code = normalize_code(p)
-        bare = normalize_code(F.regexp_replace(p, flag, "$1"))
-        final = F.coalesce(code, bare)
-        sub = F.substring(final, 1, 4)
+    # one step per array pass: inside a lambda nothing computed twice is shared
+    flat = F.transform(
+        split_codes(raw), lambda p: F.struct(p.alias("raw"), _flat(p).alias("a"), _flat(F.regexp_replace(p, flag, "$1")).alias("b"))
+    )
+    forms = F.transform(flat, lambda f: F.struct(f["raw"].alias("raw"), _form(f["a"]).alias("a"), _form(f["b"]).alias("b")))
+
+    def token(f: Column) -> Column:
+        code = F.coalesce(f["a"], f["b"])
         return F.struct(
-            p.alias("raw_ipc"),
-            final.alias("code"),
-            F.when(sub.rlike("^[A-H][0-9]{2}[A-Z]$"), sub).alias("subclass"),
-            F.when(code.isNotNull(), "normalized").when(bare.isNotNull(), "suffix_stripped").otherwise("unmatched").alias("status"),
+            f["raw"].alias("raw_ipc"),
+            code.alias("code"),
+            F.when(F.length(code) >= 4, F.substring(code, 1, 4)).alias("subclass"),
+            F.when(f["a"].isNotNull(), "normalized").when(f["b"].isNotNull(), "suffix_stripped").otherwise("unmatched").alias("status"),
         )
 
-    return F.array_distinct(F.transform(split_codes(raw), token))
+    return F.array_distinct(F.transform(forms, token))
 
 
 def code_subclasses(raw: Column) -> Column:

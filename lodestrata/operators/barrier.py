@@ -1,4 +1,4 @@
-"""Filters that are not merged into the projection below them."""
+"""Hints to the optimizer: filters that stay where they are, broadcasts of a checked size."""
 
 from __future__ import annotations
 
@@ -13,3 +13,12 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     second time, once per mention. A column that is not deterministic keeps the filter where it is.
     """
     return df.withColumn("__here", F.spark_partition_id()).where(condition & (F.col("__here") >= 0)).drop("__here")
+
+
+#: Rows up to which a table is broadcast once counted.
+SMALL = 10_000
+
+
+def broadcast_if_small(df: DataFrame, bound: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``bound`` rows, which is counted; else as it is."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.dates import label_ordinal, ordinal_label, period_of_year, quarter_label, quarter_ordinal
 from ..functions.keys import distance, pair_id, relatedness, smoothed_probability
+from .barrier import broadcast_if_small
 
 CURRENT, HISTORICAL = "2026.01", "2025.01"
 TAXONOMY_SIZE, ALPHA = 655, 1.0
@@ -32,7 +33,7 @@ def token_mappings(universe: DataFrame, dictionary: DataFrame | None) -> DataFra
     if dictionary is None:
         mapped = tokens.withColumn("taxonomy_version", F.when(F.col("subclass").isNotNull(), CURRENT))
     else:
-        mapped = tokens.join(taxonomy(dictionary), "subclass", "left")
+        mapped = tokens.join(broadcast_if_small(taxonomy(dictionary)), "subclass", "left")
     status = F.when(F.col("taxonomy_version") == CURRENT, "current_subclass").when(F.col("taxonomy_version") == HISTORICAL, "historical_bridge_subclass").otherwise("unmatched")
     source = F.when(F.col("taxonomy_version") == CURRENT, f"ipc_dictionary_{CURRENT}").when(F.col("taxonomy_version") == HISTORICAL, f"ipc_dictionary_{HISTORICAL}_bridge")
     return mapped.withColumn("mapping_status", status).withColumn("mapping_source", source)
