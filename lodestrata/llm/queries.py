@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import NO_VALUE_MARKS
+from ..operators.barrier import broadcast_if_small
 from ..session import table
 from . import leaks, names, packing, reading, survivors, unify
 
@@ -19,7 +20,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def _records(spark: SparkSession, sf_dir: str, name: str, key: str, fields: list[str]) -> DataFrame:
     df = table(spark, sf_dir, name).select("application_no", F.col(key).alias("id"), *fields, "feed_code", "loaded_at")
     feeds = table(spark, sf_dir, "feeds").select(F.col("feed_code").alias("__feed"), "trust_rank")
-    joined = df.join(feeds, F.col("feed_code") == F.col("__feed"), "left")
+    # without the hint a cluster that never broadcasts would shuffle all rows to the few feeds
+    joined = df.join(broadcast_if_small(feeds), F.col("feed_code") == F.col("__feed"), "left")
     return joined.withColumn("app", survivors.application_key(F.col("application_no"))).drop("application_no", "__feed", "feed_code")
 
 
