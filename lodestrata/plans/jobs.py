@@ -17,7 +17,7 @@ from ..functions.dates import lenient_date, ordinal_label, quarter_label, quarte
 from ..functions.text import clean_text, combine_text, words
 from ..operators import audits, code_metrics, records, similarity, text_records
 from ..operators.parse_lines import POSITIONS
-from ..session import build_session, drop_materialized
+from ..session import build_session, drop_materialized, ship_package
 from ..sources import dictionary as dict_sources
 from ..sources import sinks
 from ..sources.logical_csv import read_logical
@@ -219,6 +219,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--config", required=True)
     args = parser.parse_args(argv)
     spark = build_session()
+    ship_package(spark)
     if args.job == "dictionary":
         import json
 

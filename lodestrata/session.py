@@ -74,3 +74,39 @@ def drop_materialized(spark: SparkSession) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> bool:
+    """Make this package importable in Python workers that would not find it; True if it was sent.
+
+    Where its folder is on PYTHONPATH (or the package is installed) nothing is sent; otherwise a ZIP
+    of its modules is put into the shared folder and added to the session, once.
+    """
+    import io
+    import os
+    import site
+    import zipfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    root = str(package.parent)
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + site.getsitepackages()
+    if root in known or getattr(spark.sparkContext, "_lodestrata_shipped", False):
+        return False
+    from pyarrow import fs
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    target = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}.zip"
+    if "://" in target:
+        system, inner = fs.FileSystem.from_uri(target)
+    else:
+        system, inner = fs.LocalFileSystem(), target
+    system.create_dir(inner.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(inner) as out:
+        out.write(buffer.getvalue())
+    spark.sparkContext.addPyFile(target)
+    spark.sparkContext._lodestrata_shipped = True
+    return True
