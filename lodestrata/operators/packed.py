@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import NO_VALUE_MARKS, half_width, is_no_value
 from .barrier import where_computed
@@ -48,6 +49,7 @@ CANDIDATES = [
 CODE = r"[A-Za-z][0-9]{2}[A-Za-z]\s*[0-9]+\s*[/／]\s*[0-9]+(?:\s*[\[(（][0-9]{4}\.[0-9]{2}[\])）])?(?:\s?[INin](?![A-Za-z0-9]))?"
 
 _CUT = "\u0001"
+_NEVER = "(?!)"
 
 #: Occurrences over all sources that weigh as much as those of the source itself.
 PRIOR = 20.0
@@ -72,7 +74,7 @@ def score_delimiters(
     layouts only. ``regular`` is the share of a candidate's occurrences that stand between two
     regular pieces, ``consistent`` the share of values using it whose piece count equals their count
     of regular pieces, both shrunk by PRIOR occurrences towards their value over all sources;
-    ``score`` is their product. Null values are ignored; an empty input gives no rows.
+    ``score`` is their product, ``overall`` the same over all sources. Null values are ignored; an empty input gives no rows.
     """
     candidates = candidates or CANDIDATES
     layouts = (
@@ -113,6 +115,7 @@ def score_delimiters(
         counted.withColumn("regular", shrunk("__good", "__hits"))
         .withColumn("consistent", shrunk("__even", "n_values"))
         .withColumn("score", F.col("regular") * F.col("consistent"))
+        .withColumn("overall", F.sum("__good").over(everywhere) / F.sum("__hits").over(everywhere) * F.sum("__even").over(everywhere) / F.sum("n_values").over(everywhere))
         .drop("__good", "__hits", "__even")
     )
 
@@ -124,8 +127,8 @@ def _on_layout(pattern: str) -> str:
     )
 
 
-#: Sources whose delimiter sets may be broadcast; beyond it they are joined by the key.
-MAX_BROADCAST_SOURCES = 10_000
+#: Rows of sources and candidates whose delimiter sets may be broadcast; beyond it they are joined by the key.
+MAX_BROADCAST_SOURCES = 50_000
 
 
 def split_packed(
@@ -139,7 +142,8 @@ def split_packed(
     """All columns of ``df`` plus ``pieces``, the array of the values packed in ``value``.
 
     The separators of each source (the columns ``source``) are those whose score reaches
-    ``threshold``. A separator inside a quoted piece belongs to that piece. Enclosing quotes and list
+    ``threshold``; one that does not occur in a source counts there as it does over all sources. A
+    separator inside a quoted piece belongs to that piece. Enclosing quotes and list
     brackets are dropped, full-width forms become half-width, white space is removed, letters become
     upper case; empty pieces and marks that stand for nothing are left out. Null gives an empty
     array; a null source is a source of its own; a value without separators gives one piece.
@@ -148,21 +152,28 @@ def split_packed(
     spark = df.sparkSession
     df = df.withColumnsRenamed({"pieces": "in_pieces"} if "pieces" in {*df.columns} - {*source, value} else {})
     candidates = candidates or CANDIDATES
-    chosen = (
-        score_delimiters(df, source, value, candidates, piece)
-        .where(F.col("score") >= threshold)
-        .groupBy(*source)
-        .agg(F.array_join(F.array_sort(F.collect_set("pattern")), "|").alias("__cut"))
-    )
-    # one row per source; looked at once to learn whether it is small enough to broadcast
-    rows = chosen.limit(MAX_BROADCAST_SOURCES + 1).collect()
+    scored = score_delimiters(df, source, value, candidates, piece)
+    # a few rows per source; looked at once to learn whether they are small enough to broadcast
+    rows = scored.select(*source, "pattern", "score", "overall").limit(MAX_BROADCAST_SOURCES + 1).collect()
     if len(rows) <= MAX_BROADCAST_SOURCES:
-        chosen = F.broadcast(spark.createDataFrame(rows, chosen.schema))
+        usual = sorted({r["pattern"] for r in rows if r["overall"] >= threshold})
+        seen: dict[tuple, dict[str, bool]] = {}
+        for r in rows:
+            seen.setdefault(tuple(r[: len(source)]), {})[r["pattern"]] = r["score"] >= threshold
+        made = [(*key, "|".join(sorted({p for p, ok in use.items() if ok} | {p for p in usual if p not in use})) or _NEVER) for key, use in seen.items()]
+        schema = T.StructType([*[scored.schema[c] for c in source], T.StructField("__cut", T.StringType())])
+        chosen = F.broadcast(spark.createDataFrame(made, schema))
+    else:
+        usual = sorted(r[0] for r in scored.where(F.col("overall") >= threshold).select("pattern").distinct().collect())
+        used, known = F.collect_set(F.when(F.col("score") >= threshold, F.col("pattern"))), F.collect_set("pattern")
+        both = F.array_union(used, F.array_except(F.array(*[F.lit(p) for p in usual]).cast("array<string>"), known))
+        chosen = scored.groupBy(*source).agg(F.when(F.size(both) > 0, F.array_join(F.array_sort(both), "|")).otherwise(_NEVER).alias("__cut"))
     keys = [f"__source{i}" for i in range(len(source))]
     chosen = chosen.select(*[F.col(s).alias(k) for s, k in zip(source, keys)], "__cut")
     on = [df[s].eqNullSafe(chosen[k]) for s, k in zip(source, keys)]
     joined = df.join(chosen, on, "left").drop(*keys)
-    return joined.withColumn("pieces", pieces(F.col(value), F.col("__cut"))).drop("__cut")
+    cut = F.coalesce("__cut", F.lit("|".join(usual) or _NEVER))
+    return joined.withColumn("pieces", pieces(F.col(value), cut)).drop("__cut")
 
 
 def pieces(value: Column, separators: Column) -> Column:
@@ -170,7 +181,7 @@ def pieces(value: Column, separators: Column) -> Column:
     bare = F.regexp_replace(value, r"^\s*\[([\s\S]*)\]\s*$", "$1")
     # Separators are set between control characters, also inside quotes; quoted pieces are then
     # matched as wholes, and the control characters inside them vanish with the white space.
-    cut = F.regexp_replace(bare, F.coalesce(separators, F.lit("(?!)")), F.lit(f"{_CUT}$0{_CUT}"))
+    cut = F.regexp_replace(bare, separators, F.lit(f"{_CUT}$0{_CUT}"))
     quoted = rf"[\s\[{_CUT}]*(?:\"[^\"]*\"|'[^']*'|“[^”]*”)[^{_CUT}]*"
     found = F.regexp_extract_all(cut, F.lit(rf"{quoted}|[^{_CUT}]+"), F.lit(0))
     cleaned = F.filter(F.transform(found, clean_piece), lambda p: ~p.rlike(r"^[;,、|.&+#]*$"))

@@ -29,6 +29,8 @@ def test_unused_separator_is_not_inferred(spark):
     df = spark.createDataFrame([(i, "s", "A01B1/02-x, y", 0) for i in range(20)] + [(100 + i, "t", "A01B1/02,C02D3/14", 0) for i in range(20)], SCHEMA)
     scores = {(r.src, r.candidate): r.score for r in packed.score_delimiters(df, ["src"], "v").collect()}
     assert scores[("t", "comma")] > 0.5 and scores.get(("s", "comma"), 0) < 0.5
+    got = {r.src: r.pieces for r in packed.split_packed(df, ["src"], "v").collect()}
+    assert got["t"] == ["A01B1/02", "C02D3/14"] and got["s"] == ["A01B1/02-X,Y"]
 
 
 def test_empty_null_source_and_long(spark):
