@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
+from ..functions.dates import quarter_label
+from . import records
 
+COVERAGE_DIMENSIONS = ["patent_type_group", "industry", "relation", "applicant_type"]
 MISSING, MULTI = "__MISSING__", "__MULTI__"
 CURRENT, HISTORICAL = "2026.01", "2025.01"
 
@@ -50,6 +53,23 @@ def collapse(values):
     return F.when(n == 0, MISSING).when(n > 1, MULTI).otherwise(F.get(values, F.lit(0)))
 
 
+def coverage_apps(core: DataFrame, edges: DataFrame, industries: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Every dated application of an eligible firm, of any type, with ``has_ipc`` and the dimensions.
+
+    ``industries`` has ``application_no`` and ``industry``, several rows per application where they differ.
+    """
+    valid = dictionary.where("is_valid and ipc_level = 'subclass'").select(F.col("ipc_code").alias("s")).distinct()
+    one = lambda c: collapse(F.collect_set(F.nullif(F.trim(c), F.lit("")))).alias(c)
+    held = edges.where("baseline_eligible = 1").groupBy("application_no").agg(one("relation"), one("applicant_type"))
+    apps = records.with_firm_counts(core, edges).where("eligible_firm_count > 0 and application_date is not null")
+    coded = apps.select("application_no", F.explode("ipc_subclasses").alias("s")).join(valid, "s", "left_semi").select("application_no").distinct().withColumn("has_ipc", F.lit(True))
+    named = industries.groupBy("application_no").agg(one("industry"))
+    joined = apps.select("application_no", "application_date", "patent_type_group").join(held, "application_no").join(named, "application_no", "left").join(coded, "application_no", "left")
+    return joined.select(
+        "application_no", F.year("application_date").alias("year"), quarter_label(F.col("application_date")).alias("quarter"), F.coalesce("has_ipc", F.lit(False)).alias("has_ipc"), *COVERAGE_DIMENSIONS
+    )
+
+
 def coverage_by_dimension(apps: DataFrame, dimensions: list[str]) -> DataFrame:
     """Coded and missing applications by year, quarter and category of each dimension, and overall.
 

@@ -196,18 +196,15 @@ def run_audit(spark: SparkSession, config: Config) -> dict:
 def run_coverage(spark: SparkSession, config: Config) -> dict:
     """Coding coverage by quarter and dimension over the outputs of the code job."""
     out = config.output
-    universe, edges = spark.read.parquet(f"{out}/patent_universe"), spark.read.parquet(f"{out}/patent_firm_edge").where("baseline_eligible = 1")
-    valid = dict_sources.read_dictionary(spark, config.dictionary).where("is_valid and ipc_level = 'subclass'").select(F.col("ipc_code").alias("s")).distinct()
-    coded = universe.select("application_no", F.explode("ipc_subclasses").alias("s")).join(valid, "s", "left_semi").select("application_no").distinct().withColumn("has_ipc", F.lit(True))
-    held = edges.groupBy("application_no").agg(audits.collapse(F.collect_set("relation_type")).alias("relation"), audits.collapse(F.collect_set(F.nullif(F.col("applicant_type"), F.lit("")))).alias("applicant_type"))
-    apps = universe.select("application_no", "application_date", "patent_type_group").join(coded, "application_no", "left").join(held, "application_no", "left")
-    apps = apps.select(F.year("application_date").alias("year"), quarter_label(F.col("application_date")).alias("quarter"), "patent_type_group", "relation", "applicant_type", F.coalesce("has_ipc", F.lit(False)).alias("has_ipc"))
-    coverage = audits.coverage_by_dimension(apps, ["patent_type_group", "relation", "applicant_type"])
+    core, edges = spark.read.parquet(f"{out}/patent_core"), spark.read.parquet(f"{out}/patent_firm_edge")
+    rows = fields_of(read_logical(spark, config.input, "prefix")).where((F.col("application_no") != "") & (codes.eligible_relation(F.col("relation")) == 1))
+    apps = audits.coverage_apps(core, edges, rows.select("application_no", "industry"), dict_sources.read_dictionary(spark, config.dictionary))
+    coverage = audits.coverage_by_dimension(apps, audits.COVERAGE_DIMENSIONS)
     sinks.write_parquet(coverage, f"{out}/coverage")
     coverage = spark.read.parquet(f"{out}/coverage")
     annual = audits.coverage_annual(coverage)
     sinks.write_csv(annual, f"{out}/coverage_annual_csv")
-    facts = {"rows": coverage.count(), "applications": universe.count()}
+    facts = {"rows": coverage.count(), "applications": coverage.where("dimension = 'overall'").agg(F.coalesce(F.sum("patent_count"), F.lit(0))).first()[0]}
     sinks.write_report(f"{out}/coverage.md", "Coverage", facts, {"By year": annual.where("dimension = 'overall'").orderBy("year")})
     return facts
 

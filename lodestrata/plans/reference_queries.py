@@ -365,7 +365,7 @@ cov AS (SELECT *, patent_count - ipc_coded_patent_count AS ipc_missing_patent_co
 
 @query(f"{_COVERAGE}\n#SELECT * FROM cov", ("ipc_coding_rate", "ipc_missing_rate"))
 def coverage_by_dimension(spark, d):
-    """Coding coverage by quarter and dimension."""
+    """Coding coverage of the baseline universe by quarter and dimension; ``coverage_eligible_by_dimension`` has all eligible applications."""
     return _coverage(spark, d)
 
 
@@ -375,10 +375,40 @@ def coverage_by_dimension(spark, d):
     ("ipc_coding_rate", "ipc_missing_rate"),
 )
 def coverage_annual(spark, d):
-    """Coding coverage by year and dimension."""
+    """Coding coverage of the baseline universe by year and dimension; ``coverage_eligible_annual`` has all eligible applications."""
     return audits.coverage_annual(_coverage(spark, d))
 
 
+def _coverage_eligible(spark, d):
+    core, edges = _core_edges(spark, d)
+    industries = edges.where("baseline_eligible = 1").join(table(spark, d, "firms").select("stkcd", "industry"), "stkcd").select("application_no", "industry")
+    return audits.coverage_by_dimension(audits.coverage_apps(core, edges, industries, table(spark, d, "ipc_dictionary")), audits.COVERAGE_DIMENSIONS)
+
+
+_COVERAGE_ELIGIBLE = f"""{S.UNIVERSE}, el AS (SELECT * FROM counted WHERE eligible_firm_count > 0 AND application_date IS NOT NULL),
+cd AS (SELECT DISTINCT application_no FROM (SELECT application_no, unnest(string_split(ipc_subclasses, '|')) AS s FROM el) WHERE s IN (SELECT ipc_code FROM ipc_dictionary WHERE is_valid AND ipc_level = 'subclass')),
+held AS (SELECT application_no, {', '.join(f"{_collapse_sql(f'nullif(trim({c}), {chr(39) * 2})')} AS {c}" for c in audits.COVERAGE_DIMENSIONS[1:])} FROM edge LEFT JOIN firms USING (stkcd) WHERE baseline_eligible = 1 GROUP BY 1),
+ap AS (SELECT year(application_date) AS year, {S.quarter('application_date')} AS quarter, patent_type_group, industry, relation, applicant_type, application_no IN (SELECT application_no FROM cd) AS has_ipc FROM el JOIN held USING (application_no)),
+cov0 AS ({' UNION ALL '.join(f"SELECT year, quarter, '{n}' AS dimension, {c} AS category, count(*) AS patent_count, count(*) FILTER (has_ipc) AS ipc_coded_patent_count FROM ap GROUP BY ALL" for n, c in (("overall", "'all'"), *((x, x) for x in audits.COVERAGE_DIMENSIONS)))})"""
+_COVERAGE_RATES = "patent_count - ipc_coded_patent_count AS ipc_missing_patent_count, ipc_coded_patent_count / patent_count::double AS ipc_coding_rate, (patent_count - ipc_coded_patent_count) / patent_count::double AS ipc_missing_rate"
+
+
+@query(f"{_COVERAGE_ELIGIBLE}\n#SELECT *, {_COVERAGE_RATES} FROM cov0", ("ipc_coding_rate", "ipc_missing_rate"))
+def coverage_eligible_by_dimension(spark, d):
+    """Coding coverage of all dated applications of eligible firms, by quarter and dimension."""
+    return _coverage_eligible(spark, d)
+
+
+@query(
+    f"""{_COVERAGE_ELIGIBLE}, ann AS (SELECT year, dimension, category, sum(patent_count)::bigint AS patent_count, sum(ipc_coded_patent_count)::bigint AS ipc_coded_patent_count FROM cov0 GROUP BY ALL)
+\n#SELECT *, {_COVERAGE_RATES} FROM ann""",
+    ("ipc_coding_rate", "ipc_missing_rate"),
+)
+def coverage_eligible_annual(spark, d):
+    """Coding coverage of all dated applications of eligible firms, by year and dimension."""
+    return audits.coverage_annual(_coverage_eligible(spark, d))
+
+
 @query("\n#SELECT scheme_version, ipc_level, is_valid, count(*) AS n_codes FROM ipc_dictionary GROUP BY ALL")
 def dictionary_summary(spark, d):
     """Dictionary entries by version, level and validity."""

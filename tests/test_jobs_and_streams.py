@@ -45,6 +45,28 @@ def test_coverage_job(spark, config, tmp_path):
     assert {(r.quarter, r.patent_count, r.ipc_coding_rate) for r in rows} == {("1985Q1", 1, 1.0), ("1994Q1", 1, 1.0)}
 
 
+def test_coverage_job_takes_every_eligible_type(spark, config, tmp_path):
+    from dataclasses import replace
+
+    lines = [
+        row(f4="上市公司本身", f6="制造业", f9="外观设计", f11="企业", f16="CN3", f17="2001-01-01"),
+        row(f4="上市公司本身", f6="", f9="发明授权", f11="企业", f16="CN4", f17="2001-02-01", f25="A01B1/00;G06F1/00", f26="A01B1/00"),
+        row(f4="上市公司的子公司", f6="农业", f9="PCT发明", f16="CN5", f17="2001-03-01"),
+        row(f4="上市公司本身", f6="农业", f9="PCT发明", f16="CN5", f17="2001-03-01"),
+        row(f4="供应商", f6="农业", f9="外观设计", f16="CN6", f17="2001-03-01"),
+    ]
+    (tmp_path / "in.csv").write_text("head\n" + "\n".join(",".join(r) for r in lines) + "\n", encoding="utf-8")
+    spark.createDataFrame([("A01B", "subclass", True)], "ipc_code string, ipc_level string, is_valid boolean").write.parquet(str(tmp_path / "dict"))
+    jobs.run_codes(spark, config)
+    assert jobs.run_coverage(spark, replace(config, dictionary=str(tmp_path / "dict")))["applications"] == 3
+    got = {(r.dimension, r.category): (r.patent_count, r.ipc_coded_patent_count) for r in spark.read.parquet(f"{config.output}/coverage").collect()}
+    assert got == {
+        ("overall", "all"): (3, 1), ("patent_type_group", "design"): (1, 0), ("patent_type_group", "invention"): (1, 1), ("patent_type_group", "other"): (1, 0),
+        ("industry", "制造业"): (1, 0), ("industry", "__MISSING__"): (1, 1), ("industry", "农业"): (1, 0), ("relation", "上市公司本身"): (2, 1),
+        ("relation", "上市公司本身; 上市公司的子公司"): (1, 0), ("applicant_type", "企业"): (2, 1), ("applicant_type", "__MISSING__"): (1, 0),
+    }
+
+
 def test_dictionary_job(spark, tmp_path):
     from test_sources import FLAT, zipped
 
