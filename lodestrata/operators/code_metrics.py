@@ -13,6 +13,12 @@ from .barrier import broadcast_if_small
 
 CURRENT, HISTORICAL = "2026.01", "2025.01"
 TAXONOMY_SIZE, ALPHA = 655, 1.0
+#: The metrics summarised by period.
+PERIOD_METRICS = [
+    "patent_count", "invention_patent_count", "utility_model_patent_count", "design_patent_count", "eligible_all_patent_count", "ipc_coded_patent_count", "ipc_coding_rate",
+    "ipc_entropy", "ipc_hhi", "ipc_one_minus_hhi", "average_patent_scope", "median_patent_scope", "related_variety", "unrelated_variety", "average_technological_distance",
+    "median_technological_distance", "rao_stirling_diversity", "multi_ipc_patent_share", "novel_pair_share", "novel_patent_share", "pair_rarity_mean",
+]
 ROLLING_SUMS = ["patent_count", "invention_patent_count", "novel_patent_count", "all_ipc_pair_count", "novel_ipc_pair_count"]
 
 

@@ -77,7 +77,7 @@ def run_codes(spark: SparkSession, config: Config) -> dict:
     sinks.write_csv(formal.coalesce(1).orderBy("quarter"), f"{out}/quarterly_metrics_csv")
     sinks.write_parquet(code_metrics.relatedness_matrix(code_edges), f"{out}/relatedness_matrix")
     measured = ["patent_count", "ipc_coding_rate", "ipc_entropy", "ipc_hhi", "novel_pair_share", "rao_stirling_diversity"]
-    summary = code_metrics.period_summary(formal, measured)
+    summary = code_metrics.period_summary(formal, code_metrics.PERIOD_METRICS)
     sinks.write_parquet(summary, f"{out}/period_summary")
     sinks.write_parquet(code_metrics.pair_history(events), f"{out}/pair_history")
     facts = {"applications": core.count(), "universe": universe.count(), "pairs": events.count(), "settings": config.as_dict()}

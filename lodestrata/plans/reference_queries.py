@@ -286,10 +286,21 @@ _PERIOD = "CASE " + " ".join(f"WHEN {{y}} BETWEEN {a} AND {b} THEN '{a}-{b}'" fo
     ("sum", "mean", "median", "first", "last", "min", "max"),
 )
 def period_summary(spark, d):
-    """Quarterly metrics summarised by period."""
+    """Seven quarterly metrics summarised by period; ``period_summary_full`` has all 21."""
     return code_metrics.period_summary(_metrics(spark, d)[0], _SUMMED)
 
 
+@query(
+    f"""{S.METRICS}, lg AS ({' UNION ALL '.join(f"SELECT quarter, '{c}' AS metric, {c}::double AS value FROM metrics" for c in code_metrics.PERIOD_METRICS)}), kp AS (SELECT *, {_PERIOD.format(y='left(quarter, 4)::int')} AS period FROM lg)
+\n#SELECT period, metric, count(*) AS quarter_count, count(value) AS non_null_count, sum(value) AS sum, avg(value) AS mean, median(value) AS median, arg_min(value, quarter) FILTER (value IS NOT NULL) AS first,
+ arg_max(value, quarter) FILTER (value IS NOT NULL) AS last, min(value) AS min, max(value) AS max FROM kp WHERE period IS NOT NULL GROUP BY ALL""",
+    ("sum", "mean", "median", "first", "last", "min", "max"),
+)
+def period_summary_full(spark, d):
+    """The 21 quarterly metrics summarised by period."""
+    return code_metrics.period_summary(_metrics(spark, d)[0], code_metrics.PERIOD_METRICS)
+
+
 @query(
     f"""{S.PAIRS}, fi AS (SELECT quarter, count(*) AS n FROM (SELECT pair_id, min(quarter) AS quarter FROM ev GROUP BY 1) GROUP BY 1), oc AS (SELECT quarter, count(*) AS n FROM ev GROUP BY 1)
 \n#SELECT quarter, oc.n AS pair_occurrences, coalesce(fi.n, 0) AS new_pairs, (sum(oc.n) OVER (ORDER BY quarter))::bigint AS cumulative_occurrences, (sum(coalesce(fi.n, 0)) OVER (ORDER BY quarter))::bigint AS cumulative_pairs FROM oc LEFT JOIN fi USING (quarter)"""

@@ -35,6 +35,12 @@ def test_codes_job_and_resume(spark, config):
     assert jobs.run_codes(spark, config) == facts
 
 
+def test_codes_job_summarises_all_metrics(spark, config):
+    jobs.run_codes(spark, config)
+    got = {r.metric: r for r in spark.read.parquet(f"{config.output}/period_summary").where("period = '1994-1999'").collect()}
+    assert len(got) == 21 and got["average_patent_scope"]["mean"] == 2.0 and got["multi_ipc_patent_share"]["last"] == 1.0 and got["utility_model_patent_count"]["sum"] == 0.0
+
+
 def test_coverage_job(spark, config, tmp_path):
     from dataclasses import replace
 
