@@ -289,6 +289,18 @@ def pair_history(events: DataFrame) -> DataFrame:
     return joined.select("quarter", "pair_occurrences", "new_pairs", F.sum("pair_occurrences").over(w).alias("cumulative_occurrences"), F.sum("new_pairs").over(w).alias("cumulative_pairs"))
 
 
+def pre_sample_counts(universe: DataFrame, events: DataFrame, last_year: int = 1993) -> DataFrame:
+    """Per year up to ``last_year``: applications of the universe, and pairs and occurrences seen by its end."""
+    years = universe.where(F.year("application_date") <= last_year).groupBy(F.year("application_date").alias("year")).agg(F.count(F.lit(1)).alias("record_count"))
+    seen = events.where(F.year("application_date") <= last_year)
+    firsts = seen.groupBy("pair_id").agg(F.min(F.year("application_date")).alias("year")).groupBy("year").agg(F.count(F.lit(1)).alias("new"))
+    rows = seen.groupBy(F.year("application_date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    w = W.orderBy("year").rowsBetween(W.unboundedPreceding, 0)
+    total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    joined = years.join(firsts, "year", "left").join(rows, "year", "left")
+    return joined.select("year", "record_count", total("new").alias("seen_pair_count"), total("n").alias("pair_occurrence_count"))
+
+
 def annual_reconciliation(ours: DataFrame, theirs: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Full outer join of two yearly counts with their difference and status.
 

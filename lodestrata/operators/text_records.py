@@ -188,3 +188,43 @@ def history_audit(rows: DataFrame) -> DataFrame:
     one = lambda df: df.select(F.struct("*")).scalar()
     both = bounds.withColumn("h", one(history)).withColumn("k", one(keys))
     return both.select(*bounds.columns, "h.*", "k.*")
+
+
+def group_diagnostics(groups: DataFrame) -> DataFrame:
+    """Per quarter: number of groups, share of small ones and applications, from the group table."""
+    return groups.groupBy("quarter").agg(F.count_distinct("listed_parent").alias("group_count"), F.avg("low_sample_flag").alias("low_sample_share"), F.sum("patent_count").alias("group_patent_count"))
+
+
+def quality_audit(scored: DataFrame, market: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: keys, baseline rows, history, ranges and coverage of scored texts and of both tables made from them.
+
+    A date whose history is not one value counts as a mismatch once, one whose smallest differs from the
+    number of valid texts before it once more.
+    """
+    baseline, valid = F.coalesce("baseline_eligible", F.lit(0)) == 1, F.col("abstract_length_chars") > 0
+    daily = scored.groupBy("application_date").agg(
+        F.count_if(valid).alias("n"), F.min("history_document_count").alias("h0"), F.max("history_document_count").alias("h1"), F.count_distinct("history_document_count").alias("k")
+    )
+    w = W.partitionBy(F.lit(1)).orderBy("application_date").rowsBetween(W.unboundedPreceding, -1)
+    dates = daily.withColumn("want", F.coalesce(F.sum("n").over(w), F.lit(0))).agg(
+        F.max("k").alias("same_day_history_max_unique_values"), F.sum((F.col("h0") != F.col("h1")).cast("bigint") + (F.col("h0") != F.col("want")).cast("bigint")).alias("pit_history_mismatch_dates")
+    )
+    rows = scored.agg(
+        F.count(F.lit(1)).alias("metric_rows"), (F.count(F.lit(1)) - F.count_distinct("application_no")).alias("metric_duplicate_application_nos"),
+        F.count_if(baseline & ~F.coalesce(F.col("patent_type_group").isin("invention", "utility_model"), F.lit(False))).alias("baseline_type_bad_rows"),
+        F.count_if(baseline & ~F.coalesce(F.trim("relation").isin("上市公司本身", "上市公司的子公司"), F.lit(False))).alias("baseline_relation_bad_rows"),
+        F.count_if(F.col("application_date_conflict") == 1).alias("application_date_conflict_rows"), F.count_if(valid).alias("abstract_valid_count"),
+        F.try_divide(F.count_if(valid), F.count(F.lit(1))).alias("abstract_coverage_rate"),
+        F.min("history_document_count").alias("history_count_min"), F.max("history_document_count").alias("history_count_max"),
+        F.min("unseen_ngram_share").alias("unseen_ngram_min"), F.max("unseen_ngram_share").alias("unseen_ngram_max"),
+        F.min("prior_centroid_novelty").alias("novelty_min"), F.max("prior_centroid_novelty").alias("novelty_max"),
+    )
+    want = F.try_divide("valid_abstract_count", "patent_count")
+    quarters = market.agg(
+        F.count(F.lit(1)).alias("market_quarter_rows"), (F.count(F.lit(1)) - F.count_distinct("quarter")).alias("market_duplicate_quarters"),
+        F.count_if(F.col("valid_abstract_count") > F.col("patent_count")).alias("coverage_bad_quarters"), F.count_if(F.abs(F.col("abstract_coverage") - want) > 1e-12).alias("coverage_rate_mismatch_quarters"),
+    )
+    keyed = groups.agg(
+        F.count(F.lit(1)).alias("group_rows"), (F.count(F.lit(1)) - F.count_distinct(F.struct("listed_parent", "quarter"))).alias("group_duplicate_keys"), F.avg("low_sample_flag").alias("group_low_sample_share_mean")
+    )
+    return rows.crossJoin(dates).crossJoin(quarters).crossJoin(keyed)

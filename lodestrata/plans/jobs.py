@@ -80,7 +80,12 @@ def run_codes(spark: SparkSession, config: Config) -> dict:
     summary = code_metrics.period_summary(formal, code_metrics.PERIOD_METRICS)
     sinks.write_parquet(summary, f"{out}/period_summary")
     sinks.write_parquet(code_metrics.pair_history(events), f"{out}/pair_history")
-    facts = {"applications": core.count(), "universe": universe.count(), "pairs": events.count(), "settings": config.as_dict()}
+    early = code_metrics.pre_sample_counts(universe, events).orderBy("year").collect()
+    facts = {
+        "applications": core.count(), "universe": universe.count(), "pairs": events.count(), "settings": config.as_dict(),
+        "pre_sample_record_count": sum(r.record_count for r in early), "pre_sample_year_counts": {str(r.year): r.record_count for r in early},
+        "pre_sample_seen_pair_count": early[-1].seen_pair_count if early else 0, "pre_sample_pair_occurrence_count": early[-1].pair_occurrence_count if early else 0,
+    }
     sinks.write_json(f"{out}/manifest.json", facts)
     sinks.write_report(f"{out}/report.md", "Code metrics", facts, {"Periods": summary.orderBy("metric", "period")})
     sinks.write_plots(formal, measured, f"{out}/diagnostics.png")
@@ -113,7 +118,9 @@ def run_text(spark: SparkSession, config: Config) -> dict:
     grouped = scored.drop("listed_parent").join(edges, F.col("application_no") == F.col("a"))
     sinks.write_parquet(text_records.text_by_quarter(grouped, ["listed_parent", "quarter"], metrics, config.min_group_patents), f"{out}/group_quarter")
     sinks.write_parquet(text_records.text_period_summary(scored, metrics), f"{out}/period_summary")
-    audit = text_records.history_audit(scored).first().asDict()
+    groups = spark.read.parquet(f"{out}/group_quarter")
+    sinks.write_csv(text_records.group_diagnostics(groups).coalesce(1).orderBy("quarter"), f"{out}/group_diagnostics_csv")
+    audit = text_records.history_audit(scored).first().asDict() | text_records.quality_audit(scored, spark.read.parquet(f"{out}/market_quarter"), groups).first().asDict()
     sinks.write_json(f"{out}/audit.json", audit)
     sinks.write_report(f"{out}/report.md", "Text metrics", audit, {"Quarters": market.orderBy("quarter")})
     return audit

@@ -310,6 +310,17 @@ def pair_history(spark, d):
     return code_metrics.pair_history(_events(spark, d))
 
 
+@query(
+    f"""{S.PAIRS}, yr AS (SELECT year(application_date) AS year, count(*) AS record_count FROM universe WHERE year(application_date) <= 1993 GROUP BY 1)
+\n#SELECT year, record_count, (SELECT count(DISTINCT pair_id) FROM ev WHERE year(ev.application_date) <= yr.year) AS seen_pair_count, (SELECT count(*) FROM ev WHERE year(ev.application_date) <= yr.year) AS pair_occurrence_count FROM yr"""
+)
+def pre_sample_counts(spark, d):
+    """Applications and pairs before the formal sample, per year."""
+    universe = materialize(_universe(spark, d))
+    edges = materialize(code_metrics.code_edges(universe, table(spark, d, "ipc_dictionary")))
+    return code_metrics.pre_sample_counts(universe, materialize(code_metrics.pair_events(edges)))
+
+
 @query(
     f"""{S.CORE}, a AS (SELECT year(application_date) AS year, count(*) AS ours FROM core WHERE application_date IS NOT NULL GROUP BY 1), b AS (SELECT year({S.date('grant_date')}) AS year, count(*) AS theirs FROM raw_records WHERE {S.date('grant_date')} IS NOT NULL GROUP BY 1)
 \n#SELECT year, ours, theirs, ours - theirs AS difference, CASE WHEN ours IS NULL THEN 'missing_ours' WHEN theirs IS NULL THEN 'missing_theirs' WHEN ours = theirs THEN 'equal' WHEN ours > theirs THEN 'higher' ELSE 'lower' END AS status FROM a FULL JOIN b USING (year)"""
@@ -534,8 +545,11 @@ sj AS (SELECT sedge.listed_parent, scd.* EXCLUDE (listed_parent) FROM sedge JOIN
 )
 def text_group_quarter(spark, d):
     """Text metrics per listed parent and quarter."""
+    return _text_groups(spark, d, materialize(_scored(spark, d)))
+
+
+def _text_groups(spark, d, scored):
     rows = _text(spark, d)
-    scored = materialize(_scored(spark, d))
     edges = text_records.text_firm_edges(rows, scored).select("listed_parent", F.col("application_no").alias("a"))
     return text_records.text_by_quarter(scored.drop("listed_parent").join(edges, F.col("application_no") == F.col("a")), ["listed_parent", "quarter"], TEXT_METRICS, min_group=10)
 
@@ -563,6 +577,37 @@ def pit_history_audit(spark, d):
     return text_records.history_audit(materialize(_scored(spark, d)))
 
 
+_GROUPS = f"""{_SCORED}, sedge AS (SELECT DISTINCT tr.listed_parent, tr.application_no FROM tr JOIN tc USING (application_no) WHERE tr.baseline_eligible = 1 AND application_date_conflict = 0),
+gq AS (SELECT sedge.listed_parent, quarter, count(*) AS patent_count, (count(*) FILTER (abstract_length_chars > 0) < 10)::int AS low_sample_flag FROM sedge JOIN scd USING (application_no) GROUP BY ALL)"""
+
+
+@query(f"{_GROUPS}\n#SELECT quarter, count(DISTINCT listed_parent) AS group_count, avg(low_sample_flag) AS low_sample_share, sum(patent_count)::bigint AS group_patent_count FROM gq GROUP BY 1", ("low_sample_share",))
+def text_group_diagnostics(spark, d):
+    """Groups, share of small groups and applications per quarter."""
+    return text_records.group_diagnostics(_text_groups(spark, d, materialize(_scored(spark, d))))
+
+
+@query(
+    f"""{_GROUPS}, dq AS (SELECT application_date, count(*) FILTER (abstract_length_chars > 0) AS n, max(history_document_count) AS h1, min(history_document_count) AS h0, count(DISTINCT history_document_count) AS k FROM scd GROUP BY 1),
+dw AS (SELECT *, coalesce(sum(n) OVER (ORDER BY application_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS want FROM dq),
+mq AS (SELECT quarter, count(*) AS patent_count, count(*) FILTER (abstract_length_chars > 0) AS valid FROM scd GROUP BY 1),
+a AS (SELECT count(*) AS metric_rows, count(*) - count(DISTINCT application_no) AS metric_duplicate_application_nos, count(*) FILTER (baseline_eligible = 1 AND patent_type_group NOT IN ('invention', 'utility_model')) AS baseline_type_bad_rows,
+ count(*) FILTER (baseline_eligible = 1 AND coalesce(trim(relation), '') NOT IN ('上市公司本身', '上市公司的子公司')) AS baseline_relation_bad_rows, count(*) FILTER (application_date_conflict = 1) AS application_date_conflict_rows,
+ count(*) FILTER (abstract_length_chars > 0) AS abstract_valid_count, count(*) FILTER (abstract_length_chars > 0) / count(*)::double AS abstract_coverage_rate, min(history_document_count) AS history_count_min, max(history_document_count) AS history_count_max,
+ min(unseen_ngram_share) AS unseen_ngram_min, max(unseen_ngram_share) AS unseen_ngram_max, min(prior_centroid_novelty) AS novelty_min, max(prior_centroid_novelty) AS novelty_max FROM scd),
+b AS (SELECT max(k) AS same_day_history_max_unique_values, sum((h0 <> h1)::int + (h0 <> want)::int)::bigint AS pit_history_mismatch_dates FROM dw),
+c AS (SELECT count(*) AS market_quarter_rows, count(*) - count(DISTINCT quarter) AS market_duplicate_quarters, count(*) FILTER (valid > patent_count) AS coverage_bad_quarters, 0::bigint AS coverage_rate_mismatch_quarters FROM mq),
+e AS (SELECT count(*) AS group_rows, count(*) - count(DISTINCT (listed_parent, quarter)) AS group_duplicate_keys, avg(low_sample_flag) AS group_low_sample_share_mean FROM gq)
+\n#SELECT * FROM a, b, c, e""",
+    ("abstract_coverage_rate", "unseen_ngram_min", "unseen_ngram_max", "novelty_min", "novelty_max", "group_low_sample_share_mean"),
+)
+def text_quality_audit(spark, d):
+    """The 22 structural, history and range checks of the text outputs."""
+    scored = materialize(_scored(spark, d))
+    market = materialize(text_records.text_by_quarter(scored, ["quarter"], TEXT_METRICS))
+    return text_records.quality_audit(scored, market, materialize(_text_groups(spark, d, scored)))
+
+
 # ---- similarity ---------------------------------------------------------------------------------
 
 

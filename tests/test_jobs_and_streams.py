@@ -41,6 +41,16 @@ def test_codes_job_summarises_all_metrics(spark, config):
     assert len(got) == 21 and got["average_patent_scope"]["mean"] == 2.0 and got["multi_ipc_patent_share"]["last"] == 1.0 and got["utility_model_patent_count"]["sum"] == 0.0
 
 
+def test_pre_sample_counts_and_quality_audit(spark, config):
+    from pathlib import Path
+
+    facts = jobs.run_codes(spark, config)
+    assert (facts["pre_sample_record_count"], facts["pre_sample_year_counts"], facts["pre_sample_seen_pair_count"], facts["pre_sample_pair_occurrence_count"]) == (1, {"1985": 1}, 1, 1)
+    audit = jobs.run_text(spark, config)
+    assert (audit["baseline_type_bad_rows"], audit["group_duplicate_keys"], audit["history_count_max"], audit["pit_history_mismatch_dates"]) == (0, 0, 1, 0)
+    assert "1994Q1,1,1.0,1" in "".join(p.read_text(encoding="utf-8") for p in Path(config.output, "group_diagnostics_csv").glob("*.csv"))
+
+
 def test_coverage_job(spark, config, tmp_path):
     from dataclasses import replace
 
