@@ -57,9 +57,9 @@ def fingerprint(spark, path: str) -> dict:
     return row.first().asDict()
 
 
-def markdown_table(df: DataFrame, limit: int = 50) -> str:
-    """The first ``limit`` rows as a Markdown table; meant for summaries."""
-    rows = df.limit(limit).collect()
+def markdown_table(df: DataFrame) -> str:
+    """All rows as a Markdown table; meant for summaries."""
+    rows = df.collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
     return head + "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)
 

@@ -124,3 +124,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_report(tmp_path / "r.md", "T", {"n": 1}, {"rows": df})
     assert "| a |" in Path(tmp_path / "r.md").read_text()
     assert sinks.fingerprint(spark, str(tmp_path / "m"))["files"] == 1
+
+
+def test_report_has_every_row(spark):
+    from lodestrata.sources.sinks import markdown_table
+
+    assert markdown_table(spark.range(60).orderBy("id")).endswith("| 59 |")
