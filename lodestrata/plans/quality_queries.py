@@ -53,6 +53,11 @@ def p3_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_lines.sound_rows(table(spark, sf_dir, "raw_lines").select("row_id", "raw_text")).drop("raw_text")
 
 
+def p3_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad rows with the reason, the number of fields and the text as it came."""
+    return parse_lines.quarantined(table(spark, sf_dir, "raw_lines"), "row_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Firm keys holding at least 2 % of the rows."""
     out = None
@@ -108,7 +113,7 @@ def logical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logical_modes(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_delimiters, p3_found, p3_sound, p6_found, p6_firms, logical_records)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_delimiters, p3_found, p3_sound, p3_quarantine, p6_found, p6_firms, logical_records)}
 
 # ---- the same in DuckDB -------------------------------------------------------------------------
 
@@ -139,14 +144,15 @@ p AS (SELECT rec_id, field_name, len(l) AS n, unnest(range(1, len(l) + 1))::int
 
 _FIELD = r'"(?:[^"]|"")*"|[^",][^,]*|'
 _PARSED = rf"""q AS (SELECT row_id, raw_text, regexp_full_match(raw_text, '(?s)(?:{_FIELD})(?:,(?:{_FIELD}))*') AS ok FROM raw_lines),
-w AS (SELECT row_id, ok, CASE WHEN ok THEN list_transform(regexp_extract_all(',' || raw_text, '(?s),({_FIELD})', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) END AS l FROM q),
-r AS (SELECT row_id, l, CASE WHEN ok IS NULL THEN 'column_count' WHEN NOT ok THEN 'quoting' WHEN len(l) <> 31 THEN 'column_count' WHEN NOT regexp_matches(l[1], '\p{{Nd}}') THEN 'stock_code' WHEN {no_value('l[17]')} THEN 'application_no'
+w AS (SELECT row_id, raw_text, ok, CASE WHEN ok THEN list_transform(regexp_extract_all(',' || raw_text, '(?s),({_FIELD})', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) END AS l FROM q),
+r AS (SELECT row_id, raw_text, l, CASE WHEN ok IS NULL THEN 'column_count' WHEN NOT ok THEN 'quoting' WHEN len(l) <> 31 THEN 'column_count' WHEN NOT regexp_matches(l[1], '\p{{Nd}}') THEN 'stock_code' WHEN {no_value('l[17]')} THEN 'application_no'
  WHEN {full_date_sql('l[18]')} IS NULL THEN 'application_date' WHEN regexp_matches(l[29], '[\x{{fffd}}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]') THEN 'abstract' END AS fail_reason FROM w)"""
 
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_PIECES} SELECT rec_id, field_name, pos, ipc_value FROM p WHERE n >= 2",
     "p1_values": f"WITH {_PIECES} SELECT rec_id, field_name, pos, ipc_value FROM p",
     "p3_found": f"WITH {_PARSED} SELECT row_id, fail_reason FROM r WHERE fail_reason IS NOT NULL",
+    "p3_quarantine": f"WITH {_PARSED} SELECT row_id, fail_reason, len(l)::int AS n_fields, raw_text AS corrupt_text FROM r WHERE fail_reason IS NOT NULL",
     "p3_sound": f"WITH {_PARSED} SELECT row_id, {', '.join(f'l[{i + 1}] AS {c}' for i, c in enumerate(parse_lines.COLUMNS))} FROM r WHERE fail_reason IS NULL",
     "p6_found": "SELECT 'stkcd' AS field_name, stkcd AS key_value FROM raw_records WHERE stkcd IS NOT NULL GROUP BY stkcd HAVING count(*) >= 0.02 * (SELECT count(stkcd) FROM raw_records)"
     " UNION ALL SELECT 'listed_parent', listed_parent FROM text_records WHERE listed_parent IS NOT NULL GROUP BY listed_parent HAVING count(*) >= 0.02 * (SELECT count(listed_parent) FROM text_records)",

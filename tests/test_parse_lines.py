@@ -69,6 +69,26 @@ def test_edges(spark):
     assert got[5].fail_reason == "quoting" and got[6].abstract == "" and got[7].field_30 == "\n"
 
 
+def test_byte_order_mark_stays(spark):
+    bom = "\ufeff"
+    got = parsed(spark, [bom + line(f0="000001"), bom + bom + line(f0="1"), '"' + bom + '1"' + line(f0=""), line(f28=bom + "a"), bom, bom + '"x"' + line(f0="")])
+    assert [got[i].stkcd_raw for i in range(4)] == [bom + "000001", bom + bom + "1", bom + "1", '="001283"'] and got[3].abstract == bom + "a"
+    assert got[4].fail_reason == "column_count" and got[5].stkcd_raw == bom + '"x"'
+    marks = ["\ue00a", "\ue00d", "\ue00e", "\ue00e\ue00ea\n"]
+    got = parsed(spark, [line(f28=f"{m}b", f0=f"{m}c") for m in marks])
+    assert [(got[i].stkcd_raw, got[i].abstract, got[i].fail_reason) for i in range(4)] == [(f"{m}c", f"{m}b", "stock_code") for m in marks]
+
+
+def test_corrupt_text_is_kept(spark):
+    bad = [line(f28='"open'), line() + ",x", line(f17="2020-02-30"), ",".join("x" * 25_000), '"' + "," * 25_000]
+    got = parsed(spark, [*bad, line(f28='"' + "," * 25_000 + '"'), line(f30='"open'), None])
+    assert [got[i].corrupt_text for i in range(5)] == bad and got[3].n_fields == 25_000 and got[0].n_fields is None
+    assert [got[i].fail_reason for i in range(5)] == ["quoting", "column_count", "application_date", "column_count", "quoting"]
+    assert got[5].fail_reason is None and got[5].corrupt_text is None and len(got[5].abstract) == 25_000 and got[6].fail_reason == "quoting"
+    out = P.quarantined(spark.createDataFrame([(1, bad[0]), (2, line())], "row_id bigint, raw_text string"), "row_id").collect()
+    assert [(r.row_id, r.corrupt_text) for r in out] == [(1, bad[0])]
+
+
 def test_empty_table_and_clashing_names(spark):
     empty = spark.createDataFrame([], "row_id bigint, raw_text string")
     assert P.parse_lines(empty).count() == 0 and P.failures(empty, "row_id").count() == 0
