@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,30 +73,41 @@ def code_edges(universe: DataFrame, dictionary: DataFrame | None = None) -> Data
     )
 
 
+def _ordered_sum(items: Column) -> Column:
+    """Sum of an array from the left, so that a float result does not depend on how rows were spread."""
+    return F.aggregate(items, F.lit(0.0), lambda total, x: total + x)
+
+
 def code_mass(edges: DataFrame, period: str = "quarter") -> DataFrame:
-    """Sum of weights per period and subclass."""
-    return edges.groupBy(period, "ipc_subclass").agg(F.sum("fractional_weight").alias("mass"))
+    """Sum of weights per period and subclass.
+
+    Equal weights are counted and the few different ones summed in order, so the sum is the same
+    however rows are spread.
+    """
+    counts = edges.groupBy(period, "ipc_subclass", "fractional_weight").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.array_sort(F.collect_list(F.struct(F.col("fractional_weight").alias("w"), "n")))
+    return counts.groupBy(period, "ipc_subclass").agg(_ordered_sum(F.transform(parts, lambda p: p["w"] * p["n"])).alias("mass"))
 
 
 def diversity(mass: DataFrame, period: str = "quarter") -> DataFrame:
     """Entropy, concentration and its complement, related and unrelated variety per period.
 
     Variety is by three-character class: related = -sum p ln(m/g), unrelated = -sum p ln(g/T), with the
-    mass m of a code, g of its class and T of the period; they add up to the entropy.
+    mass m of a code, g of its class and T of the period; they add up to the entropy. Codes per period
+    are at most those of the taxonomy; they are summed in order of class and code.
     """
-    total = F.sum("mass").over(W.partitionBy(period))
-    group = F.sum("mass").over(W.partitionBy(period, "class"))
-    shares = mass.withColumn("class", F.substring("ipc_subclass", 1, 3)).select(
-        period, (F.col("mass") / total).alias("p"), (F.col("mass") / group).alias("within"), (group / total).alias("between")
-    )
-    return shares.groupBy(period).agg(
-        F.count(F.lit(1)).alias("unique_ipc_subclass_count"),
-        F.sum(-F.col("p") * F.log("p")).alias("ipc_entropy"),
-        F.sum(F.col("p") * F.col("p")).alias("ipc_hhi"),
-        (F.lit(1.0) - F.sum(F.col("p") * F.col("p"))).alias("ipc_one_minus_hhi"),
-        F.sum(-F.col("p") * F.log("within")).alias("related_variety"),
-        F.sum(-F.col("p") * F.log("between")).alias("unrelated_variety"),
-    )
+    code = F.struct("ipc_subclass", F.col("mass").alias("m"))
+    classes = mass.groupBy(period, F.substring("ipc_subclass", 1, 3).alias("class")).agg(F.array_sort(F.collect_list(code)).alias("codes"))
+    classes = classes.withColumn("g", _ordered_sum(F.transform("codes", lambda c: c["m"])))
+    periods = classes.groupBy(period).agg(F.array_sort(F.collect_list(F.struct("class", "g", "codes"))).alias("cs")).withColumn("t", _ordered_sum(F.transform("cs", lambda c: c["g"])))
+    flat = F.flatten(F.transform("cs", lambda c: F.transform(c["codes"], lambda x: F.struct((x["m"] / F.col("t")).alias("p"), (x["m"] / c["g"]).alias("within"), (c["g"] / F.col("t")).alias("between")))))
+    shares = periods.select(period, flat.alias("s"))
+    total = lambda f: _ordered_sum(F.transform("s", f))
+    hhi = total(lambda x: x["p"] * x["p"])
+    return shares.select(
+        period, F.size("s").cast("bigint").alias("unique_ipc_subclass_count"), total(lambda x: -x["p"] * F.log(x["p"])).alias("ipc_entropy"), hhi.alias("ipc_hhi"), (F.lit(1.0) - hhi).alias("ipc_one_minus_hhi"),
+        total(lambda x: -x["p"] * F.log(x["within"])).alias("related_variety"), total(lambda x: -x["p"] * F.log(x["between"])).alias("unrelated_variety"),
+    )
 
 
 def application_pairs(edges: DataFrame) -> DataFrame:
@@ -167,7 +178,8 @@ def rao_stirling(edges: DataFrame) -> DataFrame:
     """Rao-Stirling diversity per quarter, distances as they stood at its start.
 
     1 - sum p^2 - 2 sum_{a<b} p_a p_b r_ab, floored at 0; pairs without a history are at distance 1.
-    Only pairs that occurred before can have relatedness, so those are joined as of the quarter.
+    Only pairs that occurred before can have relatedness. A pair's cumulative counts hold for intervals
+    of quarters; each interval is spread over its quarters, so that every join is on the quarter too.
     """
     mass = code_mass(edges.withColumn("q", quarter_ordinal(F.col("application_date"))), "q")
     p = mass.withColumn("p", F.col("mass") / F.sum("mass").over(W.partitionBy("q"))).select("q", "ipc_subclass", "p")
@@ -175,23 +187,18 @@ def rao_stirling(edges: DataFrame) -> DataFrame:
     before = W.partitionBy("ipc_subclass").orderBy("q").rowsBetween(W.unboundedPreceding, -1)
     seen = per_code.select("ipc_subclass", "q", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
     pairs = application_pairs(edges).groupBy("ipc_a", "ipc_b", quarter_ordinal(F.col("application_date")).alias("pq")).agg(F.count(F.lit(1)).alias("n"))
-    # cumulative pair counts as intervals [from, to) of quarters, so that each quarter finds one row
     w = W.partitionBy("ipc_a", "ipc_b").orderBy("pq")
-    history = pairs.select("ipc_a", "ipc_b", F.col("pq").alias("lo"), F.lead("pq").over(w).alias("hi"), F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("n_pair"))
+    last = F.broadcast(edges.agg(quarter_ordinal(F.max("application_date")).alias("last")))
+    history = pairs.select("ipc_a", "ipc_b", (F.col("pq") + 1).alias("lo"), F.lead("pq").over(w).alias("hi"), F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("n_pair")).crossJoin(last)
+    history = history.withColumn("hi", F.coalesce("hi", "last")).where("lo <= hi").select("ipc_a", "ipc_b", "n_pair", F.explode(F.sequence("lo", "hi")).alias("q"))
     known = p.join(seen, ["q", "ipc_subclass"])
     a = known.select("q", F.col("ipc_subclass").alias("ipc_a"), F.col("p").alias("p_a"), F.col("n").alias("n_a"))
-    b = known.select(F.col("q").alias("q_b"), F.col("ipc_subclass").alias("ipc_b"), F.col("p").alias("p_b"), F.col("n").alias("n_b"))
-    cross = (
-        history.join(a, "ipc_a")
-        .where((F.col("lo") < F.col("q")) & (F.col("hi").isNull() | (F.col("hi") >= F.col("q"))))
-        .join(b, ["ipc_b"])
-        .where("q = q_b")
-        .groupBy("q")
-        .agg(F.sum(2 * F.col("p_a") * F.col("p_b") * (1 - distance(relatedness(F.col("n_pair"), F.col("n_a"), F.col("n_b"))))).alias("related"))
-    )
-    own = p.groupBy("q").agg(F.sum(F.col("p") * F.col("p")).alias("hhi"))
+    b = known.select("q", F.col("ipc_subclass").alias("ipc_b"), F.col("p").alias("p_b"), F.col("n").alias("n_b"))
+    related = 2 * F.col("p_a") * F.col("p_b") * (1 - distance(relatedness(F.col("n_pair"), F.col("n_a"), F.col("n_b"))))
+    cross = history.join(a, ["q", "ipc_a"]).join(b, ["q", "ipc_b"]).groupBy("q").agg(F.sum(related).alias("related"))
+    own = diversity(mass, "q").select("q", "ipc_hhi")
     return own.join(cross, "q", "left").select(
-        ordinal_label(F.col("q")).alias("quarter"), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("hhi") - F.coalesce("related", F.lit(0.0))).alias("rao_stirling_diversity")
+        ordinal_label(F.col("q")).alias("quarter"), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("ipc_hhi") - F.coalesce("related", F.lit(0.0))).alias("rao_stirling_diversity")
     )
 
 
@@ -262,7 +269,7 @@ def rolling_4q(metrics: DataFrame, mass: DataFrame) -> DataFrame:
     )
     pooled = (
         mass.select(F.explode(F.sequence(label_ordinal(F.col("quarter")), label_ordinal(F.col("quarter")) + 3)).alias("q"), "ipc_subclass", "mass")
-        .groupBy("q", "ipc_subclass").agg(F.sum("mass").alias("mass"))
+        .groupBy("q", "ipc_subclass").agg(_ordered_sum(F.array_sort(F.collect_list("mass"))).alias("mass"))
     )
     spread = diversity(pooled, "q").select("q", *[F.col(c).alias(f"{c}_4q") for c in ("ipc_entropy", "ipc_hhi", "ipc_one_minus_hhi")])
     full = ["ipc_entropy_4q", "ipc_hhi_4q", "ipc_one_minus_hhi_4q"]

@@ -262,7 +262,7 @@ _W4 = "OVER (ORDER BY quarter ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
 
 @query(
     f"""{S.METRICS}, sh AS (SELECT {S.qlabel("left(quarter, 4)::int * 4 + right(quarter, 1)::int - 1 + s")} AS quarter, ipc_subclass, mass FROM mass, (SELECT unnest([0, 1, 2, 3]) AS s)),
-pm AS (SELECT quarter, ipc_subclass, sum(mass) AS mass FROM sh GROUP BY ALL), pdv AS ({S.diversity(src='pm')}),
+pm AS (SELECT quarter, ipc_subclass, {S.ordered_sum('list(mass ORDER BY mass)')} AS mass FROM sh GROUP BY ALL), pdv AS ({S.diversity(src='pm')}),
 r AS (SELECT quarter, count(*) {_W4} AS k, {', '.join(f'sum({c}) {_W4} AS {c}_s' for c in [*code_metrics.ROLLING_SUMS, 'multi_ipc_patent_count', 'ipc_coded_patent_count'])} FROM metrics)
 \n#SELECT quarter, {', '.join(f'CASE WHEN k = 4 THEN {c}_s::bigint END AS {c}_4q' for c in code_metrics.ROLLING_SUMS)}, CASE WHEN k = 4 THEN multi_ipc_patent_count_s / nullif(ipc_coded_patent_count_s, 0)::double END AS multi_ipc_patent_share_4q,
  CASE WHEN k = 4 THEN novel_patent_count_s / nullif(multi_ipc_patent_count_s, 0)::double END AS novel_patent_share_4q, CASE WHEN k = 4 THEN novel_ipc_pair_count_s / nullif(all_ipc_pair_count_s, 0)::double END AS novel_pair_share_4q,

@@ -90,11 +90,19 @@ ce AS (SELECT application_no, application_date, {quarter('application_date')} AS
  coalesce(sub = any_value(ipc_main_subclass), false)::int AS is_main_ipc, any_value(mapping_status) AS mapping_status, any_value(taxonomy_version) AS taxonomy_version, arg_min(raw, pos) AS raw_ipc
  FROM mapped WHERE mapping_status <> 'unmatched' GROUP BY application_no, application_date, sub)"""
 
-MASS = f"{CODE_EDGES}, mass AS (SELECT quarter, ipc_subclass, sum(fractional_weight) AS mass FROM ce GROUP BY ALL)"
+def ordered_sum(items: str) -> str:
+    """Sum of a list from the left: list_sum may add in another order."""
+    return f"list_reduce(list_concat([0.0::double], {items}), lambda a, x: a + x)"
 
-_DIVERSITY = """SELECT {q}, count(*) AS unique_ipc_subclass_count, sum(-p * ln(p)) AS ipc_entropy, sum(p * p) AS ipc_hhi, 1 - sum(p * p) AS ipc_one_minus_hhi, sum(-p * ln(w)) AS related_variety, sum(-p * ln(b)) AS unrelated_variety
- FROM (SELECT {q}, mass / sum(mass) OVER (PARTITION BY {q}) AS p, mass / sum(mass) OVER (PARTITION BY {q}, left(ipc_subclass, 3)) AS w,
- sum(mass) OVER (PARTITION BY {q}, left(ipc_subclass, 3)) / sum(mass) OVER (PARTITION BY {q}) AS b FROM {src}) GROUP BY 1"""
+
+MASS = f"""{CODE_EDGES}, wn AS (SELECT quarter, ipc_subclass, fractional_weight AS w, count(*) AS n FROM ce GROUP BY ALL),
+mass AS (SELECT quarter, ipc_subclass, {ordered_sum('list(w * n ORDER BY w)')} AS mass FROM wn GROUP BY ALL)"""
+
+_DIVERSITY = f"""SELECT {{q}}, count(*) AS unique_ipc_subclass_count, {ordered_sum('list(-p * ln(p) ORDER BY ipc_subclass)')} AS ipc_entropy, {ordered_sum('list(p * p ORDER BY ipc_subclass)')} AS ipc_hhi,
+ 1 - {ordered_sum('list(p * p ORDER BY ipc_subclass)')} AS ipc_one_minus_hhi, {ordered_sum('list(-p * ln(w) ORDER BY ipc_subclass)')} AS related_variety, {ordered_sum('list(-p * ln(b) ORDER BY ipc_subclass)')} AS unrelated_variety
+ FROM (SELECT {{q}}, ipc_subclass, m / t AS p, m / g AS w, g / t AS b FROM (SELECT {{q}}, t, c.g AS g, unnest(c.codes, recursive := true) FROM
+ (SELECT {{q}}, {ordered_sum('list(g ORDER BY k)')} AS t, unnest(list({{{{'g': g, 'codes': codes}}}})) AS c FROM
+ (SELECT {{q}}, left(ipc_subclass, 3) AS k, {ordered_sum('list(mass ORDER BY ipc_subclass)')} AS g, list({{{{'ipc_subclass': ipc_subclass, 'm': mass}}}}) AS codes FROM {{src}} GROUP BY ALL) GROUP BY {{q}}))) GROUP BY 1"""
 
 
 def diversity(q: str = "quarter", src: str = "mass") -> str:
@@ -113,12 +121,12 @@ ev0 AS (SELECT prs.*, hp.h AS historical_pair_count, ht.h AS historical_total_pa
 ev AS (SELECT application_no, application_date, {quarter('application_date')} AS quarter, ipc_a, ipc_b, ipc_a || '|' || ipc_b AS pair_id, historical_pair_count::bigint AS historical_pair_count, historical_total_pair_count::bigint AS historical_total_pair_count,
  (historical_pair_count = 0)::int AS historical_first, pr AS smoothed_pair_probability, -ln(pr) AS pair_rarity, 1 - dist AS technological_relatedness, dist AS technological_distance FROM ev0)"""
 
-RAO = f"""rq AS (SELECT DISTINCT {qord('application_date')} AS q FROM ce), rm AS (SELECT {qord('application_date')} AS q, ipc_subclass, sum(fractional_weight) AS m FROM ce GROUP BY ALL),
+RAO = f"""rq AS (SELECT DISTINCT {qord('application_date')} AS q FROM ce), rm AS (SELECT left(quarter, 4)::int * 4 + right(quarter, 1)::int - 1 AS q, ipc_subclass, mass AS m FROM mass),
 rp AS (SELECT q, ipc_subclass, m / sum(m) OVER (PARTITION BY q) AS p FROM rm), rn AS (SELECT rq.q, ipc_subclass, count(*) AS n FROM ce JOIN rq ON {qord('application_date')} < rq.q GROUP BY ALL),
 rpn AS (SELECT rq.q, ipc_a, ipc_b, count(*) AS n FROM prs JOIN rq ON {qord('application_date')} < rq.q GROUP BY ALL),
 rx AS (SELECT rpn.q, sum(2 * a.p * b.p * (1 - greatest(0.0, least(1.0, 1 - rpn.n / sqrt(na.n::double * nb.n::double))))) AS r FROM rpn JOIN rp a ON a.q = rpn.q AND a.ipc_subclass = rpn.ipc_a JOIN rp b ON b.q = rpn.q AND b.ipc_subclass = rpn.ipc_b
  JOIN rn na ON na.q = rpn.q AND na.ipc_subclass = rpn.ipc_a JOIN rn nb ON nb.q = rpn.q AND nb.ipc_subclass = rpn.ipc_b GROUP BY 1),
-rao AS (SELECT {qlabel('rp.q')} AS quarter, greatest(0.0, 1 - sum(p * p) - coalesce(any_value(r), 0)) AS rao_stirling_diversity FROM rp LEFT JOIN rx ON rx.q = rp.q GROUP BY rp.q)"""
+rh AS ({diversity()}), rao AS (SELECT rh.quarter, greatest(0.0, 1 - ipc_hhi - coalesce(r, 0)) AS rao_stirling_diversity FROM rh LEFT JOIN rx ON {qlabel('rx.q')} = rh.quarter)"""
 
 KINDS = f"""kinds AS (SELECT {quarter('application_date')} AS quarter, {', '.join(f"count(*) FILTER (patent_type_group = '{k}') AS {k}_count" for k in ('invention', 'utility_model', 'design', 'other'))}, count(*) AS eligible_all_count
  FROM counted WHERE eligible_firm_count > 0 AND application_date IS NOT NULL GROUP BY 1)"""
