@@ -7,15 +7,32 @@ from lodestrata.operators import skew
 
 def test_tree_aggregate_equals_plain_grouping(spark):
     df = spark.range(0, 20_000, 1, 50).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 97 == 0, None).otherwise((F.col("id") % 40).cast("string")).alias("k"), "id")
-    got = skew.tree_aggregate(df, ["k"], [skew.Measure("n", F.lit(1)), skew.Measure("s", F.col("id")), skew.Measure("lo", F.col("id"), "min"), skew.Measure("hi", F.col("id"), "max")], fan_in=4, chunks=50)
+    got = skew.tree_aggregate(df, ["k"], [skew.Measure("n", F.lit(1)), skew.Measure("s", F.col("id")), skew.Measure("lo", F.col("id"), "min"), skew.Measure("hi", F.col("id"), "max")], fan_in=4, chunk_rows=30)
     want = df.groupBy("k").agg(F.count("*"), F.sum("id"), F.min("id"), F.max("id"))
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
-def test_rounds_follow_fan_in(spark):
+def rounds(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+
+
+def test_rounds_follow_the_number_of_chunks(spark):
     df = spark.range(0, 1000, 1, 20).select(F.lit("a").alias("k"))
-    plan = skew.tree_aggregate(df, ["k"], [skew.Measure("n", F.lit(1))], fan_in=2, chunks=20)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Aggregate") == 5  # 20 -> 10 -> 5 -> 3 -> 2 -> 1
+    tree = lambda rows, fan_in: rounds(skew.tree_aggregate(df, ["k"], [skew.Measure("n", F.lit(1))], fan_in=fan_in, chunk_rows=rows))
+    assert tree(50, 2) == 5  # 20 -> 10 -> 5 -> 3 -> 2 -> 1
+    assert tree(10, 2) == 7 and tree(10, 10) == 2 and tree(50, 32) == 1 and tree(1, 2) == 10
+
+
+def test_reducers_get_few_states_of_a_hot_key(spark):
+    rows = 40
+    df = spark.range(0, 4000, 1, 7).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    chunk = skew._chunk(7, rows)
+    states = df.select("k", chunk.alias("c")).groupBy("c").agg(F.count("*").alias("n"), F.max("k").alias("k"))
+    assert states.agg(F.max("n")).first()[0] == rows
+    per_reducer = df.select("k", chunk.alias("c")).distinct().groupBy("k", F.floor(F.col("c") / 4)).count()
+    assert per_reducer.agg(F.max("count")).first()[0] == 4
+    got = skew.tree_aggregate(df, ["k"], [skew.Measure("n", F.lit(1))], fan_in=4, chunk_rows=rows)
+    assert rounds(got) == 4 and got.where("k = 'hot'").first().n == 3600
 
 
 def test_heavy_keys_and_edges(spark):
