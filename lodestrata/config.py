@@ -14,6 +14,7 @@ class Config:
     input: str = ""
     dictionary: str = ""
     output: str = ""
+    annual_panel: str = ""
     alpha: float = 1.0
     taxonomy_size: int = 655
     history_start: str = "1985Q1"
@@ -36,7 +37,7 @@ def load_config(path: str | Path, root: str | Path | None = None) -> Config:
     if extra := sorted(set(given) - known):
         raise ValueError(f"unknown settings: {', '.join(extra)}")
     base = Path(root) if root else path.parent
-    for key in ("input", "dictionary", "output"):
+    for key in ("input", "dictionary", "output", "annual_panel"):
         if given.get(key) and "://" not in given[key] and not Path(given[key]).is_absolute():
             given[key] = str((base / given[key]).resolve())
     return Config(**given)

@@ -100,27 +100,41 @@ def coverage_annual(coverage: DataFrame) -> DataFrame:
     return with_rates(coverage.groupBy("year", "dimension", "category").agg(F.sum("patent_count").alias("patent_count"), F.sum("ipc_coded_patent_count").alias("ipc_coded_patent_count")))
 
 
+#: What merging reads of a scheme and of a list of titles.
+SCHEME = "file string, row_no int, sha256 string, ipc_code string, ipc_level string, parent_code string, title_en string, source_symbol string, source_kind string"
+TITLES = "file string, row_no int, sha256 string, ipc_code string, title string"
+
+
 def merge_dictionary(scheme: DataFrame, valid: DataFrame, titles: DataFrame, titles_zh: DataFrame, version: str) -> DataFrame:
-    """One version of the dictionary: scheme entries with validity and titles.
+    """One version of the dictionary: scheme entries with validity, titles and where each came from.
 
-    A title list overrides the scheme's title; of several Chinese titles the longest stands.
+    The scheme's own title stands; a title list fills in where it has none, its last row of a code. Of
+    several Chinese titles the first stands, in order of file and row.
     """
-    en = titles.groupBy(F.col("ipc_code").alias("__e")).agg(F.max_by("title", F.length("title")).alias("title_list"))
-    zh = titles_zh.groupBy(F.col("ipc_code").alias("__z")).agg(F.max_by("title", F.length("title")).alias("title_zh"))
+    place = F.struct("file", "row_no")
+    en = titles.groupBy(F.col("ipc_code").alias("__e")).agg(F.max_by("title", place).alias("title_list"))
+    zh = titles_zh.groupBy(F.col("ipc_code").alias("__z")).agg(F.min_by(F.struct(F.nullif("title", F.lit("")).alias("title"), "file", "sha256"), place).alias("zh"))
     ok = valid.select(F.col("ipc_code").alias("__v")).distinct()
     j = scheme.join(en, F.col("ipc_code") == F.col("__e"), "left").join(zh, F.col("ipc_code") == F.col("__z"), "left").join(ok, F.col("ipc_code") == F.col("__v"), "left")
     return decorate(
-        j.select("ipc_code", "parent_code", F.coalesce("title_list", "title_en").alias("title_en"), "title_zh", F.col("__v").isNotNull().alias("is_valid"), F.lit(version).alias("scheme_version"))
-    )
+        j.select(
+            "ipc_code", "ipc_level", "parent_code", F.coalesce(F.nullif("title_en", F.lit("")), "title_list").alias("title_en"), F.col("zh.title").alias("title_zh"), F.col("__v").isNotNull().alias("is_valid"),
+            F.lit(version).alias("scheme_version"), F.col("file").alias("source_en"), F.col("zh.file").alias("source_zh"), F.col("sha256").alias("source_sha256_en"), F.col("zh.sha256").alias("source_sha256_zh"),
+            "source_symbol", "source_kind",
+        )
+    )
 
 
 def decorate(dictionary: DataFrame) -> DataFrame:
-    """Level, main group and title status."""
+    """Main group, title status with a note, and ``code`` and ``level`` as short names of code and level."""
+    named = F.col("title_zh").isNotNull()
     return dictionary.withColumns(
         {
-            "ipc_level": codes.code_level(F.col("ipc_code")),
+            "code": F.col("ipc_code"),
+            "level": F.col("ipc_level"),
             "main_group_code": F.when(F.col("ipc_code").contains("/"), F.concat(F.substring_index("ipc_code", "/", 1), F.lit("/00"))),
-            "title_zh_status": F.when(F.col("title_zh").isNotNull(), "official").otherwise("missing"),
+            "title_zh_status": F.when(named, "matched").otherwise("missing_source"),
+            "parse_note": F.when(named, "scheme joined to the Chinese title of its section").otherwise("no Chinese title found for the code"),
         }
     )
 

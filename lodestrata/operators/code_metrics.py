@@ -45,6 +45,15 @@ def token_mappings(universe: DataFrame, dictionary: DataFrame | None) -> DataFra
     return mapped.withColumn("mapping_status", status).withColumn("mapping_source", source)
 
 
+def unmatched_sample(universe: DataFrame, dictionary: DataFrame | None = None, n: int = 10_000) -> DataFrame:
+    """The first ``n`` tokens without a subclass of the taxonomy, by quarter, application and position."""
+    from .records import first_rows
+
+    lost = token_mappings(universe, dictionary).where("mapping_status = 'unmatched'")
+    rows = lost.select(quarter_label(F.col("application_date")).alias("quarter"), "application_no", F.col("pos").cast("int").alias("pos"), "raw_ipc", "mapping_status")
+    return first_rows(rows, ["quarter", "application_no", "pos"], n)
+
+
 def code_edges(universe: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Application and subclass with the fractional weight 1/k of its k mapped subclasses.
 
@@ -319,3 +328,28 @@ def annual_reconciliation(ours: DataFrame, theirs: DataFrame, tolerance: float =
         F.when(F.col("ours").isNull(), "missing_ours").when(F.col("theirs").isNull(), "missing_theirs").when(F.abs(diff) <= tolerance, "equal").when(diff > 0, "higher").otherwise("lower")
     )
     return j.select("year", "ours", "theirs", diff.alias("difference"), status.alias("status"))
+
+
+#: Yearly counts compared with a panel: ours, and the panel's column where it has one.
+COMPARED = {
+    "patent_count": "patents_independent_annual", "invention_patent_count": "patents_invention_independent_annual", "utility_model_patent_count": "patents_utility_model_independent_annual",
+    "design_patent_count": "patents_design_independent_annual", "other_patent_count": None,
+}
+
+
+def annual_comparison(metrics: DataFrame, panel: DataFrame) -> DataFrame:
+    """Yearly sums of five counts of the quarterly table beside those of a firm-year panel, outer join.
+
+    ``detail_*`` are ours, ``existing_panel_*`` the panel's (which has no count of other types), and the
+    difference is that of all applications. The two count different things, which ``comparison_status``
+    says. A panel without one of the columns raises ``ValueError`` naming it.
+    """
+    known = {c: p for c, p in COMPARED.items() if p}
+    if missing := sorted({"year", *known.values()} - set(panel.columns)):
+        raise ValueError(f"the panel lacks {', '.join(missing)}")
+    ours = metrics.groupBy(F.substring("quarter", 1, 4).cast("int").alias("year")).agg(*[F.sum(c).alias(f"detail_{c}") for c in COMPARED])
+    theirs = panel.groupBy(F.col("year").cast("int").alias("year")).agg(*[F.sum(p).alias(f"existing_panel_{c.replace('_patent_count', '_count')}") for c, p in known.items()])
+    joined = ours.join(theirs, "year", "full")
+    return joined.withColumns({
+        "detail_minus_existing_patent_count": F.col("detail_patent_count") - F.col("existing_panel_patent_count"), "comparison_status": F.lit("directional_not_like_for_like"),
+    })

@@ -53,6 +53,14 @@ def record_failures(records: DataFrame) -> DataFrame:
     )
 
 
+def first_rows(rows: DataFrame, order: list[str], n: int = 10_000) -> DataFrame:
+    """The first ``n`` rows in ``order``: the sample of failures or examples kept for reading.
+
+    Taken per task before the final merge, so a table of any size costs ``n`` rows per task.
+    """
+    return rows.orderBy(*order).limit(n)
+
+
 def canonical_core(records: DataFrame) -> DataFrame:
     """One row per application.
 

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from ..functions.dates import lenient_date, ordinal_label, quarter_label, quarte
 from ..functions.text import clean_text, combine_text, words
 from ..operators import audits, code_metrics, records, similarity, text_records
 from ..operators.parse_lines import POSITIONS
-from ..session import build_session, drop_materialized, ship_package
+from ..session import build_session, drop_materialized, read_bytes, ship_package
 from ..sources import dictionary as dict_sources
 from ..sources import sinks
 from ..sources.logical_csv import read_logical
@@ -29,12 +30,10 @@ def fields_of(logical: DataFrame) -> DataFrame:
     return logical.select(F.col("byte_offset").alias("ord"), F.size("fields").alias("n_fields"), *[get(i).alias(n) for i, n in POSITIONS.items()])
 
 
-def _done(config: Config, stage: str, mark: dict) -> bool:
-    """Whether a stage has finished over the same input."""
-    import json
-
-    path = Path(config.output) / f"{stage}.json"
-    return path.exists() and json.loads(path.read_text(encoding="utf-8")).get("fingerprint") == _plain(mark)
+def _done(spark: SparkSession, config: Config, stage: str, mark: dict) -> bool:
+    """Whether a stage has finished over the same input; its mark lies beside its output, on whatever file system."""
+    body = read_bytes(spark, f"{config.output}/{stage}.json")
+    return body is not None and json.loads(body).get("fingerprint") == _plain(mark)
 
 
 def _plain(mark: dict) -> dict:
@@ -44,16 +43,17 @@ def _plain(mark: dict) -> dict:
 def run_codes(spark: SparkSession, config: Config) -> dict:
     """Records to quarterly code metrics; finished stages over the same input are not run again."""
     out, mark = config.output, sinks.fingerprint(spark, config.input)
-    if not _done(config, "01_records", mark):
+    if not _done(spark, config, "01_records", mark):
         raw = fields_of(read_logical(spark, config.input, "prefix"))
         good = raw.where("n_fields = 31")
         recs = records.normalize_records(good, "ord")
         sinks.write_parquet(recs.where("application_no <> ''"), f"{out}/records")
         rejected = raw.where("n_fields <> 31").select("ord", F.lit("field_count").alias("failure_type"), F.col("n_fields").cast("bigint").alias("count"))
         sinks.write_parquet(rejected.unionByName(records.record_failures(recs)), f"{out}/failures")
-        sinks.write_json(f"{out}/01_records.json", {"fingerprint": _plain(mark), "records": spark.read.parquet(f"{out}/records").count()})
+        sinks.write_parquet(records.first_rows(spark.read.parquet(f"{out}/failures"), ["ord", "failure_type"]), f"{out}/failure_sample")
+        sinks.write_json(spark, f"{out}/01_records.json", {"fingerprint": _plain(mark), "records": spark.read.parquet(f"{out}/records").count()})
     recs = spark.read.parquet(f"{out}/records")
-    if not _done(config, "02_canonical", mark):
+    if not _done(spark, config, "02_canonical", mark):
         sinks.write_by_year(records.canonical_core(recs), f"{out}/patent_core")
         edges = records.firm_edges(recs)
         core = spark.read.parquet(f"{out}/patent_core")
@@ -61,11 +61,12 @@ def run_codes(spark: SparkSession, config: Config) -> dict:
         edges = spark.read.parquet(f"{out}/patent_firm_edge")
         sinks.write_by_year(records.baseline_universe(core, edges), f"{out}/patent_universe")
         sinks.write_parquet(records.exclusion_reasons(core, edges), f"{out}/excluded")
-        sinks.write_json(f"{out}/02_canonical.json", {"fingerprint": _plain(mark)})
+        sinks.write_json(spark, f"{out}/02_canonical.json", {"fingerprint": _plain(mark)})
     core, edges, universe = (spark.read.parquet(f"{out}/{t}") for t in ("patent_core", "patent_firm_edge", "patent_universe"))
     dictionary = dict_sources.read_dictionary(spark, config.dictionary) if config.dictionary else None
     sinks.write_by_quarter(code_metrics.code_edges(universe, dictionary), f"{out}/patent_ipc_edge")
     code_edges = spark.read.parquet(f"{out}/patent_ipc_edge")
+    sinks.write_parquet(code_metrics.unmatched_sample(universe, dictionary), f"{out}/unmatched_sample")
     sinks.write_by_quarter(code_metrics.pair_events(code_edges, config.alpha, config.taxonomy_size), f"{out}/patent_ipc_pair")
     events = spark.read.parquet(f"{out}/patent_ipc_pair")
     metrics = code_metrics.quarterly_metrics(core, edges, universe, code_edges, events, config.history_start)
@@ -80,14 +81,19 @@ def run_codes(spark: SparkSession, config: Config) -> dict:
     summary = code_metrics.period_summary(formal, code_metrics.PERIOD_METRICS)
     sinks.write_parquet(summary, f"{out}/period_summary")
     sinks.write_parquet(code_metrics.pair_history(events), f"{out}/pair_history")
+    if config.annual_panel:
+        panel = spark.read.parquet(config.annual_panel)
+        reconciled = code_metrics.annual_comparison(spark.read.parquet(f"{out}/quarterly_metrics"), panel)
+        sinks.write_parquet(reconciled, f"{out}/annual_reconciliation")
+        sinks.write_csv(reconciled.coalesce(1).orderBy("year"), f"{out}/annual_reconciliation_csv")
     early = code_metrics.pre_sample_counts(universe, events).orderBy("year").collect()
     facts = {
         "applications": core.count(), "universe": universe.count(), "pairs": events.count(), "settings": config.as_dict(),
         "pre_sample_record_count": sum(r.record_count for r in early), "pre_sample_year_counts": {str(r.year): r.record_count for r in early},
         "pre_sample_seen_pair_count": early[-1].seen_pair_count if early else 0, "pre_sample_pair_occurrence_count": early[-1].pair_occurrence_count if early else 0,
     }
-    sinks.write_json(f"{out}/manifest.json", facts)
-    sinks.write_report(f"{out}/report.md", "Code metrics", facts, {"Periods": summary.orderBy("metric", "period")})
+    sinks.write_json(spark, f"{out}/manifest.json", facts)
+    sinks.write_report(spark, f"{out}/report.md", "Code metrics", facts, {"Periods": summary.orderBy("metric", "period")})
     sinks.write_plots(formal, measured, f"{out}/diagnostics.png")
     return facts
 
@@ -108,7 +114,7 @@ def run_text(spark: SparkSession, config: Config) -> dict:
     sinks.write_by_year(text_records.text_core(rows), f"{out}/text_core")
     core = spark.read.parquet(f"{out}/text_core").where("application_date is not null and baseline_eligible = 1")
     docs = core.select(F.col("application_no").alias("app"), F.col("application_date").alias("date"), F.col("abstract_clean").alias("text"))
-    scored = core.join(text_records.pit_novelty(docs, config.hash_buckets or None).drop("date"), F.col("application_no") == F.col("app")).drop("app", "application_year")
+    scored = core.join(text_records.pit_novelty(docs, config.hash_buckets or None, low=config.ngram_low, high=config.ngram_high).drop("date"), F.col("application_no") == F.col("app")).drop("app", "application_year")
     sinks.write_by_year(scored, f"{out}/text_metrics")
     scored = spark.read.parquet(f"{out}/text_metrics")
     metrics = ["prior_centroid_novelty", "unseen_ngram_share", "abstract_length_chars"]
@@ -121,8 +127,8 @@ def run_text(spark: SparkSession, config: Config) -> dict:
     groups = spark.read.parquet(f"{out}/group_quarter")
     sinks.write_csv(text_records.group_diagnostics(groups).coalesce(1).orderBy("quarter"), f"{out}/group_diagnostics_csv")
     audit = text_records.history_audit(scored).first().asDict() | text_records.quality_audit(scored, spark.read.parquet(f"{out}/market_quarter"), groups).first().asDict()
-    sinks.write_json(f"{out}/audit.json", audit)
-    sinks.write_report(f"{out}/report.md", "Text metrics", audit, {"Quarters": market.orderBy("quarter")})
+    sinks.write_json(spark, f"{out}/audit.json", audit)
+    sinks.write_report(spark, f"{out}/report.md", "Text metrics", audit, {"Quarters": market.orderBy("quarter")})
     return audit
 
 
@@ -153,7 +159,7 @@ def run_similarity(spark: SparkSession, config: Config, tokenize=words) -> dict:
     edges = dated.where(codes.eligible_relation(F.col("relation")) == 1).select(codes.stock_code(F.col("stkcd_raw")).alias("listed_parent"), F.col("application_no").alias("app")).where("listed_parent is not null").distinct()
     sinks.write_parquet(similarity.quality_summary(scored.join(edges, "app"), ["listed_parent", "q"]), f"{out}/firms")
     facts = {"documents": kept.count(), "scored": scored.where("quality is not null").count(), "settings": config.as_dict()}
-    sinks.write_json(f"{out}/manifest.json", facts)
+    sinks.write_json(spark, f"{out}/manifest.json", facts)
     return facts
 
 
@@ -166,8 +172,8 @@ def build_dictionary(spark: SparkSession, sources: dict[str, dict[str, str]], ou
     for version, paths in sorted(sources.items()):
         read = lambda kind, schema: dict_sources.read_dictionary_source(spark, paths[kind], kind) if kind in paths else spark.createDataFrame([], schema)  # noqa: E731, B023
         one = audits.merge_dictionary(
-            read("scheme", "ipc_code string, parent_code string, title_en string"), read("valid_symbols", "ipc_code string"), read("title_list", "ipc_code string, title string"),
-            read("wrapped_text", "ipc_code string, title string"), version,
+            read("scheme", audits.SCHEME), read("valid_symbols", "ipc_code string"), read("title_list", audits.TITLES),
+            read("wrapped_text", audits.TITLES), version,
         )
         merged = one if merged is None else merged.unionByName(one)
     sinks.write_parquet(merged, f"{output}/ipc_dictionary")
@@ -176,8 +182,8 @@ def build_dictionary(spark: SparkSession, sources: dict[str, dict[str, str]], ou
         raise ValueError("a version of the dictionary holds a code twice")
     sinks.write_csv(final, f"{output}/ipc_dictionary_csv")
     facts = {"codes": final.count()}
-    sinks.write_json(f"{output}/summary.json", facts)
-    sinks.write_report(f"{output}/report.md", "Dictionary", facts, {"By version and level": audits.dictionary_summary(final)})
+    sinks.write_json(spark, f"{output}/summary.json", facts)
+    sinks.write_report(spark, f"{output}/report.md", "Dictionary", facts, {"By version and level": audits.dictionary_summary(final)})
     return facts
 
 
@@ -194,9 +200,9 @@ def run_audit(spark: SparkSession, config: Config) -> dict:
     sinks.write_parquet(status, f"{config.output}/observed_codes")
     sinks.write_csv(audits.top_malformed(observed), f"{config.output}/malformed_csv")
     facts = fields.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.size(codes.split_codes(F.col("a"))) > 0).alias("with_all"), F.count_if(F.size(codes.split_codes(F.col("m"))) > 0).alias("with_main")).first().asDict()
-    sinks.write_json(f"{config.output}/audit.json", facts)
+    sinks.write_json(spark, f"{config.output}/audit.json", facts)
     by_status = spark.read.parquet(f"{config.output}/observed_codes").groupBy("status").agg(F.count(F.lit(1)).alias("codes"), F.sum("occurrence_count").alias("occurrences"))
-    sinks.write_report(f"{config.output}/audit.md", "Observed codes", facts, {"By status": by_status.orderBy("status")})
+    sinks.write_report(spark, f"{config.output}/audit.md", "Observed codes", facts, {"By status": by_status.orderBy("status")})
     return facts
 
 
@@ -212,7 +218,7 @@ def run_coverage(spark: SparkSession, config: Config) -> dict:
     annual = audits.coverage_annual(coverage)
     sinks.write_csv(annual, f"{out}/coverage_annual_csv")
     facts = {"rows": coverage.count(), "applications": coverage.where("dimension = 'overall'").agg(F.coalesce(F.sum("patent_count"), F.lit(0))).first()[0]}
-    sinks.write_report(f"{out}/coverage.md", "Coverage", facts, {"By year": annual.where("dimension = 'overall'").orderBy("year")})
+    sinks.write_report(spark, f"{out}/coverage.md", "Coverage", facts, {"By year": annual.where("dimension = 'overall'").orderBy("year")})
     return facts
 
 
@@ -225,8 +231,6 @@ def main(argv: list[str] | None = None) -> int:
     spark = build_session()
     ship_package(spark)
     if args.job == "dictionary":
-        import json
-
         given = json.loads(Path(args.config).read_text(encoding="utf-8"))
         print(build_dictionary(spark, given["sources"], given["output"]))
         return 0

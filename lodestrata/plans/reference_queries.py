@@ -334,6 +334,45 @@ def annual_reconciliation(spark, d):
     return code_metrics.annual_reconciliation(ours, theirs)
 
 
+_PANEL = f"""pl AS (SELECT year({S.date('grant_date')}) AS year, stkcd, count(*) AS n, count(*) FILTER (starts_with(trim(patent_type), '发明')) AS ni, count(*) FILTER (trim(patent_type) = '实用新型') AS nu,
+ count(*) FILTER (trim(patent_type) = '外观设计') AS nd FROM raw_records WHERE {S.date('grant_date')} IS NOT NULL GROUP BY ALL),
+py AS (SELECT year, sum(n)::bigint AS existing_panel_patent_count, sum(ni)::bigint AS existing_panel_invention_count, sum(nu)::bigint AS existing_panel_utility_model_count, sum(nd)::bigint AS existing_panel_design_count FROM pl GROUP BY 1),
+dy AS (SELECT left(quarter, 4)::int AS year, {', '.join(f'sum({c})::bigint AS detail_{c}' for c in code_metrics.COMPARED)} FROM metrics GROUP BY 1)"""
+
+
+@query(
+    f"""{S.METRICS}, {_PANEL}\n#SELECT coalesce(dy.year, py.year) AS year, {', '.join(f'detail_{c}' for c in code_metrics.COMPARED)}, existing_panel_patent_count, existing_panel_invention_count,
+ existing_panel_utility_model_count, existing_panel_design_count, detail_patent_count - existing_panel_patent_count AS detail_minus_existing_patent_count, 'directional_not_like_for_like' AS comparison_status
+ FROM dy FULL JOIN py ON dy.year = py.year"""
+)
+def annual_comparison(spark, d):
+    """Five yearly counts of the quarterly table beside a firm-year panel of grants made of the records."""
+    granted = table(spark, d, "raw_records").withColumn("year", F.year(lenient_date(F.col("grant_date")))).where("year is not null")
+    kind = codes.patent_type_by_prefix(F.col("patent_type"))
+    panel = granted.groupBy("stkcd", "year").agg(
+        F.count(F.lit(1)).alias("patents_independent_annual"),
+        *[F.count_if(kind == k).alias(f"patents_{k}_independent_annual") for k in ("invention", "utility_model", "design")],
+    )
+    return code_metrics.annual_comparison(_metrics(spark, d)[0], panel)
+
+
+@query(f"{S.tokens('tk', 'rec', 'ord', 'ipc_all_raw').join([S.REC + ', ', ''])}, bad AS (SELECT ord, count(DISTINCT raw) AS n FROM tk WHERE status = 'unmatched' GROUP BY 1)\n#"
+    "SELECT * FROM (SELECT ord, 'missing_application_no' AS failure_type, 1::bigint AS count FROM rec WHERE application_no = '' UNION ALL SELECT ord, 'invalid_application_date', 1 FROM rec WHERE application_no <> '' AND application_date IS NULL"
+    " UNION ALL SELECT rec.ord, 'unmatched_ipc_token', n FROM rec JOIN bad USING (ord) WHERE application_no <> '') ORDER BY ord, failure_type LIMIT 1000")
+def failure_sample(spark, d):
+    """The first thousand failures of the record stage in order of the records."""
+    return records.first_rows(records.record_failures(_records(spark, d)), ["ord", "failure_type"], 1000)
+
+
+@query(
+    f"""{S.CODE_EDGES}, um AS (SELECT {S.quarter('application_date')} AS quarter, application_no, (pos - 1)::int AS pos, raw AS raw_ipc, mapping_status, row_number() OVER (PARTITION BY application_no, raw ORDER BY pos) AS k FROM mapped WHERE mapping_status = 'unmatched')
+\n#SELECT quarter, application_no, raw_ipc, mapping_status FROM um WHERE k = 1 ORDER BY quarter, application_no, pos LIMIT 1000"""
+)
+def unmatched_sample(spark, d):
+    """The first thousand tokens outside the taxonomy, by quarter, application and position."""
+    return code_metrics.unmatched_sample(_universe(spark, d), table(spark, d, "ipc_dictionary"), 1000).drop("pos")
+
+
 # ---- audits -------------------------------------------------------------------------------------
 
 
@@ -742,7 +781,12 @@ def clean_texts(spark, d):
     return table(spark, d, "text_records").select("text_id", clean_text(F.col("abstract_clean")).alias("abstract"))
 
 
-@query("\n#SELECT ipc_code, ipc_level, is_valid, scheme_version, CASE WHEN contains(ipc_code, '/') THEN split_part(ipc_code, '/', 1) || '/00' END AS main_group_code FROM ipc_dictionary WHERE scheme_version = '2026.01'")
+@query(
+    r"""\n#SELECT ipc_code, ipc_level, is_valid, scheme_version, CASE WHEN contains(ipc_code, '/') THEN split_part(ipc_code, '/', 1) || '/00' END AS main_group_code,
+ CASE WHEN ipc_level = 'main_group' THEN 'listed ' || ipc_code ELSE ipc_code END AS title_en, CASE WHEN ipc_level = 'subclass' THEN '首题' || ipc_code END AS title_zh,
+ CASE WHEN ipc_level = 'subclass' THEN 'matched' ELSE 'missing_source' END AS title_zh_status, 'scheme.zip' AS source_en, CASE WHEN ipc_level = 'subclass' THEN 'a.txt' END AS source_zh,
+ ipc_code AS source_symbol, ipc_level AS source_kind, ipc_code AS code, ipc_level AS level, true AS hashed FROM ipc_dictionary WHERE scheme_version = '2026.01'""".replace("\\n#", "\n#")
+)
 def dictionary_from_sources(spark, d):
     """The current dictionary written as an XML scheme and symbol list in ZIP files, and read back and merged.
 
@@ -758,20 +802,30 @@ def dictionary_from_sources(spark, d):
     from ..sources.dictionary import read_dictionary_source
 
     rows = table(spark, d, "ipc_dictionary").where(F.col("scheme_version") == audits.CURRENT).select("ipc_code", "ipc_level", "is_valid").collect()
-    items = "".join(f'<classification-item level="{r[1]}" symbol="{r[0]}"><title lang="en">{r[0]}</title></classification-item>' for r in rows)
+    # main groups have no title in the scheme, the list titles them and every subclass; subclasses have two Chinese titles
+    items = "".join(f'<classification-item level="{r[1]}" symbol="{r[0]}"><title lang="en">{"" if r[1] == "main_group" else r[0]}</title></classification-item>' for r in rows)
+    listed = "".join(f"{r[0]}\t{word} {r[0]}\n" for word in ("early", "listed") for r in rows if r[1] in ("main_group", "subclass"))
+    chinese = {part: "".join(f"{r[0]}  {word}{r[0]}\n" for r in rows if r[1] == "subclass") for part, word in (("a", "首题"), ("b", "另一个题目"))}
     symbols = "".join(f'<IPCSymbol symbol="{r[0]}"/>' for r in rows if r[2])
     base = f"{shared_dir(spark)}/lodestrata-sources-{uuid.uuid4().hex}"
     system, inner = fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base)
-    for kind, name, body in (("scheme", "EN_ipc_scheme_x.xml", f"<c>{items}</c>"), ("valid_symbols", "valid_symbols.xml", f"<c>{symbols}</c>")):
+    for kind, name, body in (("scheme", "EN_ipc_scheme_x.xml", f"<c>{items}</c>"), ("valid_symbols", "valid_symbols.xml", f"<c>{symbols}</c>"), ("title_list", "titles.txt", listed)):
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr(name, body)
         system.create_dir(f"{inner}/{kind}", recursive=True)
         with system.open_output_stream(f"{inner}/{kind}/{kind}.zip") as out:
             out.write(buffer.getvalue())
-    none = spark.createDataFrame([], "ipc_code string, title string")
-    merged = audits.merge_dictionary(read_dictionary_source(spark, f"{base}/scheme", "scheme"), read_dictionary_source(spark, f"{base}/valid_symbols", "valid_symbols"), none, none, audits.CURRENT)
-    return merged.select("ipc_code", "ipc_level", "is_valid", "scheme_version", "main_group_code")
+    for part, body in chinese.items():
+        system.create_dir(f"{inner}/wrapped_text", recursive=True)
+        with system.open_output_stream(f"{inner}/wrapped_text/{part}.txt") as out:
+            out.write(body.encode())
+    read = lambda kind: read_dictionary_source(spark, f"{base}/{kind}", kind)
+    merged = audits.merge_dictionary(read("scheme"), read("valid_symbols"), read("title_list"), read("wrapped_text"), audits.CURRENT)
+    return merged.select(
+        "ipc_code", "ipc_level", "is_valid", "scheme_version", "main_group_code", "title_en", "title_zh", "title_zh_status", "source_en", "source_zh", "source_symbol", "source_kind", "code", "level",
+        (F.length("source_sha256_en") == 64).alias("hashed"),
+    )
 
 
 @query("\n#SELECT event_type, ts::date AS day, count(*) AS n FROM events GROUP BY ALL")

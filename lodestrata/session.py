@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,14 @@ def build_session(app: str = "lodestrata", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a notebook in local mode) a temporary folder is set.
+    Only where that setting is absent in local mode (tests, a notebook) a temporary folder is set; on
+    any other master, whose executors would each write to a disk of their own, its absence is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
     found = getattr(spark, "_lodestrata_shared", None)
     if found is None:
         found = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
@@ -64,13 +68,41 @@ def drop_materialized(spark: SparkSession) -> int:
     """Delete what ``materialize`` has written in this session; call it when its readers are done."""
     paths = _written(spark)
     for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        target, system = _file(spark, path)
+        system.delete(target, True)
     n = len(paths)
     paths.clear()
     return n
 
 
+def _file(spark: SparkSession, path: str):
+    """A path and its file system, whichever scheme it has."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
+    """Write a small file on any file system Spark knows, replacing what is there."""
+    target, system = _file(spark, path)
+    out = system.create(target, True)
+    try:
+        out.write(bytearray(body))
+    finally:
+        out.close()
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """The content of a small file on any file system Spark knows, null if there is none."""
+    target, system = _file(spark, path)
+    if not system.exists(target):
+        return None
+    source = system.open(target)
+    try:
+        return bytes(source.readAllBytes())
+    finally:
+        source.close()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

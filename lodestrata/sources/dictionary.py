@@ -8,6 +8,7 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from urllib.parse import quote, unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -83,14 +84,14 @@ def scheme_rows(content: bytes) -> list[dict]:
         for n in flat:
             code = normal_code(n.get("symbol"))
             if code:
-                rows.append({"ipc_code": code, "ipc_level": n.get("level") or level_of(code), "parent_code": normal_code(n.get("parent")) or parent_of(code), "title_en": _title(n)})
+                rows.append({"ipc_code": code, "ipc_level": n.get("level") or level_of(code), "parent_code": normal_code(n.get("parent")) or parent_of(code), "title_en": _title(n), "source_symbol": n.get("symbol"), "source_kind": n.get("level") or level_of(code)})
         return sorted(rows, key=lambda r: r["ipc_code"])
     stack = [(root, None)]
     while stack:
         node, above = stack.pop()
         code = normal_code(node.get("symbol")) if _local(node) == "ipcEntry" and node.get("kind") in KINDS else None
         if code:
-            rows.append({"ipc_code": code, "ipc_level": KINDS[node.get("kind")], "parent_code": above or parent_of(code), "title_en": _title(node)})
+            rows.append({"ipc_code": code, "ipc_level": KINDS[node.get("kind")], "parent_code": above or parent_of(code), "title_en": _title(node), "source_symbol": node.get("symbol"), "source_kind": node.get("kind")})
         stack += [(child, code or above) for child in reversed(node)]
     best: dict[str, dict] = {}
     for r in rows:
@@ -182,6 +183,14 @@ def _heading(line: str) -> tuple[str, str] | None:
     return (code, title) if code else None
 
 
+def body_start(pages: list[str], section: str | None) -> int:
+    """The first page that has the section's letter alone on a line and no table of contents at its top; 0 if none has."""
+    if not section:
+        return 0
+    letter = re.compile(rf"^{section}\s*$", re.M)
+    return next((i for i, page in enumerate(pages) if letter.search(page) and "目录" not in page[:200]), 0)
+
+
 def pdf_titles(content: bytes, section: str | None = None) -> list[dict]:
     """The same from a PDF; needs the optional PyMuPDF. Pages before the section's body are skipped."""
     try:
@@ -189,12 +198,12 @@ def pdf_titles(content: bytes, section: str | None = None) -> list[dict]:
     except ImportError as error:
         raise RuntimeError("reading PDF needs PyMuPDF") from error
     pages = [p.get_text("text") for p in fitz.open(stream=content, filetype="pdf")]
-    begin = next((i for i, t in enumerate(pages) if section and re.search(rf"^{section}\s+{section}\s*部", t, re.M)), 0)
+    begin = body_start(pages, section)
     return [r for r in wrapped_titles("\n".join(pages[begin:])) if not section or r["ipc_code"].startswith(section)]
 
 
 _SCHEMAS: dict[str, tuple[Callable[[bytes], list[dict]], str]] = {
-    "scheme": (scheme_rows, "ipc_code string, ipc_level string, parent_code string, title_en string"),
+    "scheme": (scheme_rows, "ipc_code string, ipc_level string, parent_code string, title_en string, source_symbol string, source_kind string"),
     "valid_symbols": (valid_symbols, "ipc_code string"),
     "title_list": (title_list, "ipc_code string, title string"),
     "concordance": (concordance, "from_version string, to_version string, from_code string, to_code string, modification string, revision_project string"),
@@ -204,7 +213,7 @@ _SCHEMAS: dict[str, tuple[Callable[[bytes], list[dict]], str]] = {
 
 
 def read_dictionary_source(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Rows of one kind of source file, one task per file; ``file`` tells them apart."""
+    """Rows of one kind of source file, one task per file, with its name, the row's place in it and its hash."""
     parse, schema = _SCHEMAS[kind]
     columns = [c.split()[0] for c in schema.split(", ")]
 
@@ -212,10 +221,11 @@ def read_dictionary_source(spark: SparkSession, path: str, kind: str) -> DataFra
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
                 rows = parse(bytes(content))
-                yield pd.DataFrame(rows, columns=columns).assign(file=file)[["file", *columns]]
+                marks = {"file": unquote(file.rpartition("/")[2]), "row_no": range(len(rows)), "sha256": hashlib.sha256(content).hexdigest()}
+                yield pd.DataFrame(rows, columns=columns).assign(**marks)[["file", "row_no", "sha256", *columns]]
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, f"file string, {schema}")
+    return files.mapInPandas(run, f"file string, row_no int, sha256 string, {schema}")
 
 
 def source_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -254,3 +264,51 @@ def fetch(url: str, target: Path, opener: Callable | None = None) -> dict:
         while block := body.read(1 << 20):
             digest.update(block)
     return {"url": url, "file": target.name, "bytes": target.stat().st_size, "sha256": digest.hexdigest(), "reused": reused}
+
+
+# Versions of the public classification with the date in their file names.
+EDITIONS = {"2025.01": "20250101", "2026.01": "20260101"}
+# Download marks of the Chinese tables, by version and section.
+CHINESE_TABLES = {
+    "2025.01": {
+        "A": "490dd33a669c43d7b2dccaabaa730ce8", "B": "e75c01f9db70483aad983ea8a99aa2a1", "C": "a8b47d2d872742a7ab634892159ad6aa", "D": "84c5c0a878724a5099241142f32de442",
+        "E": "eedad1fd7ceb4e5d87446b969a090f48", "F": "49e52fa29aad437fa859d3939ce64d9b", "G": "a46abe466a524434bd2d00dc6d4e3fa7", "H": "9ec917cb185443e9bfa8848adda024a9",
+    },
+    "2026.01": {
+        "A": "84f50032f9ce4301ab100f5c403e000b", "B": "a4f808817050429e849bd818907cfc1d", "C": "99c9d77c96ae4000ab1ec35c75a95881", "D": "7719d52ee72b4cedb8a925a86d8932cb",
+        "E": "b5822d0c2cbc4daa823e95ebb9d70cd2", "F": "826c947f24cd469485b8c75e76b3226e", "G": "61ec0e15ff694bbc98f302ab0e4438ee", "H": "e68dc3300ca44d2d9e606a6a5c979725",
+    },
+}
+_MASTER = "https://www.wipo.int/classifications/data/ipc/ITSupport_and_download_area"
+_CHINESE = "https://www.cnipa.gov.cn/module/download/downfile.jsp?classid=0&filename="
+# Folder and name of the files of an edition.
+MASTER_FILES = {
+    "scheme": ("MasterFiles", "ipc_scheme_{day}.zip"), "valid_symbols": ("valid_symbol_list", "ipc_valid_symbols_{day}.zip"), "title_list": ("IPC_scheme_title_list", "EN_ipc_title_list_{day}.zip"),
+    "concordance": ("MasterFiles", "ipc_concordancelist_{day}.zip"),
+}
+
+
+def pinned_sources() -> list[dict]:
+    """The files a dictionary of both editions is made of: version, kind, section, language, file name and address.
+
+    The concordance is that of the later edition only.
+    """
+    out = []
+    for version, day in EDITIONS.items():
+        for kind, (folder, name) in MASTER_FILES.items():
+            if kind != "concordance" or version == max(EDITIONS):
+                file = name.format(day=day)
+                out.append({"version": version, "kind": kind, "section": None, "language": "en", "file": file, "url": f"{_MASTER}/{day}/{folder}/{file}"})
+        for section, mark in CHINESE_TABLES[version].items():
+            file = f"{version}版IPC分类表-{section}部.pdf"
+            out.append({"version": version, "kind": "pdf", "section": section, "language": "zh", "file": file, "url": f"{_CHINESE}{mark}.pdf&showname={quote(file)}"})
+    return out
+
+
+def fetch_pinned(folder: Path, opener: Callable | None = None) -> list[dict]:
+    """Fetch every pinned source into ``folder`` and write ``manifest.json`` beside them; files there are kept."""
+    import json
+
+    entries = [source | fetch(source["url"], Path(folder) / source["file"], opener) for source in pinned_sources()]
+    (Path(folder) / "manifest.json").write_text(json.dumps(entries, ensure_ascii=False, indent=2), encoding="utf-8")
+    return entries

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import write_bytes
+
 UNKNOWN = "unknown"
+#: Tasks, and so files, a year or quarter is written by, at most.
+SALTS = 16
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -28,8 +32,8 @@ def write_by_quarter(df: DataFrame, path: str, quarter: str = "quarter") -> None
 
 
 def _partitioned(df: DataFrame, path: str, key: str) -> None:
-    # Range partitioning cuts a large period into several tasks, so that no period is one task.
-    df.repartitionByRange(F.col(key), F.xxhash64(*df.columns)).write.mode("overwrite").option("compression", "zstd").partitionBy(key).parquet(path)
+    # A period is spread over SALTS tasks, so that none is one task; a range would sample and so run the plan twice.
+    df.repartition(F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).write.mode("overwrite").option("compression", "zstd").partitionBy(key).parquet(path)
 
 
 def read_known(spark, path: str, key: str = "application_year") -> DataFrame:
@@ -43,10 +47,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*named).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(path: str | Path, document: dict) -> None:
-    """A manifest, summary or checkpoint document."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(document, ensure_ascii=False, indent=2, sort_keys=True, default=str), encoding="utf-8")
+def write_json(spark: SparkSession, path: str, document: dict) -> None:
+    """A manifest, summary or checkpoint document, on the file system of ``path``."""
+    write_bytes(spark, path, json.dumps(document, ensure_ascii=False, indent=2, sort_keys=True, default=str).encode())
 
 
 def fingerprint(spark, path: str) -> dict:
@@ -64,14 +67,13 @@ def markdown_table(df: DataFrame) -> str:
     return head + "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)
 
 
-def write_report(path: str | Path, title: str, facts: dict, tables: dict[str, DataFrame]) -> None:
+def write_report(spark: SparkSession, path: str, title: str, facts: dict, tables: dict[str, DataFrame]) -> None:
     """A Markdown report of single facts and small tables."""
     parts = [f"# {title}", *[f"- {k}: {v}" for k, v in facts.items()], *[f"## {k}\n\n{markdown_table(t)}" for k, t in tables.items()]]
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("\n\n".join(parts) + "\n", encoding="utf-8")
+    write_bytes(spark, path, ("\n\n".join(parts) + "\n").encode())
 
 
-def write_plots(metrics: DataFrame, columns: list[str], path: str | Path, order: str = "quarter") -> bool:
+def write_plots(metrics: DataFrame, columns: list[str], path: str, order: str = "quarter") -> bool:
     """Line plots of a quarterly table; False where the plotting library is missing."""
     try:
         import matplotlib
@@ -87,6 +89,8 @@ def write_plots(metrics: DataFrame, columns: list[str], path: str | Path, order:
         ax.set_title(c)
         ax.set_xticks(frame[order][:: max(1, len(frame) // 8)])
     fig.tight_layout()
-    fig.savefig(path)
+    image = io.BytesIO()
+    fig.savefig(image, format="png")
     plt.close(fig)
+    write_bytes(metrics.sparkSession, path, image.getvalue())
     return True

@@ -20,7 +20,7 @@ def quarantine_stream(lines: DataFrame, sound_path: str, failed_path: str, check
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = batch.persist()
-        parsed.where("fail_reason is null").drop("fail_reason", "n_fields").write.mode("append").parquet(sound_path)
+        parsed.where("fail_reason is null").drop("fail_reason", "n_fields", "corrupt_text").write.mode("append").parquet(sound_path)
         parsed.where("fail_reason is not null").select(*lines.columns, "fail_reason").write.mode("append").parquet(failed_path)
         parsed.unpersist()
 

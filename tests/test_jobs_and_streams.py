@@ -41,6 +41,22 @@ def test_codes_job_summarises_all_metrics(spark, config):
     assert len(got) == 21 and got["average_patent_scope"]["mean"] == 2.0 and got["multi_ipc_patent_share"]["last"] == 1.0 and got["utility_model_patent_count"]["sum"] == 0.0
 
 
+def test_annual_comparison_in_the_job(spark, config, tmp_path):
+    from dataclasses import replace
+
+    columns = "year int, stkcd string, patents_independent_annual bigint, patents_invention_independent_annual bigint, patents_utility_model_independent_annual bigint, patents_design_independent_annual bigint"
+    spark.createDataFrame([(1985, "1", 2, 2, 0, 0), (1985, "2", 1, 0, 1, 0), (1990, "1", 1, 1, 0, 0)], columns).write.parquet(str(tmp_path / "panel"))
+    jobs.run_codes(spark, replace(config, annual_panel=str(tmp_path / "panel")))
+    got = {r.year: r for r in spark.read.parquet(f"{config.output}/annual_reconciliation").collect()}
+    assert (got[1985].detail_patent_count, got[1985].existing_panel_patent_count, got[1985].detail_minus_existing_patent_count) == (1, 3, -2)
+    assert got[1994].detail_invention_patent_count == 1 and got[1994].existing_panel_patent_count is None and got[1990].detail_other_patent_count == 0
+    assert spark.read.parquet(f"{config.output}/failure_sample").count() == 0 and spark.read.parquet(f"{config.output}/unmatched_sample").columns[0] == "quarter"
+    with pytest.raises(ValueError):
+        from lodestrata.operators.code_metrics import annual_comparison
+
+        annual_comparison(spark.read.parquet(f"{config.output}/quarterly_metrics"), spark.range(1))
+
+
 def test_pre_sample_counts_and_quality_audit(spark, config):
     from pathlib import Path
 

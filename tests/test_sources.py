@@ -82,7 +82,7 @@ def zipped(**members):
 
 def test_schemes():
     rows = {r["ipc_code"]: r for r in D.scheme_rows(zipped(EN_ipc_scheme_x__xml=FLAT))}
-    assert rows["H"]["title_en"] == "ELECTRICITY" and rows["H01L21/3065"] == {"ipc_code": "H01L21/3065", "ipc_level": "subgroup", "parent_code": "H01L21/00", "title_en": "ETCH ING"}
+    assert rows["H"]["title_en"] == "ELECTRICITY" and rows["H01L21/3065"] == {"ipc_code": "H01L21/3065", "ipc_level": "subgroup", "parent_code": "H01L21/00", "title_en": "ETCH ING", "source_symbol": rows["H01L21/3065"]["source_symbol"], "source_kind": "subgroup"}
     rows = {r["ipc_code"]: r for r in D.scheme_rows(zipped(only__xml=TREE))}
     assert rows["H01"]["parent_code"] == "H" and rows["H01"]["title_en"] == "BASIC" and "H02" not in rows
     with pytest.raises(FileNotFoundError):
@@ -120,8 +120,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_by_quarter(df.withColumn("quarter", F.lit(None).cast("string")), str(tmp_path / "q"))
     sinks.write_csv(df, str(tmp_path / "c"))
     assert any(p.read_bytes().startswith("﻿k,".encode()) for p in (tmp_path / "c").glob("*.csv"))
-    sinks.write_json(tmp_path / "m" / "x.json", {"a": 1})
-    sinks.write_report(tmp_path / "r.md", "T", {"n": 1}, {"rows": df})
+    sinks.write_json(spark, (tmp_path / "m" / "x.json").as_uri(), {"a": 1})
+    sinks.write_report(spark, str(tmp_path / "r.md"), "T", {"n": 1}, {"rows": df})
     assert "| a |" in Path(tmp_path / "r.md").read_text()
     assert sinks.fingerprint(spark, str(tmp_path / "m"))["files"] == 1
 
@@ -130,3 +130,45 @@ def test_report_has_every_row(spark):
     from lodestrata.sources.sinks import markdown_table
 
     assert markdown_table(spark.range(60).orderBy("id")).endswith("| 59 |")
+
+
+def test_small_files_on_any_file_system(spark, tmp_path):
+    from lodestrata.session import read_bytes, write_bytes
+
+    for path in (str(tmp_path / "a" / "x.json"), (tmp_path / "b" / "x.json").as_uri()):
+        assert read_bytes(spark, path) is None
+        write_bytes(spark, path, b"1")
+        write_bytes(spark, path, "\u6587".encode())
+        assert read_bytes(spark, path).decode() == "\u6587"
+
+
+def test_no_local_folder_off_local_mode():
+    from types import SimpleNamespace as N
+
+    from lodestrata.session import shared_dir
+
+    fake = lambda master, named: N(sparkContext=N(master=master, getConf=lambda: {"spark.checkpoint.dir": named}))
+    with pytest.raises(RuntimeError):
+        shared_dir(fake("spark://host:7077", None))
+    assert shared_dir(fake("spark://host:7077", "s3://b/c/")) == "s3://b/c" and shared_dir(fake("local[2]", None)).startswith("file:")
+
+
+def test_titles_of_merged_dictionary(spark):
+    from lodestrata.operators import audits
+
+    scheme = spark.createDataFrame([("s.zip", 0, "h", "H01L", "subclass", "H01", "OWN", "H01L", "u"), ("s.zip", 1, "h", "H01M", "subclass", "H01", "", "H01M", "u"), ("s.zip", 2, "h", "H01L3/00", "main_group", "H01L", None, "x", "m")], audits.SCHEME)
+    titles = spark.createDataFrame([("t", 0, "h", "H01L", "LIST"), ("t", 1, "h", "H01M", "LIST"), ("t", 2, "h", "H01M", "LAST")], audits.TITLES)
+    zh = spark.createDataFrame([("b.pdf", 0, "hb", "H01L", "much longer"), ("a.pdf", 7, "ha", "H01L", "first"), ("a.pdf", 8, "ha", "H01L", "second")], audits.TITLES)
+    got = {r.code: r for r in audits.merge_dictionary(scheme, spark.createDataFrame([("H01L",)], "ipc_code string"), titles, zh, "2026.01").collect()}
+    a, b, c = got["H01L"], got["H01M"], got["H01L3/00"]
+    assert (a.title_en, a.title_zh, a.title_zh_status, a.source_zh, a.source_sha256_zh, a.is_valid, a.level) == ("OWN", "first", "matched", "a.pdf", "ha", True, "subclass")
+    assert (b.title_en, b.title_zh, b.title_zh_status, b.is_valid) == ("LAST", None, "missing_source", False) and c.main_group_code == "H01L3/00" and c.title_en is None
+
+
+def test_body_start_and_pinned_sources(tmp_path):
+    pages = ["H\n\u76ee\u5f55\nH01", "x", "A\n", "H \nH01 text"]
+    assert D.body_start(pages, "H") == 3 and D.body_start(pages, "G") == 0 and D.body_start(pages, None) == 0
+    pins = D.pinned_sources()
+    assert len(pins) == 23 and len({p["file"] for p in pins}) == 23 and {p["section"] for p in pins if p["kind"] == "pdf"} == set("ABCDEFGH")
+    entries = D.fetch_pinned(tmp_path, opener=lambda url: io.BytesIO(url.encode()))
+    assert len(entries) == 23 and (tmp_path / "manifest.json").exists() and all(e["reused"] for e in D.fetch_pinned(tmp_path))
