@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("__here", F.spark_partition_id()).where(condition & (F.col("__here") >= 0)).drop("__here")
 
 
+def computed_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where ``use`` mentions a costly value several times: an array of one is made and mapped."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 #: Rows up to which a table is broadcast once counted.
 SMALL = 10_000
 
