@@ -25,18 +25,32 @@ def _records(spark: SparkSession, sf_dir: str, name: str, key: str, fields: list
     return joined.withColumn("app", survivors.application_key(F.col("application_no"))).drop("application_no", "__feed", "feed_code")
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row that supplies the surviving value, per application and field."""
+def _fields(spark: SparkSession, sf_dir: str, hide: bool = False) -> list[tuple[str, DataFrame]]:
+    """The competitors of the three fields; with ``hide`` a fifth of the rows have lost their time."""
     raw = _records(spark, sf_dir, "raw_records", "rec_id", ["application_date", "ipc_all_raw"])
     texts = _records(spark, sf_dir, "text_records", "text_id", ["abstract_clean"])
-    parts = [
-        ("application_date", survivors.survivors(survivors.date_rows(raw), survivors.any_undated(table(spark, sf_dir, "raw_records")))),
-        ("ipc_all_raw", survivors.survivors(survivors.code_rows(raw), survivors.any_undated(table(spark, sf_dir, "raw_records")))),
-        ("abstract_clean", survivors.survivors(survivors.abstract_rows(texts), survivors.any_undated(table(spark, sf_dir, "text_records")))),
-    ]
+    if hide:
+        kept = F.when(F.pmod(F.xxhash64("id"), F.lit(5)) > 0, F.col("loaded_at"))
+        raw, texts = raw.withColumn("loaded_at", kept), texts.withColumn("loaded_at", kept)
+    return [("application_date", survivors.date_rows(raw)), ("ipc_all_raw", survivors.code_rows(raw)), ("abstract_clean", survivors.abstract_rows(texts))]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that supplies the surviving value, per application and field."""
+    out = None
+    for name, rows in _fields(spark, sf_dir):
+        part = survivors.survivors(rows).select(survivors.application_number(F.col("app")).alias("application_no"), F.lit(name).alias("field_name"), F.col("id").alias("holder_id"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def p2_hidden_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the survivor is the same when a fifth of the rows have lost their time, per field."""
     out = None
-    for name, df in parts:
-        part = df.select(survivors.application_number(F.col("app")).alias("application_no"), F.lit(name).alias("field_name"), F.col("id").alias("holder_id"))
+    for (name, rows), (_, hidden) in zip(_fields(spark, sf_dir), _fields(spark, sf_dir, hide=True)):
+        with_times, without = survivors.survivors(rows), survivors.survivors(hidden)
+        both = with_times.join(without.withColumnRenamed("id", "other"), "app")
+        part = both.agg(F.lit(name).alias("field_name"), F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("id") == F.col("other")).alias("n_same"))
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -95,7 +109,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_levels(spark, sf_dir).where("reading_level = 5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_forms, p5_found, p5_entities, p7_packing, p8_found, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hidden_times, p4_found, p4_forms, p5_found, p5_entities, p7_packing, p8_found, p9_found, p9_levels)}
 _MARKS = "('', " + ", ".join("'" + m + "'" for m in NO_VALUE_MARKS) + ")"
 _KEY = "CASE WHEN upper(trim(application_no)) NOT IN " + _MARKS + r" THEN nullif(regexp_replace(regexp_replace(upper(application_no), '[^\p{L}\p{Nd}]', '', 'g'), '^CN', ''), '') END"
 _DATE = "try_strptime(trim(application_date), ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y/%m/%d', '%Y.%m.%d', '%Y%m%d', '%Y年%m月%d日'])"

@@ -24,18 +24,48 @@ def test_edges(spark):
     assert run(spark, []) == {}
 
 
+def learned(n=10):
+    # in timestamped groups a draft ("9") always comes before the final form ("A9"), that before ("H9")
+    return [r for g in range(n) for r in ((f"g{g}", 10 * g, "123", True, 1, T(1)), (f"g{g}", 10 * g + 1, "B123", True, 1, T(2)), (f"g{g}", 10 * g + 2, "文1", True, 1, T(3)))]
+
+
 def test_missing_times_follow_learned_precedence(spark):
-    # in timestamped groups a draft ("9") always comes before the final form ("A9")
-    rows = [r for g in range(8) for r in ((f"g{g}", 10 * g, "123", True, 1, T(1)), (f"g{g}", 10 * g + 1, "B123", True, 1, T(2)))]
+    rows = learned()
     rows += [("q", 900, "999", True, 1, None), ("q", 901, "Z55", True, 1, None), ("q", 902, "777", True, 1, T(30)), ("u", 910, "1", True, 1, None), ("u", 911, "2", True, 1, None)]
     got = run(spark, rows)
-    assert got["q"] == 901 and got["u"] == 911 and got["g0"] == 1
+    assert got["q"] == 901 and got["u"] == 911 and got["g0"] == 2
+
+
+def test_known_times_stay_in_the_partial_order(spark):
+    rows = learned()
+    # a later time is after an earlier one whatever their kinds; the undated draft precedes what is dated
+    rows += [("a", 1000, "A9", True, 1, T(5)), ("a", 1001, "9", True, 1, T(6)), ("a", 1002, "8", True, 1, None)]
+    # learned: the undated value comes after the newest dated one
+    rows += [("b", 1010, "8", True, 1, T(6)), ("b", 1011, "A9", True, 1, None)]
+    # nothing learned about this kind: the known time goes first
+    rows += [("c", 1020, "8", True, 1, T(6)), ("c", 1021, "?!?", True, 1, None)]
+    # a missing time below the winning trust does not matter
+    rows += [("d", 1030, "8", True, 1, T(6)), ("d", 1031, "A9", True, 2, None)]
+    # H9 > A9 learned, A9 before the dated draft by time: a circle with the undated H9; the known time stands
+    got = run(spark, rows)
+    assert (got["a"], got["b"], got["c"], got["d"]) == (1001, 1011, 1020, 1030)
+
+
+def test_precedence_needs_support_and_balance(spark):
+    df = lambda rows: spark.createDataFrame(rows, "app string, kind int, first_at timestamp")
+    pairs = lambda rows: {tuple(r) for r in S.learn_precedence(df(rows)).collect()}
+    clear = [r for g in range(10) for r in ((f"g{g}", 7, T(1)), (f"g{g}", 3, T(2)))]
+    assert pairs(clear) == {(7, 3)} and pairs(clear[:12]) == set() and pairs([]) == set()
+    mixed = clear + [r for g in range(8) for r in ((f"h{g}", 7, T(2)), (f"h{g}", 3, T(1)))]
+    assert pairs(mixed) == set()
 
 
-def test_topological():
-    assert S.topological({("a", "b"): 9, ("b", "c"): 9, ("c", "a"): 2}) == ["a", "b", "c"]
-    assert sorted(S.topological({("a", "b"): 9, ("b", "c"): 9, ("c", "a"): 9})) == ["a", "b", "c"]
-    assert S.topological({}) == []
+def test_kinds_are_bounded_and_read_the_whole_value(spark):
+    kinds = lambda *v: [r[0] for r in spark.createDataFrame([(x,) for x in v], "v string").select(S.value_kind(F.col("v"))).collect()]
+    a, b, c, d, e = kinds("2020-01-02", "1999-12-31", "A01B1/00;C02D3/04", "A01B1/00;C02D3/04;E05F5/06", None)
+    assert a == b and c == d and e is None or 0 <= e < S.KINDS
+    long = "字" * 100 + "，1;" * 50
+    assert kinds(long + "。")[0] != kinds(long + "x")[0]
 
 
 @pytest.mark.parametrize("raw, key", [("CN2020800005845.3", "20208000058453"), (" cn 2009100007124.x", "2009100007124X"), ("20101000119393", "20101000119393"), ("无", None), ("", None), (None, None), ("ＣＮ1.2", "12")])
