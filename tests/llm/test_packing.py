@@ -84,3 +84,39 @@ def test_token_lengths(spark):
 def test_no_limits(spark):
     lengths = spark.createDataFrame([(1, 5)], "doc_id bigint, n_tokens bigint")
     assert P.pack(lengths, spark.createDataFrame([(1, None)], "limit_id int, capacity_tokens int")).count() == 0
+
+
+def test_capacity_does_not_matter(spark):
+    rng = random.Random(5)
+    lengths = spark.createDataFrame([(i, rng.randint(1, 900_000)) for i in range(300)] + [(900, 2_500_000)], "doc_id bigint, n_tokens bigint")
+    limits = spark.createDataFrame([(1, 1_000_000), (2, 700_001)], "limit_id int, capacity_tokens int")
+    got = P.audit(P.pack(lengths, limits), lengths, limits).collect()
+    assert len(got) == 2 and all((r.n_documents, r.missing, r.overfull, r.cut_short, r.broken) == (301, 0, 0, 0, 0) for r in got)
+
+
+def test_slots_join_gives_one_row_per_item(spark):
+    lengths = spark.createDataFrame([(i, 1 + i % 97) for i in range(5000)], "doc_id bigint, n_tokens bigint")
+    limits = spark.createDataFrame([(1, 97)], "limit_id int, capacity_tokens int")
+    packed = P.pack(lengths, limits)
+    assert packed.count() == 5000 and P.audit(packed, lengths, limits).first().tight
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "from_rank" not in plan
+
+
+def test_audit_sees_faults(spark):
+    lengths = spark.createDataFrame([(1, 5), (2, 12), (3, 4)], "doc_id bigint, n_tokens bigint")
+    limits = spark.createDataFrame([(1, 10)], "limit_id int, capacity_tokens int")
+    bad = spark.createDataFrame([(1, 10, 1, 1, 1, 0, 2), (1, 10, 1, 1, 2, 2, 3), (1, 10, 1, 2, 1, 0, 10), (1, 10, 2, 2, 2, 10, 1)], P._PACKED)
+    r = P.audit(bad, lengths, limits).first()
+    assert (r.n_documents, r.missing, r.overfull, r.cut_short, r.broken) == (2, 1, 1, 1, 2)
+
+
+def test_vocabulary_from_any_file_system(spark, tmp_path):
+    import base64
+
+    (tmp_path / "v").write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)))
+    docs = spark.createDataFrame([(1, "abc")], "doc_id bigint, text string")
+    for path in (str(tmp_path / "v"), (tmp_path / "v").as_uri()):
+        assert P.token_lengths(docs, path).first().n_tokens == 3
+    with pytest.raises(FileNotFoundError):
+        P.token_lengths(docs, str(tmp_path / "w"))
