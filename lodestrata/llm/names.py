@@ -94,52 +94,70 @@ def deletions(text: str, radius: int) -> set[str]:
     return out
 
 
-def radius_pairs(strings: DataFrame) -> DataFrame:
-    """All pairs of strings within their radius: ``sid_a < sid_b`` and ``d``.
+def cells_of(strings: DataFrame) -> DataFrame | None:
+    """``strings`` with ``home``, the nearest pivot, and ``cells``, all pivots whose cell may hold a partner; None if there are no strings.
 
-    ``strings`` has ``sid``, ``code`` (the rendered parts, compared as written), ``stem`` and
-    ``radius``. Strings go to the cell of their nearest pivot and, where the triangle inequality lets
-    a partner lie in another cell, to that cell too: the pivots' distances are Levenshtein's, which a
-    pair within r edits with swaps changes by at most 2r on either side. Inside a cell, candidates
-    share a deletion variant of the stem, and the exact distance decides. Cells are spread by variant,
-    so that a cell of any size is no single task.
+    Distances to pivots are Levenshtein's, over parts and stem; a pair within r edits with swaps is
+    within R = 2r there. A string is copied to every cell whose pivot is at most 2R further than its
+    nearest: a partner's home is then always among its cells (triangle inequality, twice).
     """
     spark = strings.sparkSession
     full = F.concat("code", "stem")
     sample = [r[0] for r in strings.select(full.alias("t")).orderBy(F.xxhash64("t"), "t").limit(SAMPLE).collect()]
     pivots = choose_pivots(sample, max(RADIUS.values()))
     if not pivots:
-        return spark.createDataFrame([], "sid_a bigint, sid_b bigint, d int")
+        return None
     distances = F.array(*[F.levenshtein(full, F.lit(p)) for p in pivots])
     # distances to all pivots are the costly part: spread them evenly, and compute them once
     placed = strings.repartition(spark.sparkContext.defaultParallelism * 2, "sid").withColumn("dist", distances).withColumn("reach", F.array_min("dist") + 4 * F.col("radius"))
     cells = F.filter(F.transform("dist", lambda d, i: F.when(d <= F.col("reach"), i)), lambda c: c.isNotNull())
     placed = placed.withColumn("home", (F.array_position("dist", F.array_min("dist")) - 1).cast("int")).withColumn("cells", cells)
-    placed = materialize(placed.select("sid", "code", "stem", "radius", "home", "cells"))
+    return materialize(placed.select("sid", "code", "stem", "radius", "home", "cells"))
 
-    columns = ["cell", "variant", "sid", "stem", "radius", "at_home"]
+
+def candidate_pairs(placed: DataFrame) -> DataFrame:
+    """Pairs of strings of one cell, one of them at home, whose stems share a deletion variant: ``sid_a < sid_b``, parts, stems and radius.
+
+    Nothing but the cell keeps different parts apart here: what is in no common cell is never
+    compared. Inside a cell the variants find all pairs within the radius without listing its pairs,
+    and spread it over many tasks.
+    """
+    columns = ["cell", "variant", "sid", "code", "stem", "radius", "at_home"]
 
     def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for sid, code, stem, radius, home, at in zip(*(batch[c].tolist() for c in ("sid", "code", "stem", "radius", "home", "cells"))):
+                # one run of a code's copies is enough once strings are compared within a cell
+                short = "".join(c for i, c in enumerate(code) if i == 0 or code[i - 1] != c)
                 for v in deletions(stem, radius):
-                    # one run of a code's copies is enough once strings are compared within a cell
-                    rows += [(int(c), hash_key(code, v), sid, stem, int(radius), int(c) == home) for c in at]
+                    rows += [(int(c), v, sid, short, stem, int(radius), int(c) == home) for c in at]
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
             yield pd.DataFrame(rows, columns=columns)
 
-    keyed = placed.mapInPandas(
-        variants, "cell int, variant string, sid bigint, stem string, radius int, at_home boolean"
-    )
+    keyed = placed.mapInPandas(variants, "cell int, variant string, sid string, code string, stem string, radius int, at_home boolean")
     left, right = keyed.where("at_home").alias("x"), keyed.alias("y")
     candidates = left.join(right, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.variant") == F.col("y.variant"))).where("x.sid <> y.sid")
-    slim = candidates.select(
-        F.least("x.sid", "y.sid").alias("sid_a"), F.greatest("x.sid", "y.sid").alias("sid_b"),
-        F.least("x.stem", "y.stem").alias("s"), F.greatest("x.stem", "y.stem").alias("t"), F.col("x.radius").alias("radius"),
-    ).distinct()
+    first = F.col("x.sid") < F.col("y.sid")
+    pick = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    (sid_a, sid_b), (code_a, code_b), (s, t) = pick("sid"), pick("code"), pick("stem")
+    return candidates.select(sid_a.alias("sid_a"), sid_b.alias("sid_b"), code_a.alias("code_a"), code_b.alias("code_b"), s.alias("s"), t.alias("t"), F.col("x.radius").alias("radius")).distinct()
+
+
+def radius_pairs(strings: DataFrame) -> DataFrame:
+    """All pairs of strings within their radius: ``sid_a < sid_b`` and ``d``.
+
+    ``strings`` has ``sid``, ``code`` (the rendered parts), ``stem`` and ``radius``. Strings go to the
+    cell of their nearest pivot and to those their partners may be at home in (``cells_of``); inside a
+    cell candidates are compared (``candidate_pairs``) by the true metric: Damerau-Levenshtein's
+    distance of the stems, and parts that differ are farther apart than any radius. An empty table
+    gives no pairs.
+    """
+    placed = cells_of(strings)
+    if placed is None:
+        return strings.sparkSession.createDataFrame([], "sid_a string, sid_b string, d int")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,13 +165,8 @@ def radius_pairs(strings: DataFrame) -> DataFrame:
             out = batch[["sid_a", "sid_b"]].assign(d=pd.Series(d, index=batch.index, dtype="int32"))
             yield out[out["d"] <= batch["radius"]]
 
-    return slim.mapInPandas(exact, "sid_a bigint, sid_b bigint, d int")
-
-
-def hash_key(code: str, variant: str) -> str:
-    """A code's runs cut to one copy each, then the variant."""
-    short = "".join(c for i, c in enumerate(code) if i == 0 or code[i - 1] != c)
-    return f"{short}\u0000{variant}"
+    same = candidate_pairs(placed).where("code_a = code_b")
+    return materialize(same.mapInPandas(exact, "sid_a string, sid_b string, d int"))
 
 
 def _run(values: list[str], offset: int) -> dict[str, str]:
@@ -177,7 +190,8 @@ def linked_names(names: DataFrame, lex: Lexicon) -> DataFrame:
     parsed = materialize(parse_names(names, lex))
     part = ["space", "kind", "stem", "a", "b"]
     nodes = parsed.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.min("name_id").alias("first"))
-    node_id = F.xxhash64(*part)
+    # 128 bits tell nodes and strings apart however many there are
+    node_id = F.md5(F.concat_ws("\u0000", *part))
     full = (
         F.when(F.col("kind") == "zh", (F.col("a") != "") & (F.col("b") != ""))
         .when(F.col("kind") == "latin", F.col("a") != "")
@@ -196,13 +210,13 @@ def linked_names(names: DataFrame, lex: Lexicon) -> DataFrame:
         F.struct(F.when(F.col("kind") != "person", F.concat(F.lit("s:"), "kind")).alias("v")),
     )
     seen = nodes.select("nid", "space", "kind", "stem", F.explode(views).alias("s")).select("nid", "space", "kind", "stem", F.col("s.v").alias("view")).where("view is not null")
-    seen = materialize(seen.withColumn("sid", F.xxhash64("space", "view", "stem")))
+    seen = materialize(seen.withColumn("sid", F.md5(F.concat_ws("\u0000", "space", "view", "stem"))))
     labels = sorted(r[0] for r in seen.select("view").distinct().collect())
     runs = _run([*(f"space:{s}" for s in spaces), *labels], 0)
     mapping = F.create_map(*[x for k, v in runs.items() for x in (F.lit(k), F.lit(v))]) if runs else None
     strings = seen.groupBy("sid").agg(F.first("space").alias("space"), F.first("view").alias("view"), F.first("stem").alias("stem"), F.first("kind").alias("kind"))
     if mapping is None:
-        return parsed.select("space", "name_id", F.lit(None).cast("bigint").alias("entity"))
+        return parsed.select("space", "name_id", F.lit(None).cast("string").alias("entity"))
     radius = F.when(F.col("kind") == "zh", RADIUS["zh"]).when(F.length("stem") >= 7, RADIUS["latin"]).otherwise(1)
     strings = strings.select("sid", F.concat(mapping[F.concat(F.lit("space:"), "space")], mapping[F.col("view")]).alias("code"), "stem", radius.alias("radius"))
     pairs = radius_pairs(materialize(strings))
@@ -247,21 +261,24 @@ def linked_names(names: DataFrame, lex: Lexicon) -> DataFrame:
 
 
 def _gather(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nid`` and ``entity``: each node follows its best supported neighbour, three steps at most.
+    """``nid`` and ``entity``: each node follows its best supported neighbour to the end.
 
     Support is the number of known parts, then of links, then of names; a node better than all its
-    neighbours is an entity.
+    neighbours is an entity. As ranks rise along the way there are no circles; the way is halved in
+    each round (pointer doubling) until every node points at an entity, so there are as many rounds
+    as the logarithm of the longest way.
     """
     degree = edges.groupBy(F.col("u").alias("nid")).agg(F.count(F.lit(1)).alias("deg"))
     known = (F.col("a") != "").cast("int") + (F.length("a") > 1).cast("int") + (F.col("b") != "").cast("int")
     rank = F.struct(known.alias("known"), F.coalesce("deg", F.lit(0)).alias("deg"), F.col("n").alias("n"), F.col("nid").alias("nid"))
     ranked = nodes.join(degree, "nid", "left").select("nid", rank.alias("rank"))
     reach = edges.select("u", "v").join(ranked.select(F.col("nid").alias("v"), "rank"), "v").select(F.col("u").alias("nid"), "rank")
-    best = materialize(ranked.unionAll(reach.select("nid", "rank")).groupBy("nid").agg(F.max("rank").alias("r")).select("nid", F.col("r.nid").alias("to")))
-    hop = best
-    for _ in range(2):
-        hop = hop.join(best.select(F.col("nid").alias("to"), F.col("to").alias("next")), "to").select("nid", F.col("next").alias("to"))
-    return hop.select("nid", F.col("to").alias("entity"))
+    hop = materialize(ranked.unionAll(reach.select("nid", "rank")).groupBy("nid").agg(F.max("rank").alias("r")).select("nid", F.col("r.nid").alias("entity"), F.lit(True).alias("moved")))
+    while True:
+        further = hop.select(F.col("nid").alias("entity"), F.col("entity").alias("next"))
+        hop = materialize(hop.join(further, "entity").select("nid", F.col("next").alias("entity"), (F.col("next") != F.col("entity")).alias("moved")))
+        if not hop.where("moved").limit(1).count():
+            return hop.select("nid", "entity")
 
 
 def name_pairs(linked: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestrata.llm import name_parts as P
 from lodestrata.llm import names as N
@@ -58,16 +59,39 @@ def test_near_strings_share_a_variant(a, b, r):
         assert N.deletions(a, r) & N.deletions(b, r)
 
 
+def random_strings(spark, n=120, seed=2):
+    rng = random.Random(seed)
+    strings = [(f"{i:03}", rng.choice("\ue000\ue001\ue002") * N.CODE, "".join(rng.choice("abcd") for _ in range(rng.randint(3, 7))), 1) for i in range(n)]
+    return strings, spark.createDataFrame(strings, "sid string, code string, stem string, radius int")
+
+
 def test_radius_join_is_exact(spark):
-    rng = random.Random(2)
-    strings = [(i, rng.choice("") * N.CODE, "".join(rng.choice("abcd") for _ in range(rng.randint(3, 7)))) for i in range(120)]
-    df = spark.createDataFrame([(*s, 1 + s[0] % 1) for s in strings], "sid bigint, code string, stem string, radius int")
+    strings, df = random_strings(spark)
     got = {(r.sid_a, r.sid_b): r.d for r in N.radius_pairs(df).collect()}
     want = {(x[0], y[0]): P.damerau(x[2], y[2]) for x, y in itertools.combinations(strings, 2) if x[1] == y[1] and P.damerau(x[2], y[2]) <= 1}
     assert got == want and want
     assert N.radius_pairs(df.limit(0)).count() == 0
 
 
+def test_cells_cut_candidates(spark):
+    _, df = random_strings(spark, 300, 3)
+    placed = N.cells_of(df)
+    with_cells = N.candidate_pairs(placed).count()
+    one_cell = placed.withColumn("home", F.lit(0)).withColumn("cells", F.array(F.lit(0)))
+    without = N.candidate_pairs(one_cell).count()
+    copies = placed.agg(F.sum(F.size("cells"))).first()[0]
+    assert placed.select("home").distinct().count() >= 3 and with_cells < 0.5 * without and copies < 2.5 * placed.count()
+
+
+def test_long_chains_end_in_one_root(spark):
+    for length in (2, 10, 37):
+        nodes = spark.createDataFrame([(f"n{i:02}", "", "", 1 + i) for i in range(length)], "nid string, a string, b string, n bigint")
+        edges = spark.createDataFrame([e for i in range(length - 1) for e in ((f"n{i:02}", f"n{i + 1:02}"), (f"n{i + 1:02}", f"n{i:02}"))], "u string, v string")
+        got = {r.nid: r.entity for r in N._gather(nodes, edges).collect()}
+        assert all(got[e] == e for e in got.values()) and len(got) == length
+        assert len(set(got.values())) == (2 if length == 2 else 1) - (length == 2)
+
+
 def test_linking(spark):
     entities = [
         ["霖江丰骏光睿半导体有限公司", "丰骏光睿(霖江)半導體公司", "霖江丰骏光睿", "丰骏光睿半导体", "霖江丰骏睿半导体有限公司", "霖江丰骏光睿半导体有限公司", "霖江骏丰光睿半导体公司"],
