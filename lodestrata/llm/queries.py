@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import NO_VALUE_MARKS
 from ..operators.barrier import broadcast_if_small
+from ..plans.quality_queries import no_value
 from ..session import materialize, table
 from . import leaks, names, packing, reading, survivors, unify
 
@@ -69,6 +70,13 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.unionAll(people)
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its class of equal-looking rows, its spelling, and the size of the class."""
+    texts = unify.look_alike_classes(table(spark, sf_dir, "text_records"), "text_id", "abstract_clean")
+    people = unify.look_alike_classes(table(spark, sf_dir, "applicant_names"), "name_id", "applicant")
+    return texts.withColumn("field_name", F.lit("abstract_clean")).unionAll(people.withColumn("field_name", F.lit("applicant")))
+
+
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = names.lexicon_of(table(spark, sf_dir, "firms"))
     applicants = table(spark, sf_dir, "applicant_names").select(F.lit("applicant").alias("space"), "name_id", F.col("applicant").alias("name"))
@@ -116,7 +124,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_levels(spark, sf_dir).where("reading_level = 5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hidden_times, p4_found, p4_forms, p5_found, p5_entities, p7_packing, p7_audit, p8_found, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hidden_times, p4_found, p4_forms, p4_classes, p5_found, p5_entities, p7_packing, p7_audit, p8_found, p9_found, p9_levels)}
 _MARKS = "('', " + ", ".join("'" + m + "'" for m in NO_VALUE_MARKS) + ")"
 _KEY = "CASE WHEN upper(trim(application_no)) NOT IN " + _MARKS + r" THEN nullif(regexp_replace(regexp_replace(upper(application_no), '[^\p{L}\p{Nd}]', '', 'g'), '^CN', ''), '') END"
 _DATE = "try_strptime(trim(application_date), ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y/%m/%d', '%Y.%m.%d', '%Y%m%d', '%Y年%m月%d日'])"
@@ -136,3 +144,12 @@ SQL: dict[str, str] = {
         _survivor_sql("abstract_clean", "text_records", "text_id", f"coalesce(upper(trim(abstract_clean)), '') NOT IN {_MARKS} AND length(abstract_clean) >= 0.8 * max(length(abstract_clean)) OVER (PARTITION BY app)"),
     ])
 }
+
+_FORMS = f"{unify.form_sql('abstract_clean', 'text_id', 'text_records', 'fa')}, {unify.form_sql('applicant', 'name_id', 'applicant_names', 'fb')}, al AS (SELECT 'abstract_clean' AS field_name, * FROM fa UNION ALL SELECT 'applicant', * FROM fb)"
+_HELD = f"{_FORMS}, hv AS (SELECT * FROM al WHERE {no_value('raw')} IS FALSE)"
+SQL |= {
+    "p4_forms": f"WITH {_FORMS} SELECT field_name, id, form FROM al UNION ALL SELECT 'abstract_clean', text_id, NULL FROM text_records WHERE abstract_clean IS NULL UNION ALL SELECT 'applicant', name_id, NULL FROM applicant_names WHERE applicant IS NULL",
+    "p4_found": f"WITH {_HELD} SELECT a.field_name, a.id AS id_a, b.id AS id_b FROM hv a JOIN hv b ON a.field_name = b.field_name AND a.form = b.form AND a.raw <> b.raw AND a.id < b.id",
+    "p4_classes": f"""WITH {_HELD} SELECT field_name, id, min(id) OVER (PARTITION BY field_name, form) AS class_id, min(id) OVER (PARTITION BY field_name, raw) AS spelling_id, count(*) OVER (PARTITION BY field_name, form) AS n_rows,
+ count(DISTINCT raw) OVER (PARTITION BY field_name, form) AS n_spellings FROM hv""",
+}

@@ -166,20 +166,45 @@ def unified(text: Column) -> Column:
     return _unify(text)
 
 
+def form_digests(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``__id``, ``__raw`` and ``__form``, the digests of text and form, of every row with a value; written once."""
+    return materialize(
+        df.where(~is_no_value(F.col(text))).select(
+            F.col(key).alias("__id"), F.unhex(F.md5(F.col(text))).alias("__raw"), F.unhex(F.md5(unified(F.col(text)))).alias("__form")
+        )
+    )
+
+
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per row with a value: ``id``, ``class_id`` (smallest id of its form), ``spelling_id`` (smallest id of its string), ``n_rows``, ``n_spellings``.
+
+    What ``look_alike_pairs`` lists pair by pair, in one row each: rows of one class and different
+    spelling are its pairs. Counts are combined per spelling before they meet, so a form held by most
+    rows is one state per task.
+    """
+    forms = form_digests(df, key, text)
+    spellings = forms.groupBy("__form", "__raw").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("spelling_id"))
+    classes = spellings.groupBy("__form").agg(F.min("spelling_id").alias("class_id"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_spellings"))
+    heads = spellings.select("__form", "__raw", "spelling_id").join(classes, "__form").drop("__form")
+    return forms.select(F.col("__id").alias("id"), "__raw").join(heads, "__raw").select("id", "class_id", "spelling_id", "n_rows", "n_spellings")
+
+
+def spelling_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Pairs ``spelling_a < spelling_b`` of the smallest ids of strings that look the same: the links between classes of equal strings."""
+    classes = look_alike_classes(df, key, text).where("n_spellings > 1").select("class_id", "spelling_id").distinct()
+    return classes.alias("a").join(classes.alias("b"), "class_id").where("a.spelling_id < b.spelling_id").select(F.col("a.spelling_id").alias("spelling_a"), F.col("b.spelling_id").alias("spelling_b"))
+
+
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs ``id_a < id_b`` of rows whose texts look the same but are different strings.
 
     Rows with no value are left out; rows repeating one string are each paired with every row of
     another spelling, never with each other. Spellings are compared once per distinct string, by
     digest, so that a form held by most rows costs no more than its spellings; only then are the
-    rows of each spelling looked up. An empty table gives no rows.
+    rows of each spelling looked up; tasks with many rows of one spelling are split at run time. An
+    empty table gives no rows. ``look_alike_classes`` says the same in one row per row.
     """
-    # digests of all texts are written once, as they are read four times below
-    forms = materialize(
-        df.where(~is_no_value(F.col(text))).select(
-            F.col(key).alias("__id"), F.unhex(F.md5(F.col(text))).alias("__raw"), F.unhex(F.md5(unified(F.col(text)))).alias("__form")
-        )
-    )
+    forms = form_digests(df, key, text)
     spellings = forms.groupBy("__form", "__raw").agg(F.count(F.lit(1)).alias("__n"))
     several = spellings.groupBy("__form").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("__form")
     rows = forms.join(several, "__form", "left_semi")
@@ -188,3 +213,19 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     left = pairs.join(rows.select(F.col("__form").alias("__fa"), F.col("__raw").alias("__a"), F.col("__id").alias("__ia")), "__a").where("__fa = __form")
     both = left.join(rows.select(F.col("__raw").alias("__b"), F.col("__id").alias("__ib")), "__b")
     return both.select(F.least("__ia", "__ib").alias("id_a"), F.greatest("__ia", "__ib").alias("id_b"))
+
+
+def form_sql(text: str, key: str, source: str, name: str) -> str:
+    """CTEs of DuckDB that end in ``name`` (``id``, ``raw``, ``form``): the mapping as a table joined by character, then composition."""
+    run = transducer()
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    codes = lambda chars: "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+    pairs = ", ".join(f"({ord(k)}, {quoted(v)})" for k, v in sorted(run.table.items()) if k not in _INVISIBLE)
+    odd = ", ".join(f"({ord(k)}, {quoted(v)})" for k, v in sorted({**SIGNS, **LOOK_ALIKES}.items()))
+    chars = f"unnest(regexp_extract_all({{0}}, '(?s).')) AS c, generate_subscripts(regexp_extract_all({{0}}, '(?s).'), 1) AS pos"
+    again = "string_agg(coalesce(t, c), '' ORDER BY pos)"
+    return f"""{name}_m(u, t) AS (VALUES {pairs}), {name}_o(u, t) AS (VALUES {odd}),
+{name}_r AS (SELECT {key} AS id, {text} AS raw, regexp_replace({text}, '[{codes(_INVISIBLE)}]+', '', 'g') AS v FROM {source} WHERE {text} IS NOT NULL),
+{name}_c AS (SELECT id, {chars.format('v')} FROM {name}_r), {name}_1 AS (SELECT id, nfc_normalize({again}) AS v FROM {name}_c LEFT JOIN {name}_m ON unicode(c) = u GROUP BY id),
+{name}_d AS (SELECT id, {chars.format('v')} FROM {name}_1), {name}_2 AS (SELECT id, {again} AS v FROM {name}_d LEFT JOIN {name}_o ON unicode(c) = u GROUP BY id),
+{name} AS (SELECT r.id, r.raw, trim(regexp_replace(coalesce(x.v, ''), '[{codes(_SPACES)}]+', ' ', 'g')) AS form FROM {name}_r r LEFT JOIN {name}_2 x ON r.id = x.id)"""

@@ -51,3 +51,18 @@ def test_pairs_against_all_pairs(spark):
 def test_null_and_blank(spark):
     df = spark.createDataFrame([(None,), ("  ",)], "t string")
     assert [r[0] for r in df.select(U.unified(df.t)).collect()] == [None, ""]
+
+
+def test_classes_of_a_hot_form(spark):
+    from lodestrata.llm import unify as U
+
+    # one form on half of the rows, in three spellings
+    rows = [(i, ["ab", "аb", "ab "][i % 3] if i % 2 else f"x{i}") for i in range(600)] + [(900, None), (901, "--")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = {r.id: r for r in U.look_alike_classes(df, "id", "text").collect()}
+    hot = [r for r in got.values() if r.id % 2]
+    assert len(got) == 600 and {(r.class_id, r.n_rows, r.n_spellings) for r in hot} == {(1, 300, 3)} and {r.spelling_id for r in hot} == {1, 3, 5}
+    assert all((r.class_id, r.n_rows) == (r.id, 1) for r in got.values() if r.id % 2 == 0)
+    assert sorted(map(tuple, U.spelling_pairs(df, "id", "text").collect())) == [(1, 3), (1, 5), (3, 5)]
+    assert U.look_alike_pairs(df, "id", "text").count() == 3 * 100 * 100
+    assert U.look_alike_classes(df.limit(0), "id", "text").count() == 0
