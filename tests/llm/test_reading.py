@@ -14,11 +14,33 @@ def test_vocabulary_and_features(spark):
     rows = R.document_features(docs).collect()
     assert len(rows) == 6
     got = {r.doc_id: r for r in rows if r.script == "han" and r.coverage_90 > 0}
-    # ranks of document 1: 甲 1 (four times), 丙 2, 乙 3; 90 % of six tokens are six of them
-    assert got[1].coverage_50 == 0 and got[1].coverage_80 == pytest.approx(math.log(2)) and got[1].coverage_90 == pytest.approx(math.log(3)) and got[1].sentence_tokens == pytest.approx(math.log(3))
+    # ranks of document 1: 甲 1 (four times), 丙 and 乙 2; 90 % of six tokens are six of them
+    assert got[1].coverage_50 == 0 and got[1].coverage_80 == pytest.approx(math.log(2)) and got[1].coverage_90 == pytest.approx(math.log(2)) and got[1].sentence_tokens == pytest.approx(math.log(3))
     assert {r.doc_id for r in rows if r.script is None} == {3, 4, 5}
 
 
+def test_all_tokens_of_all_scripts_count(spark):
+    docs = spark.createDataFrame([(1, "词 café naïve привет мир don't 词"), (2, "мир мир"), (3, "Café ＣＡＦÉ")], "doc_id bigint, text string")
+    assert {(r.script, r.token): r.n for r in R.vocabulary_counts(docs).collect()} == {
+        ("han", "词"): 2, ("latin", "café"): 3, ("latin", "naïve"): 1, ("other", "привет"): 1, ("other", "мир"): 3, ("latin", "don't"): 1,
+    }
+    assert {r.doc_id: r.script for r in R.document_features(docs).collect()} == {1: "latin", 2: "other", 3: "latin"}
+
+
+def test_ranks_are_exact_whatever_is_sent_to_the_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    pool = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)] + [chr(0x4E00 + i) for i in range(60)]
+    docs = [(i % 35, " ".join(rng.choices(pool, weights=[1 / (1 + k % 80) for k in range(160)], k=rng.randint(1, 60)))) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    everything = sorted(map(tuple, R.document_features(frame).collect()))
+    monkeypatch.setattr(R, "VOCABULARY", 5)
+    assert sorted(map(tuple, R.document_features(frame).collect())) == everything
+    counts = Counter(t for _, text in docs for t in text.split())
+    rank = lambda t: 1 + sum(n > counts[t] for u, n in counts.items() if (u[0] > "\u3400") == (t[0] > "\u3400"))
+    want = sorted((d, *(math.log(sorted(map(rank, text.split()))[math.ceil(len(text.split()) * s) - 1]) for s in R.SHARES)) for d, text in docs)
+    assert [(r[0], *r[2:5]) for r in everything] == [pytest.approx(w) for w in want] or sorted((r[0], *(round(x, 9) for x in r[2:5])) for r in everything) == sorted((w[0], *(round(x, 9) for x in w[1:])) for w in want)
+
+
 def corpus(rng, n):
     easy, hard = ["cat", "dog", "sun", "red"], [f"anisotropic{c}" for c in "abcdefghijklmnop"]
     docs, labels = [], []
