@@ -4,42 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from .unify import transducer
 
-# Short, old and extended forms of lines of business.
-ZH_BUSINESS_FORMS = {
-    "能源": "新能源", "汽配": "汽车零部件", "半導體": "半导体", "光电": "光电技术", "精机": "精密机械", "紡織": "纺织", "食品工业": "食品",
-    "電子": "电子", "仪表": "仪器仪表", "智装": "智能装备", "环保": "环保工程", "新材": "新材料科技", "新材科技": "新材料科技", "化學": "化工",
-    "生物": "生物医药", "轨交设备": "轨道交通设备", "轨交": "轨道交通设备", "信息": "信息技术", "化学": "化工",
-}
-# Legal forms, longest first.
-ZH_LEGAL = ["股份有限公司", "有限责任公司", "有限公司", "股份公司", "有限责任", "股份有限", "公司", "有限", "股份", "集团"]
-# Words of Latin lines of business with their short forms.
-LATIN_BUSINESS = {
-    "optics": "optics", "opt": "optics", "optical": "optics", "chemical": "chemical", "chem": "chemical", "chemicals": "chemical", "automation": "automation",
-    "autom": "automation", "industries": "industries", "ind": "industries", "industry": "industries", "technology": "technology", "tech": "technology",
-    "technologies": "technology", "semiconductor": "semiconductor", "semicon": "semiconductor", "instruments": "instruments", "instr": "instruments",
-    "energy": "energy & power", "power": "energy & power", "medical": "medical devices", "med": "medical devices", "devices": "medical devices",
-    "dev": "medical devices", "precision": "precision machinery", "prec": "precision machinery", "machinery": "precision machinery",
-    "mach": "precision machinery", "materials": "materials research", "mat": "materials research", "research": "materials research", "res": "materials research",
-}
-# Words of Latin legal forms, without dots.
-LATIN_LEGAL = {
-    "gmbh", "kk", "inc", "ltd", "co", "corporation", "ag", "corp", "incorporated", "company", "limited", "aktiengesellschaft", "kabushiki", "kaisha",
-    "ges", "mbh", "llc", "plc", "coltd", "the", "sa", "bv", "nv",
-}
-# Given names and their everyday forms.
-GIVEN = {
-    "alexander": "alexander", "alex": "alexander", "sasha": "alexander", "richard": "richard", "dick": "richard", "rick": "richard", "rich": "richard",
-    "katherine": "katherine", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "william": "william", "will": "william", "bill": "william",
-    "edward": "edward", "ted": "edward", "ned": "edward", "ed": "edward", "elizabeth": "elizabeth", "liz": "elizabeth", "beth": "elizabeth",
-    "betty": "elizabeth", "robert": "robert", "rob": "robert", "bob": "robert", "michael": "michael", "mike": "michael", "mick": "michael",
-    "margaret": "margaret", "maggie": "margaret", "peggy": "margaret", "meg": "margaret", "theodora": "theodora", "thea": "theodora", "dora": "theodora",
-}
-
-
 def damerau(a: str, b: str, limit: int = 3) -> int:
     """Damerau-Levenshtein distance (adjacent swaps count one), a true metric; ``limit + 1`` if above it."""
     if a == b:
@@ -66,22 +35,47 @@ def damerau(a: str, b: str, limit: int = 3) -> int:
     return min(rows[-1][-1], limit + 1)
 
 
-@dataclass
+@dataclass(frozen=True)
 class Lexicon:
-    """Towns and lines of business, as a clean register of firms shows them."""
+    """What names are made of: towns and lines of business of a register, and what is learned from the names."""
 
     towns: list[str]
     business: list[str]
+    #: everyday forms of lines of business
     forms: dict[str, str] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        known = {b: b for b in self.business}
-        self.forms = known | {k: v for k, v in ZH_BUSINESS_FORMS.items() if v in known}
-        self._by_length = sorted(self.forms, key=lambda f: (-len(f), f))
+    #: what stands after the line of business, longest first, and before everything else
+    legal: list[str] = field(default_factory=list)
+    opening: list[str] = field(default_factory=list)
+    #: lengths of stems, the most usual first
+    stem_sizes: list[int] = field(default_factory=list)
+    #: common Latin words with their slot (line, legal, given, none) and class
+    latin: dict[str, tuple[str, str]] = field(default_factory=dict)
+
+    def with_learned(self, **parts) -> Lexicon:
+        return replace(self, **parts)
+
+    @cached_property
+    def all_forms(self) -> dict[str, str]:
+        return {b: b for b in self.business} | self.forms
+
+    @cached_property
+    def by_length(self) -> list[str]:
+        return sorted(self.all_forms, key=lambda f: (-len(f), f))
+
+    @cached_property
+    def patterns(self) -> tuple[re.Pattern, re.Pattern]:
+        """A town in brackets, and one at the start."""
         town = "|".join(sorted(map(re.escape, self.towns), key=len, reverse=True)) or "(?!)"
-        self._bracketed = re.compile(rf"[(〔\[【]({town})市?[)〕\]】]")
-        self._leading = re.compile(rf"^({town})市?")
-        self._trailing = re.compile(rf"({town})$")
+        return re.compile(rf"[(〔\[【]({town})市?[)〕\]】]"), re.compile(rf"^({town})市?")
+
+    @cached_property
+    def usual(self) -> int:
+        """The most usual length of a stem; 0 where nothing is known."""
+        return self.stem_sizes[0] if self.stem_sizes else 0
+
+    @cached_property
+    def long_words(self) -> list[str]:
+        return [w for w in sorted(self.latin) if len(w) >= 5]
 
     def town_like(self, text: str) -> str | None:
         """The only town within one edit, if the text is not itself one."""
@@ -92,182 +86,158 @@ class Lexicon:
 
     def business_like(self, text: str) -> str | None:
         """The only line of business within one edit of one of its forms of three characters or more."""
-        if text in self.forms:
-            return self.forms[text]
-        near = {self.forms[f] for f in self._by_length if len(f) >= 2 and len(text) >= 2 and (len(f) >= 3 or len(text) >= 3) and damerau(text, f, 1) <= 1}
+        if text in self.all_forms:
+            return self.all_forms[text]
+        near = {self.all_forms[f] for f in self.by_length if len(f) >= 2 and len(text) >= 2 and (len(f) >= 3 or len(text) >= 3) and damerau(text, f, 1) <= 1}
         return near.pop() if len(near) == 1 else None
 
+    def word(self, text: str) -> tuple[str, str] | None:
+        """Slot and class of a common word, also one with a typing error in it."""
+        found = self.latin.get(text)
+        if found is None and len(text) >= 5:
+            near = {self.latin[w] for w in self.long_words if abs(len(w) - len(text)) <= 1 and damerau(text, w, 1) <= 1}
+            found = near.pop() if len(near) == 1 else None
+        return found
+
 
 _HAN = re.compile("[㐀-鿿]")
-_ST = re.compile(r"^\*?st\s*(?=[㐀-鿿])")
-_SHARE = re.compile(r"(?<=[㐀-鿿])[ab]$")
+_SHARE = re.compile(r"(?<=[㐀-鿿])[a-z]$")
+_MARKS = re.compile(r"[()〔〕\[\]【】·.,，、:*-]+")
 
 
-def _cut_legal(text: str) -> str:
-    """Drop legal forms at the end, also one with a typing error in it."""
-    while True:
-        for form in ZH_LEGAL:
-            if text.endswith(form) and len(text) > len(form) + 1:
-                text = text[: -len(form)]
-                break
-        else:
-            break
-    return text
+def is_han(text: str) -> bool:
+    return bool(_HAN.search(text))
 
 
-def _cut_damaged_legal(text: str) -> str:
-    for form in ZH_LEGAL[:4]:
-        for size in (len(form), len(form) - 1, len(form) + 1):
-            if len(text) > size + 3 and damerau(text[-size:], form, 1) <= 1:
-                return text[:-size]
+def bare_zh(text: str, lex: Lexicon) -> tuple[str, str]:
+    """A Han name without blanks, marks and town, and the town; what follows a colon goes first."""
+    text = _SHARE.sub("", re.sub(r"\s+", "", text))
+    bracketed, leading = lex.patterns
+    town = ""
+    found = bracketed.search(text)
+    if found:
+        town = found.group(1)
+        text = text[: found.start()] + text[found.end() :]
+    head, colon, tail = text.partition(":")
+    if colon and tail:
+        text = tail + head if len(tail) > len(head) else head + tail
+    text = _MARKS.sub("", text)
+    if not town:
+        found = leading.match(text)
+        if found and len(text) > found.end():
+            town, text = found.group(1), text[found.end() :]
+    return text, town
+
+
+def _cut_legal(text: str, lex: Lexicon) -> str:
+    """Drop what names end in behind the line of business, also the longer forms with a typing error."""
+    whole = text
+    while True:
+        form = next((f for f in lex.legal if text.endswith(f) and len(text) > len(f) + 1), None)
+        if form is None:
+            break
+        text = text[: -len(form)]
+    if text == whole:
+        for form in [f for f in lex.legal if len(f) >= 4]:
+            for size in (len(form), len(form) - 1, len(form) + 1):
+                if len(text) > size + 3 and damerau(text[-size:], form, 1) <= 1:
+                    return text[:-size]
     return text
 
 
 def parse_name(name: str | None, lex: Lexicon) -> tuple[str, str, str, str] | None:
     """``(kind, stem, a, b)``; unknown parts are empty strings.
 
-    zh: a is the town, b the line of business. latin: a is the line of business. person: stem is the
-    surname, a the given name (or its initial), b the middle initial. None for no value.
+    zh: a is the town, b the line of business. latin: a is the line of business, b the legal form.
+    person: stem is the surname, a the given name (or its initial), b the middle initial. None for no value.
     """
     if name is None:
         return None
     text = transducer()(name).lower()
     if not any(c.isalnum() for c in text):
         return None
-    return _parse_zh(text, lex) if _HAN.search(text) else _parse_latin(text)
+    return _parse_zh(text, lex) if is_han(text) else _parse_latin(text, lex)
 
 
 def _parse_zh(text: str, lex: Lexicon) -> tuple[str, str, str, str]:
-    text = _ST.sub("", text)
-    text = re.sub(r"\s+", "", text)
-    text = _SHARE.sub("", text)
-    town = ""
-    found = lex._bracketed.search(text)
-    if found:
-        town = found.group(1)
-        text = text[: found.start()] + text[found.end() :]
-    head, colon, tail = text.partition(":")
-    if colon and tail:
-        text = tail if any(head.endswith(f) for f in ZH_LEGAL) else head + tail
-    text = re.sub(r"[()〔〕\[\]【】·.,，、:-]+", "", text)
+    text, town = bare_zh(text, lex)
+    while True:
+        opening = next((o for o in lex.opening if text.startswith(o) and len(text) - len(o) >= 2), None)
+        if opening is None:
+            break
+        text = text[len(opening) :]
     if not town:
-        found = lex._leading.match(text)
-        if found and len(text) > found.end():
+        found = lex.patterns[1].match(text)
+        if found and len(text) - found.end() >= 2:
             town, text = found.group(1), text[found.end() :]
-    # business, legal form, then the stem
-    for form in lex._by_length:
+    # line of business and legal form before the stem
+    for form in lex.by_length:
         if text.startswith(form):
             rest = text[len(form) :]
-            for legal in ZH_LEGAL[:7]:
-                if rest.startswith(legal) and 2 <= len(rest) - len(legal) <= 5:
-                    return "zh", rest[len(legal) :], town, lex.forms[form]
-    cut = _cut_legal(text)
-    if cut == text:
-        cut = _cut_damaged_legal(text)
-    text = cut
-    options = [f for f in lex._by_length if text.endswith(f) and len(text) - len(f) >= 2]
+            for legal in lex.legal:
+                if rest.startswith(legal) and len(rest) - len(legal) in lex.stem_sizes:
+                    return "zh", rest[len(legal) :], town, lex.all_forms[form]
+    text = _cut_legal(text, lex)
+    options = [f for f in lex.by_length if text.endswith(f) and len(text) - len(f) >= 2]
     if options:
-        form = next((f for f in options if len(_stem_of(text[: -len(f)])) == 4), options[0])
-        stem, business = _stem_of(text[: -len(form)]), lex.forms[form]
+        form = next((f for f in options if len(text) - len(f) == lex.usual), options[0])
+        stem, business = text[: -len(form)], lex.all_forms[form]
     else:
         stem, business = text, ""
-        sizes = (4, 3, 5) if town else (4, 6, 3, 5, 7)
-        for size in sizes:
-            rest = text[size:]
-            if rest.startswith("集团"):
-                rest = rest[2:]
-            like = lex.business_like(rest) if len(rest) >= 2 else None
+        for size in lex.stem_sizes if town else [*lex.stem_sizes, *(n + 2 for n in lex.stem_sizes), *(n + 3 for n in lex.stem_sizes)]:
+            like = lex.business_like(text[size:]) if len(text) - size >= 2 else None
             if like:
                 stem, business = text[:size], like
                 break
-    if not town and len(stem) > 4:
-        guess = lex.town_like(stem[:-4])
+    if not town and lex.usual and len(stem) > lex.usual:
+        head, tail = stem[: -lex.usual], stem[-lex.usual :]
+        guess = lex.town_like(head)
         if guess:
-            town, stem = guess, stem[-4:]
-        elif len(stem) in (5, 6, 7) and business:
-            # a damaged town that could be several
-            near = [t for t in lex.towns if damerau(stem[:-4], t, 1) <= 1]
-            if near:
-                stem = stem[-4:]
+            town, stem = guess, tail
+        elif business and any(damerau(head, t, 1) <= 1 for t in lex.towns):
+            stem = tail  # a damaged town that could be several
     return "zh", stem, town, business
 
 
-def _stem_of(text: str) -> str:
-    return text[:-2] if text.endswith("集团") and len(text) > 4 else text
-
-
 def _plain(text: str) -> str:
     """Without accents, which are often left out when typing."""
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
-def _latin_business(word: str) -> str | None:
-    if word in LATIN_BUSINESS:
-        return LATIN_BUSINESS[word]
-    if len(word) >= 5:
-        for full, line in LATIN_BUSINESS.items():
-            if len(full) >= 5 and damerau(word, full, 1) <= 1:
-                return line
-    return None
-
-
-def _parse_latin(text: str) -> tuple[str, str, str, str]:
-    person = _parse_person(text)
-    if person:
-        return person
-    flat = re.sub(r"\b(\w)\.\s?(?=\w\.)", r"\1", text)  # g.m.b.h. -> gmbh.
-    words = [w for w in re.split(r"[\s,;&+/()]+", flat.replace(" & ", " ")) if w]
-    words = [w.replace(".", "").strip("-'\"*") for w in words]
-    words = [w for w in words if w and w != "and"]
-    stem, business = [], []
+def latin_words(text: str) -> list[str]:
+    """Words of a name; letters that stand alone one after the other are one word (g. m. b. h., a. k.)."""
+    words = [w for w in re.split(r"[\s,;&+/()\"]+", re.sub(r"(?<=\b\w)\.(?=\w\b)", ". ", text)) if w]
+    out, run = [], ""
     for w in words:
-        if w in LATIN_LEGAL:
+        w = w.replace(".", "").strip("-'\"*")
+        if len(w) == 1:
+            run += w
             continue
-        line = _latin_business(w)
-        if line:
-            business.append(line)
-        else:
-            stem.append(w)
+        if run:
+            out.append(run)
+            run = ""
+        if w:
+            out.append(w)
+    return [*out, run] if run else out
+
+
+def _parse_latin(text: str, lex: Lexicon) -> tuple[str, str, str, str]:
+    words = latin_words(text)
+    slots: dict[str, set[str]] = {"line": set(), "legal": set(), "given": set()}
+    rest, small = [], ""
+    for w in words:
+        found = lex.word(w)
+        if found and found[0] in slots:
+            slots[found[0]].add(found[1])
+        elif found is None and len(w) <= 2:
+            small += w
+        elif found is None:
+            rest.append(w)
+    if len(rest) == 1 and not slots["line"] and not slots["legal"] and len(small) <= 2 and (len(slots["given"]) == 1 or (small and not slots["given"])):
+        given = min(slots["given"], default="")
+        return ("person", _plain(rest[0]), _plain(given), small[:1]) if given and len(small) <= 1 else ("person", _plain(rest[0]), small[:1] if not given else _plain(given), small[1:2])
+    long = [w for w in rest if len(w) >= 6]
+    stem = long if len(long) == 1 else rest
     if not stem:
-        stem, business = words, []
-    if len(stem) > 1:
-        # a damaged legal word is short and not the stem
-        long = [w for w in stem if len(w) >= 6]
-        if len(long) == 1:
-            stem = long
-        elif len(long) > 1:
-            near = [w for w in long if not any(damerau(w, full, 2) <= 2 for full in ("corporation", "incorporated", "aktiengesellschaft", "kabushiki", "limited", "company"))]
-            stem = near or long
-    return "latin", _plain(" ".join(sorted(stem))), " ".join(sorted(set(business))), ""
-
-
-def _parse_person(text: str) -> tuple[str, str, str, str] | None:
-    comma = text.count(",") == 1 and not any(w.strip(".") in LATIN_LEGAL for w in re.split(r"[\s,]+", text))
-    words = [w for w in re.split(r"[\s,]+", re.sub(r"(?<=\b\w)\.(?=\w)", ". ", text)) if w]
-    if len(words) < 2 or len(words) > 4:
-        return None
-    bare = [w.strip(".") for w in words]
-    if any(w in LATIN_LEGAL or _latin_business(w) for w in bare if len(w) > 1):
-        return None
-    if comma:
-        i = next(i for i, w in enumerate(re.split(r"\s+", text)) if w.endswith(",") or "," in w)
-        order = bare[i + 1 :] + bare[: i + 1]
-    else:
-        order = bare
-    givens = [w for w in order if w in GIVEN]
-    small = [w for w in order if len(w) <= 2 and w not in GIVEN]
-    long = [w for w in order if len(w) > 2 and w not in GIVEN]
-    if len(long) == 2 and not givens:
-        # a given name with a typing error
-        near = [(w, g) for w in long for g in set(GIVEN.values()) if damerau(w, g, 1) <= 1]
-        if len(near) == 1:
-            long.remove(near[0][0])
-            givens = [near[0][1]]
-    if len(long) != 1 or len(givens) > 1 or (not givens and not small):
-        return None
-    letters = "".join(small)
-    if not givens and letters in LATIN_LEGAL and not re.match(r"\w\.? \w\.? ", text):
-        return None  # A.G., K.K.
-    if givens:
-        return ("person", _plain(long[0]), GIVEN[givens[0]], letters[:1]) if len(letters) <= 1 else None
-    return ("person", _plain(long[0]), letters[0], letters[1:2]) if len(letters) <= 2 else None
+        stem, slots = words, {"line": set(), "legal": set()}
+    return "latin", _plain(" ".join(sorted(stem))), " ".join(sorted(slots["line"])), " ".join(sorted(slots["legal"]))

@@ -20,17 +20,6 @@ CODE = 12
 RADIUS = {"zh": 1, "latin": 2, "person": 2}
 
 
-def lexicon_of(firms: DataFrame) -> Lexicon:
-    """Towns and lines of business of a clean register of firms.
-
-    The full name is town, short name, line of business and legal form; the distinct towns and lines
-    are few however many firms there are, and only they reach the driver.
-    """
-    town = F.expr("substring(full_name, 1, locate(short_name, full_name) - 1)")
-    rows = firms.where("locate(short_name, full_name) > 1").groupBy(town.alias("t"), "industry").agg(F.count(F.lit(1)).alias("n")).where("industry is not null").collect()
-    return Lexicon(sorted({r["t"] for r in rows}), sorted({r["industry"] for r in rows}))
-
-
 def parse_names(names: DataFrame, lex: Lexicon) -> DataFrame:
     """``space``, ``name_id`` and the parts of every name that has a value."""
 

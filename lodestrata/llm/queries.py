@@ -12,6 +12,7 @@ from ..operators.barrier import broadcast_if_small
 from ..plans.quality_queries import no_value
 from ..session import materialize, table
 from . import leaks, names, packing, reading, survivors, unify
+from .name_lexicon import learn_lexicon
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("LODESTRATA_TOKENIZERS", "/opt/tokenizers")
@@ -78,10 +79,10 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = names.lexicon_of(table(spark, sf_dir, "firms"))
     applicants = table(spark, sf_dir, "applicant_names").select(F.lit("applicant").alias("space"), "name_id", F.col("applicant").alias("name"))
     companies = table(spark, sf_dir, "company_names").select(F.lit("company_name").alias("space"), "name_id", F.col("company_name").alias("name"))
-    return names.linked_names(applicants.unionAll(companies), lex)
+    both = applicants.unionAll(companies)
+    return names.linked_names(both, learn_lexicon(both, table(spark, sf_dir, "firms")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import name_parts as P
 from lodestrata.llm import names as N
-
-LEX = P.Lexicon(["霖江", "琅浦", "沁阳港"], ["新能源", "半导体", "食品", "信息技术"])
+from lodestrata.llm.name_lexicon import learn_lexicon
+
+LEX = P.Lexicon(
+    ["霖江", "琅浦", "沁阳港"], ["新能源", "半导体", "食品", "信息技术"], forms={"半導體": "半导体", "集团食品": "食品"}, legal=["股份有限公司", "有限责任公司", "有限公司", "股份公司", "公司", "有限"], opening=["st"], stem_sizes=[4],
+    latin={
+        "med": ("line", "medical"), "dev": ("line", "medical"), "optics": ("line", "optics"), "energy": ("line", "power"), "power": ("line", "power"), "instr": ("line", "instruments"), "instruments": ("line", "instruments"),
+        "gmbh": ("legal", "gmbh"), "corp": ("legal", "corporation"), "ag": ("legal", "ag"), "inc": ("legal", "inc"), "incorporated": ("legal", "inc"), "the": ("none", "the"), "and": ("none", "and"),
+        "robert": ("given", "robert"), "bob": ("given", "robert"), "alexander": ("given", "alexander"), "michael": ("given", "michael"),
+    },
+)
 
 
 @pytest.mark.parametrize(
@@ -17,8 +25,8 @@ LEX = P.Lexicon(["霖江", "琅浦", "沁阳港"], ["新能源", "半导体", "
     [
         ("霖江市丰骏光睿半导体有限公司", ("zh", "丰骏光睿", "霖江", "半导体")), ("丰骏光睿（霖江）半導體股份公司", ("zh", "丰骏光睿", "霖江", "半导体")), ("有限公司：霖江丰骏光睿半导体", ("zh", "丰骏光睿", "霖江", "半导体")),
         ("霖江半导体公司丰骏光睿", ("zh", "丰骏光睿", "霖江", "半导体")), ("丰骏光睿集团食品公司", ("zh", "丰骏光睿", "", "食品")), ("*ST丰骏光睿", ("zh", "丰骏光睿", "", "")), ("霖 江丰骏光睿信息术技(有限)", ("zh", "丰骏光睿", "霖江", "信息技术")),
-        ("The Zadisebonür Med. Dev. G.m.b.H.", ("latin", "zadisebonur", "medical devices", "")), ("Corp. Bemunizebul Optics", ("latin", "bemunizebul", "optics", "")), ("Bevusomurux", ("latin", "bevusomurux", "", "")),
-        ("Gazalapupix Enerrgy & Power AG", ("latin", "gazalapupix", "energy & power", "")), ("Robert V. Relenifosux", ("person", "relenifosux", "robert", "v")), ("Zakituvikux, Alexander K.", ("person", "zakituvikux", "alexander", "k")),
+        ("The Zadisebonür Med. Dev. G.m.b.H.", ("latin", "zadisebonur", "medical", "gmbh")), ("Corp. Bemunizebul Optics", ("latin", "bemunizebul", "optics", "corporation")), ("Bevusomurux", ("latin", "bevusomurux", "", "")),
+        ("Gazalapupix Enerrgy & Power AG", ("latin", "gazalapupix", "power", "ag")), ("Robert V. Relenifosux", ("person", "relenifosux", "robert", "v")), ("Zakituvikux, Alexander K.", ("person", "zakituvikux", "alexander", "k")),
         ("ＶＵＰＩＶＡＶＥＦＥＸ ＢＯＢ", ("person", "vupivavefex", "robert", "")), ("R. Tagubogesun", ("person", "tagubogesun", "r", "")), (None, None), ("", None), ("--", None),
     ],
 )
@@ -118,3 +126,52 @@ def test_linking(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "space string, name_id bigint, name string")
     assert N.linked_names(df, LEX).count() == 0
+
+
+def typed_names(n=60, seed=9):
+    """Invented names of a made-up trade: towns, lines and legal forms that occur nowhere else."""
+    rng = random.Random(seed)
+    towns, lines, short = ["甲都", "乙津"], ["织造", "船舶修理", "灯具"], {"船舶修理": "船修"}
+    chars = [chr(c) for c in range(0x6000, 0x6100)]
+    firms = [(f"{rng.choice(towns)}", "".join(rng.sample(chars, 3)), rng.choice(lines)) for _ in range(n)]
+    zh = []
+    for town, stem, line in firms:
+        zh += [f"{town}{stem}{line}合作社", f"{town}{stem}{line}联合社", f"{stem}（{town}）{short.get(line, line)}合作社"]
+    word = lambda k: "".join(rng.choice("abdefghiklmnoprstuvz") for _ in range(k))
+    latin, forms = [], {"oy": "osakeyhtio", "as": "aksjeselskap"}
+    trades = {"fishery": "fish", "brewing": "brew", "tanning": "tann"}
+    for _ in range(n):
+        stem, trade, form = word(10), rng.choice(list(trades)), rng.choice(list(forms))
+        latin += [f"{stem} {trade} {form}", f"{stem} {trades[trade]} {form}", f"{stem} {trade} {forms[form]}", f"{stem} {trade}"]
+    given = {"gunnar": "gunni", "ingrid": "inga"}
+    for _ in range(n):
+        surname, first = word(9), rng.choice(list(given))
+        latin += [f"{first} q. {surname}", f"{given[first]} {surname}", f"{first} {surname}"]
+    return firms, zh + latin
+
+
+def test_lexicon_is_learned_from_the_names(spark):
+    firms, names = typed_names()
+    register = spark.createDataFrame([(t + s + line + "合作社", s, line) for t, s, line in firms], "full_name string, short_name string, industry string")
+    lex = learn_lexicon(spark.createDataFrame([(x,) for x in [*names, None, "", "--"]], "name string"), register)
+    assert lex.towns == ["乙津", "甲都"] and set(lex.business) == {"织造", "船舶修理", "灯具"} and lex.stem_sizes == [3]
+    assert {"合作社", "联合社"} <= set(lex.legal) and lex.forms.get("船修") == "船舶修理"
+    same = lambda a, b, slot: lex.latin[a] == lex.latin[b] and lex.latin[a][0] == slot
+    assert same("fishery", "fish", "line") and same("brewing", "brew", "line") and same("oy", "osakeyhtio", "legal") and same("as", "aksjeselskap", "legal")
+    assert same("gunnar", "gunni", "given") and same("ingrid", "inga", "given") and lex.latin["gunnar"] != lex.latin["ingrid"] and lex.latin["fishery"] != lex.latin["brewing"]
+
+
+def test_linking_with_a_learned_lexicon(spark):
+    firms, names = typed_names()
+    register = spark.createDataFrame([(t + s + line + "合作社", s, line) for t, s, line in firms], "full_name string, short_name string, industry string")
+    frame = spark.createDataFrame([("x", i, n) for i, n in enumerate(names)], "space string, name_id bigint, name string")
+    got = {(r.name_id_a, r.name_id_b) for r in N.name_pairs(N.linked_names(frame, learn_lexicon(frame, register))).collect()}
+    starts = [*range(0, 180, 3), *range(180, 420, 4), *range(420, len(names), 3)]
+    want = {p for a, b in zip(starts, [*starts[1:], len(names)]) for p in itertools.combinations(range(a, b), 2)}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(got)
+
+
+def test_lexicon_of_nothing(spark):
+    none = spark.createDataFrame([], "name string")
+    lex = learn_lexicon(none, spark.createDataFrame([], "full_name string, short_name string, industry string"))
+    assert lex == P.Lexicon([], []) and P.parse_name("甲乙丙丁公司", lex) == ("zh", "甲乙丙丁公司", "", "") and P.parse_name("a", lex)[0] == "latin"
