@@ -59,5 +59,5 @@ def distinct_chars(col: Column) -> Column:
 
 
 def token_bucket(token: Column, buckets: int) -> Column:
-    """Bucket of a token under feature hashing."""
-    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+    """Bucket of a token under feature hashing: the first 32 bits of its MD5, so that any engine gives the same."""
+    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")

@@ -113,7 +113,30 @@ def logical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logical_modes(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_delimiters, p3_found, p3_sound, p3_quarantine, p6_found, p6_firms, logical_records)}
+def scanned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text_records written as an export whose abstracts run over two lines, and read back in every mode."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.logical_csv import MODES, read_logical
+
+    path = f"{shared_dir(spark)}/lodestrata-export-{uuid.uuid4().hex}"
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    flat = F.regexp_replace(F.coalesce("abstract_clean", F.lit("")), r"[\r\n]+", " ")
+    at = {0: F.concat(F.lit('="'), F.lpad(F.pmod("text_id", F.lit(1_000_000)).cast("string"), 6, "0"), F.lit('"')), 2: quoted(F.col("company_name")), 16: quoted(F.col("application_no")), 28: quoted(F.concat(flat, F.lit("\n2. "))), 30: F.col("text_id").cast("string")}
+    line = F.concat_ws(",", *[at.get(i, F.lit("")) for i in range(parse_lines.N_FIELDS)])
+    table(spark, sf_dir, "text_records").select(line).write.text(path)
+    out = None
+    for mode in MODES:
+        field = lambda i: F.get("fields", F.lit(i))
+        part = read_logical(spark, path, mode, split_bytes=1 << 20).select(
+            F.lit(mode).alias("mode"), field(0).alias("stkcd_raw"), field(2).alias("company_name"), field(16).alias("application_no"), field(28).alias("abstract"), field(30).alias("last_field"), F.size("fields").alias("n_fields")
+        )
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_delimiters, p3_found, p3_sound, p3_quarantine, p6_found, p6_firms, logical_records, scanned_records)}
 
 # ---- the same in DuckDB -------------------------------------------------------------------------
 
@@ -148,7 +171,12 @@ w AS (SELECT row_id, raw_text, ok, CASE WHEN ok THEN list_transform(regexp_extra
 r AS (SELECT row_id, raw_text, l, CASE WHEN ok IS NULL THEN 'column_count' WHEN NOT ok THEN 'quoting' WHEN len(l) <> 31 THEN 'column_count' WHEN NOT regexp_matches(l[1], '\p{{Nd}}') THEN 'stock_code' WHEN {no_value('l[17]')} THEN 'application_no'
  WHEN {full_date_sql('l[18]')} IS NULL THEN 'application_date' WHEN regexp_matches(l[29], '[\x{{fffd}}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]') THEN 'abstract' END AS fail_reason FROM w)"""
 
+_FLAT = "regexp_replace(coalesce(abstract_clean, ''), '[\\r\\n]+', ' ', 'g')"
 SQL: dict[str, str] = {
+    # prefix keeps the first line only, so what follows it is missing; joined has no break between the lines
+    "scanned_records": f"""SELECT mode, '="' || lpad((text_id % 1000000)::varchar, 6, '0') || '"' AS stkcd_raw, coalesce(company_name, '') AS company_name, coalesce(application_no, '') AS application_no,
+ CASE mode WHEN 'prefix' THEN {_FLAT} WHEN 'joined' THEN {_FLAT} || '2. ' ELSE {_FLAT} || chr(10) || '2. ' END AS abstract, CASE WHEN mode = 'prefix' THEN '' ELSE text_id::varchar END AS last_field, 31 AS n_fields
+ FROM text_records, (SELECT unnest(['prefix', 'full', 'buffered', 'joined']) AS mode)""",
     "p1_found": f"WITH {_PIECES} SELECT rec_id, field_name, pos, ipc_value FROM p WHERE n >= 2",
     "p1_values": f"WITH {_PIECES} SELECT rec_id, field_name, pos, ipc_value FROM p",
     "p3_found": f"WITH {_PARSED} SELECT row_id, fail_reason FROM r WHERE fail_reason IS NOT NULL",

@@ -536,7 +536,7 @@ def ngram_counts(spark, d):
     return tf.groupBy("app").agg(F.count(F.lit(1)).alias("distinct_grams"), F.sum("tf").alias("grams"), F.max("tf").alias("most"))
 
 
-_NOVELTY = f"""{_GRAMS}, ds AS (SELECT DISTINCT date FROM dc), nd AS (SELECT date, count(*) AS n FROM dc WHERE text <> '' GROUP BY 1), hs AS (SELECT ds.date, coalesce(sum(n) OVER (ORDER BY ds.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM ds LEFT JOIN nd USING (date)),
+_BODY = """ds AS (SELECT DISTINCT date FROM dc), nd AS (SELECT date, count(*) AS n FROM dc WHERE text <> '' GROUP BY 1), hs AS (SELECT ds.date, coalesce(sum(n) OVER (ORDER BY ds.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM ds LEFT JOIN nd USING (date)),
 dg AS (SELECT g, date, count(*) AS n FROM tfq GROUP BY ALL), dfq AS (SELECT g, date, coalesce(sum(n) OVER (PARTITION BY g ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS df FROM dg),
 wq AS (SELECT tfq.*, df, tf * (ln((h + 1)::double / (df + 1)) + 1) AS w FROM tfq JOIN dfq USING (g, date) JOIN hs USING (date)), uq AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY app)) AS u FROM wq),
 sd AS (SELECT g, date, sum(u) AS dd FROM uq GROUP BY ALL), ss AS (SELECT g, date, dd, coalesce(sum(dd) OVER (PARTITION BY g ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sd),
@@ -544,6 +544,9 @@ ni AS (SELECT date, sum(2 * s * dd + dd * dd) AS inc FROM ss GROUP BY 1), nn AS
 sq AS (SELECT app, sum(u * s) AS num, sum(CASE WHEN df = 0 THEN tf ELSE 0 END) / sum(tf)::double AS unseen FROM uq JOIN ss USING (g, date) GROUP BY 1),
 nov AS (SELECT app, date, h::bigint AS history_document_count, unseen AS unseen_ngram_share, CASE WHEN h > 0 AND norm2 > 1e-12 THEN num / sqrt(norm2) END AS prior_centroid_similarity,
  1 - CASE WHEN h > 0 AND norm2 > 1e-12 THEN num / sqrt(norm2) END AS prior_centroid_novelty, (h = 0)::int AS history_cold_start_flag FROM dc JOIN hs USING (date) JOIN nn USING (date) LEFT JOIN sq USING (app))"""
+_NOVELTY = f"{_GRAMS}, {_BODY}"
+_BUCKET = "('0x' || left(md5(g), 8))::ubigint % 65536"
+
 
 
 @query(f"{_NOVELTY}\n#SELECT * FROM nov", ("unseen_ngram_share", "prior_centroid_similarity", "prior_centroid_novelty"))
@@ -552,7 +555,10 @@ def pit_text_exact(spark, d):
     return text_records.pit_novelty(_docs(spark, d)[1])
 
 
-@query()
+@query(
+    f"{_GRAMS.replace('tfq AS (', 'gh AS (SELECT app, date, ' + _BUCKET + ' AS g FROM gr), tfq AS (').replace('FROM gr GROUP', 'FROM gh GROUP')}, {_BODY}\n#SELECT * FROM nov",
+    ("unseen_ngram_share", "prior_centroid_similarity", "prior_centroid_novelty"),
+)
 def pit_text_hashed(spark, d):
     """Novelty against earlier texts over 65,536 hashed buckets."""
     return text_records.pit_novelty(_docs(spark, d)[1], buckets=65_536)
@@ -773,7 +779,13 @@ def text_version_periods(spark, d):
     )
 
 
-@query()
+_BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(
+    f"""{S.mapped_characters('kc', 'text_records', 'text_id', 'abstract_clean', S.compatibility_forms())}
+\n#SELECT text_id, trim(regexp_replace(regexp_replace(coalesce(v, ''), '\\p{{C}}', ' ', 'g'), '{_BLANKS}', ' ', 'g')) AS abstract FROM text_records LEFT JOIN kc ON id = text_id"""
+)
 def clean_texts(spark, d):
     """Texts in NFKC form without control characters."""
     from ..functions.text import clean_text

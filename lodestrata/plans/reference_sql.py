@@ -151,6 +151,22 @@ metrics AS (SELECT *, design_patent_count / nullif(eligible_all_patent_count, 0)
  multi_ipc_patent_count / nullif(ipc_coded_patent_count, 0)::double AS multi_ipc_patent_share, novel_patent_count / nullif(multi_ipc_patent_count, 0)::double AS novel_patent_share,
  novel_ipc_pair_count / nullif(all_ipc_pair_count, 0)::double AS novel_pair_share, '1985-01-01' AS history_start_date, (left(quarter, 4)::int <= 1993)::int AS pre_sample_initialization_flag FROM mm)"""
 
+def mapped_characters(name: str, source: str, key: str, text: str, mapping: dict[str, str]) -> str:
+    """CTE ``name`` (``id``, ``v``): a text with characters replaced by a table and composed; null and empty texts have no row."""
+    rows = ", ".join(f"({ord(k)}, " + "'" + v.replace("'", "''") + "')" for k, v in sorted(mapping.items()))
+    cut = f"regexp_extract_all({text}, '(?s).')"
+    return f"""{name}_m(u, t) AS (VALUES {rows}), {name}_c AS (SELECT {key} AS id, unnest({cut}) AS c, generate_subscripts({cut}, 1) AS pos FROM {source} WHERE {text} <> ''),
+{name} AS (SELECT id, nfc_normalize(string_agg(coalesce(t, c), '' ORDER BY pos)) AS v FROM {name}_c LEFT JOIN {name}_m ON unicode(c) = u GROUP BY id)"""
+
+
+def compatibility_forms() -> dict[str, str]:
+    """Every character whose compatibility form is another, by rule of the standard."""
+    import unicodedata
+
+    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, 0x30000) if not 0xAC00 <= c < 0xE000}
+    return {k: v for k, v in forms.items() if k != v}
+
+
 _META = ["stkcd_raw", "stkcd", "company_name", "relation", "relation_type", "listed_parent", "applicant", "applicant_type"]
 
 TEXT = f"""tr AS (SELECT text_id AS ord, trim(application_no) AS application_no, {', '.join(_META)}, {date('application_date')} AS application_date, patent_type_group, coalesce(baseline_eligible, 0) AS baseline_eligible,
