@@ -373,6 +373,29 @@ def unmatched_sample(spark, d):
     return code_metrics.unmatched_sample(_universe(spark, d), table(spark, d, "ipc_dictionary"), 1000).drop("pos")
 
 
+@query(
+    f"""{S.CORE}\n#SELECT 'year' AS kind, year(application_date)::varchar AS part, count(*) AS n, count(publication_no) AS named FROM core WHERE application_date IS NOT NULL GROUP BY ALL
+ UNION ALL SELECT 'quarter', coalesce({S.quarter('application_date')}, 'unknown'), count(*), count(publication_no) FROM core GROUP BY ALL UNION ALL SELECT 'csv', 'all', count(*), count(publication_no) FROM core"""
+)
+def written_and_read(spark, d):
+    """Applications written by year, by quarter and as CSV, and read back: rows and publication numbers per part."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources import sinks
+
+    base = f"{shared_dir(spark)}/lodestrata-sinks-{uuid.uuid4().hex}"
+    core = materialize(records.canonical_core(_records(spark, d)).select("application_no", "application_date", "publication_no"))
+    sinks.write_by_year(core, f"{base}/year")
+    sinks.write_by_quarter(core.withColumn("quarter", quarter_label(F.col("application_date"))), f"{base}/quarter")
+    sinks.write_csv(core, f"{base}/csv")
+    named = [F.count(F.lit(1)).alias("n"), F.count("publication_no").alias("named")]
+    years = sinks.read_known(spark, f"{base}/year").groupBy(F.lit("year").alias("kind"), F.col("application_year").cast("string").alias("part")).agg(*named)
+    quarters = spark.read.parquet(f"{base}/quarter").groupBy(F.lit("quarter").alias("kind"), F.col("application_quarter").alias("part")).agg(*named)
+    text = spark.read.option("header", True).csv(f"{base}/csv").groupBy(F.lit("csv").alias("kind"), F.lit("all").alias("part")).agg(*named)
+    return years.unionAll(quarters).unionAll(text)
+
+
 # ---- audits -------------------------------------------------------------------------------------
 
 
