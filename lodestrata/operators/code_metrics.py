@@ -264,6 +264,19 @@ def quarterly_metrics(core: DataFrame, firm_edge_rows: DataFrame, universe: Data
     )
 
 
+def metrics_of_universe(universe: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
+    """The quarterly row of a universe by itself, from its first to its last quarter.
+
+    Nothing is known of applications outside it, so all eligible ones are its own. An empty universe
+    gives no rows.
+    """
+    first = universe.agg(F.min(quarter_label(F.col("application_date")))).first()[0]
+    core = universe.drop("eligible_firm_count", "all_firm_count")
+    firms = universe.select("application_no", F.lit("").alias("stkcd"), F.lit(1).alias("baseline_eligible"))
+    found = quarterly_metrics(core, firms, universe, edges, events, first or "1985Q1")
+    return found if first else found.limit(0)
+
+
 def rolling_4q(metrics: DataFrame, mass: DataFrame) -> DataFrame:
     """Four-quarter versions: sums, ratios of sums, and diversity over the pooled mass; null for the first three quarters."""
     w = W.orderBy("q").rowsBetween(-3, 0)

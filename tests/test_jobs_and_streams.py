@@ -57,6 +57,19 @@ def test_annual_comparison_in_the_job(spark, config, tmp_path):
         annual_comparison(spark.read.parquet(f"{config.output}/quarterly_metrics"), spark.range(1))
 
 
+def test_metrics_of_a_universe_by_itself(spark, config):
+    from lodestrata.operators.code_metrics import metrics_of_universe
+
+    jobs.run_codes(spark, config)
+    universe, edges, events = (spark.read.parquet(f"{config.output}/{t}") for t in ("patent_universe", "patent_ipc_edge", "patent_ipc_pair"))
+    got = {r.quarter: r for r in metrics_of_universe(universe, edges, events).collect()}
+    whole = {r.quarter: r for r in spark.read.parquet(f"{config.output}/quarterly_base").collect()}
+    assert min(got) == "1985Q1" and max(got) == "1994Q1" and len(got) == 37 and got["1994Q1"].eligible_all_patent_count == 1
+    for c in ("patent_count", "ipc_hhi", "rao_stirling_diversity", "novel_pair_share"):
+        assert got["1994Q1"][c] == whole["1994Q1"][c]
+    assert metrics_of_universe(universe.limit(0), edges.limit(0), events.limit(0)).count() == 0
+
+
 def test_pre_sample_counts_and_quality_audit(spark, config):
     from pathlib import Path
 
