@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .name_parts import Lexicon, bare_zh, is_han, latin_words
+from .name_parts import Lexicon, bare_zh, damerau, is_han, latin_words
 from .unify import transducer
 
 #: A piece of a name is taken as learned from this many stems, or this share of the names if that is more.
@@ -147,15 +147,21 @@ def _listed(df: DataFrame, words: list[str]) -> DataFrame:
 def _common_words(names: DataFrame, words: DataFrame, counts: DataFrame, total: int) -> list[str]:
     """Words of a share COMMON of the names, and rarer ones that stand beside another uncommon word in most of their names.
 
-    A stem stands beside common words; a rare form of a common word stands beside a stem, another one each time.
+    A stem stands beside common words; a rare form of a common word stands beside a stem, another one each
+    time. Rare words of two letters are initials, and those within one edit of a common word typing errors.
     """
     frequent = [r["w"] for r in counts.where(F.col("df") >= max(STEMS + 1, total * COMMON)).select("w").collect()]
     rest = words.where(F.length("w") > 1).join(F.broadcast(_listed(names, frequent)), "w", "left_anti") if frequent else words.where(F.length("w") > 1)
     beside = rest.withColumnRenamed("w", "o").where(F.length("o") > 2)
     others = rest.join(beside, "i").where("w <> o").groupBy("w").agg(F.count_distinct("o").alias("others"))
     least = max(STEMS, total // 50_000)
-    rare = others.where(F.col("others") >= least).join(counts, "w").where(F.col("others") >= 0.5 * F.col("df"))
-    return sorted({*frequent, *(r["w"] for r in rare.select("w").collect())})
+    rare = others.where((F.col("others") >= least) & (F.length("w") > 2)).join(counts, "w").where(F.col("others") >= 0.5 * F.col("df"))
+    found = {r["w"]: r["df"] for r in rare.select("w", "df").collect()}
+    kept = list(frequent)
+    for w in sorted(found, key=lambda w: (-found[w], w)):
+        if len(w) < 5 or not any(abs(len(c) - len(w)) <= 1 and len(c) >= 5 and damerau(c, w, 1) <= 1 for c in kept):
+            kept.append(w)
+    return sorted(kept)
 
 
 def class_words(common: dict[str, tuple[int, int, int]], together: dict[tuple[str, str], int], shared: dict[tuple[str, str], int]) -> dict[str, tuple[str, str]]:

@@ -180,7 +180,9 @@ def _parse_zh(text: str, lex: Lexicon) -> tuple[str, str, str, str]:
     text = _cut_legal(text, lex)
     options = [f for f in lex.by_length if text.endswith(f) and len(text) - len(f) >= 2]
     if options:
-        form = next((f for f in options if len(text) - len(f) == lex.usual), options[0])
+        # a line of the register stands before a form that leaves a stem of the usual length, such as a damaged line
+        whole = options[0] in lex.business and len(text) - len(options[0]) >= lex.usual - 1
+        form = options[0] if whole else next((f for f in options if len(text) - len(f) == lex.usual), options[0])
         stem, business = text[: -len(form)], lex.all_forms[form]
     else:
         stem, business = text, ""
