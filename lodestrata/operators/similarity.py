@@ -27,6 +27,15 @@ def word_vectors(docs: DataFrame) -> DataFrame:
     return w.select("app", "q", "word", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("app")))).alias("x"))
 
 
+def check_vectors(vectors: DataFrame, docs: DataFrame) -> None:
+    """Raise ``ValueError`` unless every vector is that of a document with tokens, in its quarter, with each word once."""
+    words = vectors.select("app", "q", "word")
+    strangers = words.select("app", "q").distinct().join(docs.select("app", "q"), ["app", "q"], "left_anti").limit(1).count()
+    repeated = words.groupBy("app", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if strangers or repeated:
+        raise ValueError("vectors and documents do not fit together")
+
+
 def scores(docs: DataFrame, granted: DataFrame, window: int = 8) -> DataFrame:
     """BS, FS and ``window_complete`` per document.
 

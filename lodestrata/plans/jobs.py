@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -132,33 +133,50 @@ def run_text(spark: SparkSession, config: Config) -> dict:
     return audit
 
 
-def run_similarity(spark: SparkSession, config: Config, tokenize=words) -> dict:
-    """Records to backward and forward similarity, quality, and its summaries. ``tokenize`` maps a text column to tokens."""
-    out = config.output
-    raw = fields_of(read_logical(spark, config.input, "buffered")).where("application_no <> ''")
-    dated = raw.withColumn("date", lenient_date(F.col("application_date"))).withColumn("kind", codes.patent_type_by_prefix(F.col("patent_type")))
-    granted = dated.where((codes.granted_invention(F.col("kind"), F.col("grant_no"), F.col("grant_date")) == 1) & F.col("date").isNotNull())
-    rows = granted.withColumn("text", combine_text(clean_text(F.col("title")), clean_text(F.col("abstract"))))
-    one = rows.groupBy("application_no").agg(
-        F.min("date").alias("date"), F.max_by("text", F.struct(F.length("text"), -F.col("ord"))).alias("text"), F.min_by(F.struct("applicant", "applicant_address"), "ord").alias("who"),
-        F.min(codes.main_group(codes.prefix_code(F.col("ipc_main_raw")))).alias("field"), F.max(codes.eligible_relation(F.col("relation"))).alias("baseline_firm"),
-    )
-    docs = one.select(
-        F.col("application_no").alias("app"), quarter_ordinal(F.col("date")).alias("q"), F.coalesce("field", F.lit("")).alias("field"),
-        keys.applicant_key(F.col("who.applicant"), F.col("who.applicant_address")).alias("applicant"), tokenize(F.col("text")).alias("tokens"), "baseline_firm",
-    )
-    sinks.write_parquet(docs, f"{out}/documents")
+#: Stages of the similarity job in order; each reads what the one before has written.
+STAGES = ("prepare", "vectors", "scores", "summary")
+
+
+def run_similarity(spark: SparkSession, config: Config, tokenize=words, stage: str = "all") -> dict:
+    """Records to backward and forward similarity, quality, and its summaries; ``stage`` runs one of STAGES only.
+
+    ``tokenize`` maps a text column to tokens.
+    """
+    if stage not in (*STAGES, "all"):
+        raise ValueError(f"stage must be one of {', '.join(STAGES)} or all")
+    out, facts = config.output, {"stage": stage, "settings": config.as_dict()}
+    wanted = lambda name: stage in (name, "all")
+    if wanted("prepare"):
+        raw = fields_of(read_logical(spark, config.input, "buffered")).where("application_no <> ''")
+        dated = raw.withColumn("date", lenient_date(F.col("application_date"))).withColumn("kind", codes.patent_type_by_prefix(F.col("patent_type")))
+        granted = dated.where((codes.granted_invention(F.col("kind"), F.col("grant_no"), F.col("grant_date")) == 1) & F.col("date").isNotNull())
+        rows = granted.withColumn("text", combine_text(clean_text(F.col("title")), clean_text(F.col("abstract"))))
+        one = rows.groupBy("application_no").agg(
+            F.min("date").alias("date"), F.max_by("text", F.struct(F.length("text"), -F.col("ord"))).alias("text"), F.min_by(F.struct("applicant", "applicant_address"), "ord").alias("who"),
+            F.min(codes.main_group(codes.prefix_code(F.col("ipc_main_raw")))).alias("field"), F.max(codes.eligible_relation(F.col("relation"))).alias("baseline_firm"),
+        )
+        docs = one.select(
+            F.col("application_no").alias("app"), quarter_ordinal(F.col("date")).alias("q"), F.coalesce("field", F.lit("")).alias("field"),
+            keys.applicant_key(F.col("who.applicant"), F.col("who.applicant_address")).alias("applicant"), tokenize(F.col("text")).alias("tokens"), "baseline_firm",
+        )
+        sinks.write_parquet(docs, f"{out}/documents")
+        edges = dated.where(codes.eligible_relation(F.col("relation")) == 1).select(codes.stock_code(F.col("stkcd_raw")).alias("listed_parent"), F.col("application_no").alias("app")).where("listed_parent is not null").distinct()
+        sinks.write_parquet(edges, f"{out}/firm_documents")
     docs = spark.read.parquet(f"{out}/documents")
-    counts = docs.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
     kept = docs.where(F.size("tokens") > 0)
-    sinks.write_by_quarter(similarity.word_vectors(kept).withColumn("quarter", ordinal_label(F.col("q"))), f"{out}/vectors")
-    sinks.write_parquet(similarity.field_adjusted(similarity.scores(kept, counts, config.window_quarters)), f"{out}/scores")
-    scored = spark.read.parquet(f"{out}/scores")
-    market = similarity.quality_summary(scored.join(kept.where("baseline_firm = 1").select("app"), "app", "left_semi"), ["q"]).withColumn("quarter", ordinal_label(F.col("q")))
-    sinks.write_parquet(market, f"{out}/market")
-    edges = dated.where(codes.eligible_relation(F.col("relation")) == 1).select(codes.stock_code(F.col("stkcd_raw")).alias("listed_parent"), F.col("application_no").alias("app")).where("listed_parent is not null").distinct()
-    sinks.write_parquet(similarity.quality_summary(scored.join(edges, "app"), ["listed_parent", "q"]), f"{out}/firms")
-    facts = {"documents": kept.count(), "scored": scored.where("quality is not null").count(), "settings": config.as_dict()}
+    if wanted("vectors"):
+        sinks.write_by_quarter(similarity.word_vectors(kept).withColumn("quarter", ordinal_label(F.col("q"))), f"{out}/vectors")
+        similarity.check_vectors(spark.read.parquet(f"{out}/vectors"), kept)
+    if wanted("scores"):
+        counts = docs.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+        sinks.write_parquet(similarity.field_adjusted(similarity.scores(kept, counts, config.window_quarters)), f"{out}/scores")
+    if wanted("summary"):
+        scored = spark.read.parquet(f"{out}/scores")
+        market = similarity.quality_summary(scored.join(kept.where("baseline_firm = 1").select("app"), "app", "left_semi"), ["q"]).withColumn("quarter", ordinal_label(F.col("q")))
+        sinks.write_parquet(market, f"{out}/market")
+        sinks.write_parquet(similarity.quality_summary(scored.join(spark.read.parquet(f"{out}/firm_documents"), "app"), ["listed_parent", "q"]), f"{out}/firms")
+        facts["scored"] = scored.where("quality is not null").count()
+    facts["documents"] = kept.count()
     sinks.write_json(spark, f"{out}/manifest.json", facts)
     return facts
 
@@ -181,7 +199,7 @@ def build_dictionary(spark: SparkSession, sources: dict[str, dict[str, str]], ou
     if audits.duplicate_keys(final, ["scheme_version", "ipc_code"]).limit(1).count():
         raise ValueError("a version of the dictionary holds a code twice")
     sinks.write_csv(final, f"{output}/ipc_dictionary_csv")
-    facts = {"codes": final.count()}
+    facts = {"codes": final.count(), "title_zh_status": {r[0]: r[1] for r in final.groupBy("title_zh_status").count().collect()}}
     sinks.write_json(spark, f"{output}/summary.json", facts)
     sinks.write_report(spark, f"{output}/report.md", "Dictionary", facts, {"By version and level": audits.dictionary_summary(final)})
     return facts
@@ -227,6 +245,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("job", choices=["codes", "coverage", "text", "similarity", "audit", "dictionary"])
     parser.add_argument("--config", required=True)
+    parser.add_argument("--stage", choices=[*STAGES, "all"], default="all", help="stage of the similarity job")
     args = parser.parse_args(argv)
     spark = build_session()
     ship_package(spark)
@@ -234,7 +253,8 @@ def main(argv: list[str] | None = None) -> int:
         given = json.loads(Path(args.config).read_text(encoding="utf-8"))
         print(build_dictionary(spark, given["sources"], given["output"]))
         return 0
-    print({"codes": run_codes, "coverage": run_coverage, "text": run_text, "similarity": run_similarity, "audit": run_audit}[args.job](spark, load_config(args.config)))
+    run = {"codes": run_codes, "coverage": run_coverage, "text": run_text, "similarity": partial(run_similarity, stage=args.stage), "audit": run_audit}[args.job]
+    print(run(spark, load_config(args.config)))
     drop_materialized(spark)
     return 0
 

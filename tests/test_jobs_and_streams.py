@@ -118,7 +118,7 @@ def test_dictionary_job(spark, tmp_path):
     (tmp_path / "s.zip").write_bytes(zipped(EN_ipc_scheme_x__xml=FLAT))
     (tmp_path / "v.zip").write_bytes(zipped(valid_symbols__xml='<a><IpcSymbol symbol="H"/></a>'))
     facts = jobs.build_dictionary(spark, {"2026.01": {"scheme": str(tmp_path / "s.zip"), "valid_symbols": str(tmp_path / "v.zip")}}, str(tmp_path / "out"))
-    assert facts == {"codes": 2}
+    assert facts == {"codes": 2, "title_zh_status": {"missing_source": 2}}
     got = {r.ipc_code: (r.is_valid, r.ipc_level, r.main_group_code) for r in spark.read.parquet(str(tmp_path / "out" / "ipc_dictionary")).collect()}
     assert got == {"H": (True, "section", None), "H01L21/3065": (False, "subgroup", "H01L21/00")}
 
@@ -126,6 +126,17 @@ def test_dictionary_job(spark, tmp_path):
 def test_text_similarity_and_audit_jobs(spark, config, tmp_path):
     assert jobs.run_text(spark, config)["history_mismatch_dates"] == 0
     assert jobs.run_similarity(spark, config)["documents"] == 2
+    whole = sorted(map(str, spark.read.parquet(f"{config.output}/scores").collect()))
+    for stage in jobs.STAGES:
+        assert jobs.run_similarity(spark, config, stage=stage)["stage"] == stage
+    assert sorted(map(str, spark.read.parquet(f"{config.output}/scores").collect())) == whole
+    with pytest.raises(ValueError):
+        jobs.run_similarity(spark, config, stage="other")
+    with pytest.raises(ValueError):
+        from lodestrata.operators.similarity import check_vectors
+
+        docs = spark.read.parquet(f"{config.output}/documents")
+        check_vectors(docs.selectExpr("'none' AS app", "q", "'w' AS word"), docs)
     spark.createDataFrame([("A01B1/00", "main_group", True)], "ipc_code string, ipc_level string, is_valid boolean").write.parquet(str(tmp_path / "dict"))
     from dataclasses import replace
 
