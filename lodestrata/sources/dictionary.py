@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 from urllib.parse import quote, unquote
 from xml.etree import ElementTree
@@ -136,34 +137,35 @@ def concordance(content: bytes) -> list[dict]:
     return out
 
 
+# What is not part of a title, taken off in this order.
+_NO_TITLE = [(_VERSION, ""), (re.compile(r"^\s+"), ""), (_SECTION_LEAD, ""), (re.compile(r"^\s*[.·。]+\s*"), ""), (re.compile(r"\s+"), " ")]
+_PAGE = re.compile(r"\d*|.*第\s*\d+\s*页.*")
+
+
+def _line_kind(raw: str) -> tuple[str, str | None, str]:
+    """What a line is (entry, note, text or nothing), the code of an entry, and its words."""
+    line = re.sub(r"\.{4,}.*$", "", raw.strip()).strip()
+    if _PAGE.fullmatch(line) or _VERSION.fullmatch(line):
+        return "nothing", None, ""
+    found = _heading(line)
+    if found:
+        return "entry", *found
+    return ("note" if NOTE.match(line) else "text"), None, line
+
+
 def wrapped_titles(text: str) -> list[dict]:
-    """Codes and titles of running text, titles continued over lines; the longest title of a code stands."""
-    best: dict[str, str] = {}
-    code, parts = None, []
-
-    def close() -> None:
-        if code is not None:
-            title = _VERSION.sub("", " ".join(parts))
-            title = re.sub(r"^\s*[.·。]+\s*", "", _SECTION_LEAD.sub("", title.strip()))
-            title = " ".join(title.split())
-            if code not in best or len(title) > len(best[code]):
-                best[code] = title
-
-    for raw in text.splitlines():
-        line = re.sub(r"\.{4,}.*$", "", raw.strip()).strip()
-        if not line or line.isdigit() or re.search(r"第\s*\d+\s*页", line):
-            continue
-        found = _heading(line)
-        if found:
-            close()
-            code, parts = found[0], [found[1]]
-        elif code is not None and NOTE.match(line):
-            close()
-            code, parts = None, []
-        elif code is not None and not _VERSION.fullmatch(line):
-            parts.append(line)
-    close()
-    return [{"ipc_code": c, "title": best[c]} for c in sorted(best)]
+    """Codes and titles of running text, titles continued over lines; the longest title of a code stands.
+
+    Lines are classed one by one; entries and notes begin a group, and the words of an entry's group are its title.
+    """
+    kinds = pd.DataFrame([_line_kind(raw) for raw in text.splitlines()], columns=["kind", "code", "words"])
+    kinds = kinds[kinds["kind"] != "nothing"]
+    number = kinds["kind"].isin(["entry", "note"]).cumsum()
+    titles = kinds.groupby(number).agg(code=("code", "first"), kind=("kind", "first"), words=("words", " ".join))
+    titles = titles[titles["kind"] == "entry"]
+    rows = [{"ipc_code": c, "title": reduce(lambda t, p: p[0].sub(p[1], t), _NO_TITLE, w).strip()} for c, w in zip(titles["code"], titles["words"])]
+    longest = {r["ipc_code"]: r for r in sorted(reversed(rows), key=lambda r: len(r["title"]))}
+    return [longest[c] for c in sorted(longest)]
 
 
 def _heading(line: str) -> tuple[str, str] | None:

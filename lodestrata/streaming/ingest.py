@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,9 +45,12 @@ def pair_history_stream(pairs: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         before, last, today = state.get if state.exists else (0, None, 0)
-        rows = pd.concat(list(frames)).groupby("application_date").size()
+        # counted frame by frame: a pair with many rows is never held as rows
+        rows: Counter = Counter()
+        for frame in frames:
+            rows.update(frame["application_date"].value_counts().to_dict())
         out = []
-        for date, n in rows.sort_index().items():
+        for date, n in sorted(rows.items()):
             day = str(date)
             if last is None or day > last:
                 before, last, today = before + today, day, 0
