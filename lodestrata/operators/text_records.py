@@ -10,9 +10,12 @@ from ..functions.dates import lenient_date, period_of_year, quarter_label
 from ..functions.keys import joined_values
 from ..functions.values import trim_spaces
 from .barrier import broadcast_if_small
+from .gram_history import BLOCK, SLICE, blocks_of, centroid_scores, part_of
 from ..functions.text import distinct_chars, ngrams_of, token_bucket
 
 META = ["stkcd_raw", "stkcd", "company_name", "relation", "relation_type", "listed_parent", "applicant", "applicant_type"]
+#: Dates up to which a table of one row per date is broadcast.
+DATES = 50_000
 
 
 def prepared(raw: DataFrame, ordinal: str) -> DataFrame:
@@ -34,7 +37,8 @@ def text_core(rows: DataFrame) -> DataFrame:
         F.min("application_date").alias("application_date"),
         F.coalesce(F.min("application_date") != F.max("application_date"), F.lit(False)).cast("int").alias("application_date_conflict"),
         F.max(eligible).alias("any_eligible"),
-        F.count_distinct(F.nullif(F.col("abstract_clean"), F.lit(""))).alias("abstract_version_count"),
+        # a set of digests: counting distinct texts would exchange all texts once more
+        F.size(F.collect_set(F.unhex(F.md5(F.nullif(F.col("abstract_clean"), F.lit("")))))).cast("bigint").alias("abstract_version_count"),
         F.count(F.lit(1)).alias("abstract_source_record_count"),
         *[joined_values(F.col(c), " | ").alias(f"{n}_values") for c, n in (("relation_type", "relation_type"), ("listed_parent", "listed_parent"), ("applicant", "applicant"))],
         F.max("claim_present_flag").alias("claim_present_flag"),
@@ -102,35 +106,27 @@ def ngram_frequencies(docs: DataFrame, low: int = 2, high: int = 4, buckets: int
     return grams.groupBy("app", "date", "g").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def pit_novelty(docs: DataFrame, buckets: int | None = None, count_empty_grams: bool = True, low: int = 2, high: int = 4) -> DataFrame:
+def pit_novelty(docs: DataFrame, buckets: int | None = None, count_empty_grams: bool = True, low: int = 2, high: int = 4, block: int = BLOCK) -> DataFrame:
     """Novelty of every text against the centroid of all texts of strictly earlier dates.
 
     ``docs`` has one row per ``app`` with ``date`` and ``text`` (null or empty texts get counts, no
     scores). A document's weights depend on its own date only, so the centroid is a running sum of
-    daily sums of unit vectors, and its squared norm a running sum of 2 S d + d^2. History counts all
-    non-empty texts, or those with an n-gram only if ``count_empty_grams`` is false. N-grams are of
-    ``low`` to ``high`` characters.
+    daily sums of unit vectors, and its squared norm a running sum of 2 S d + d^2; both are made in
+    blocks of dates of about ``block`` characters (``gram_history``). History counts all non-empty texts, or those with an n-gram
+    only if ``count_empty_grams`` is false. N-grams are of ``low`` to ``high`` characters.
     """
     from ..session import materialize
 
-    has = docs.where(F.coalesce(F.length("text"), F.lit(0)) > 0)
-    tf = materialize(ngram_frequencies(has, low, high, buckets))
-    counted = has if count_empty_grams else tf.select("app", "date").distinct()
-    per_day = docs.select("date").distinct().join(counted.groupBy("date").agg(F.count(F.lit(1)).alias("n")), "date", "left").fillna(0, ["n"])
+    size = F.coalesce(F.length("text"), F.lit(0))
+    counted = size >= (1 if count_empty_grams else low)
+    per_day = docs.where("date is not null").groupBy("date").agg(F.count_if(counted).alias("n"), F.sum(size).alias("chars"))
     days = W.partitionBy(F.lit(1)).orderBy("date").rowsBetween(W.unboundedPreceding, -1)
-    history = per_day.select("date", F.coalesce(F.sum("n").over(days), F.lit(0)).alias("history"))
-    by_gram = W.partitionBy("g").orderBy("date").rowsBetween(W.unboundedPreceding, -1)
-    df = tf.groupBy("g", "date").agg(F.count(F.lit(1)).alias("df_day")).select("g", "date", F.coalesce(F.sum("df_day").over(by_gram), F.lit(0)).alias("df"))
-    weighted = tf.join(df, ["g", "date"]).join(broadcast_if_small(history), "date").withColumn("w", F.col("tf") * (F.log((F.col("history") + 1) / (F.col("df") + 1)) + 1))
-    unit = materialize(weighted.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("app")))).select("app", "date", "g", "tf", "df", "u"))
-    daily = unit.groupBy("g", "date").agg(F.sum("u").alias("d")).select("g", "date", "d", F.coalesce(F.sum("d").over(by_gram), F.lit(0.0)).alias("s"))
-    daily = materialize(daily)
-    norms = daily.groupBy("date").agg(F.sum(2 * F.col("s") * F.col("d") + F.col("d") * F.col("d")).alias("inc"))
-    norms = per_day.select("date").join(norms, "date", "left").fillna(0.0, ["inc"]).select("date", F.coalesce(F.sum("inc").over(days), F.lit(0.0)).alias("norm2"))
-    scored = unit.join(daily.select("g", "date", "s"), ["g", "date"]).groupBy("app", "date").agg(
-        F.sum(F.col("u") * F.col("s")).alias("num"), F.try_divide(F.sum(F.when(F.col("df") == 0, F.col("tf")).otherwise(0)), F.sum("tf")).alias("unseen")
-    )
-    out = docs.select("app", "date").join(history, "date", "left").join(norms, "date", "left").join(scored.drop("date"), "app", "left")
+    per_day = materialize(blocks_of(per_day.withColumn("history", F.coalesce(F.sum("n").over(days), F.lit(0))), block))
+    chars = per_day.agg(F.sum("chars")).first()[0] or 0
+    dated = docs.where(size > 0).join(broadcast_if_small(per_day.select("date", "history", "grp", "parts"), DATES), "date")
+    placed = materialize(dated.select("app", "date", "text", "history", "grp", part_of(F.col("app"), F.col("parts")).alias("part")))
+    scored = centroid_scores(placed, low, high, buckets, max(8, chars // SLICE))
+    out = docs.select("app", "date").join(broadcast_if_small(per_day.select("date", "history"), DATES), "date", "left").join(scored, "app", "left")
     known = (F.col("history") > 0) & (F.col("norm2") > 1e-12) & F.col("num").isNotNull()
     similarity = F.when(known, F.col("num") / F.sqrt("norm2"))
     return out.select(

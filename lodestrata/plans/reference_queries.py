@@ -575,7 +575,7 @@ _BUCKET = "('0x' || left(md5(g), 8))::ubigint % 65536"
 @query(f"{_NOVELTY}\n#SELECT * FROM nov", ("unseen_ngram_share", "prior_centroid_similarity", "prior_centroid_novelty"))
 def pit_text_exact(spark, d):
     """Novelty against earlier texts over exact n-grams."""
-    return text_records.pit_novelty(_docs(spark, d)[1])
+    return text_records.pit_novelty(materialize(_docs(spark, d)[1]))
 
 
 @query(
@@ -584,11 +584,12 @@ def pit_text_exact(spark, d):
 )
 def pit_text_hashed(spark, d):
     """Novelty against earlier texts over 65,536 hashed buckets."""
-    return text_records.pit_novelty(_docs(spark, d)[1], buckets=65_536)
+    return text_records.pit_novelty(materialize(_docs(spark, d)[1]), buckets=65_536)
 
 
 def _scored(spark, d):
-    core, docs = _docs(spark, d)
+    core = materialize(_docs(spark, d)[0])
+    docs = core.select(F.col("application_no").alias("app"), F.col("application_date").alias("date"), F.col("abstract_clean").alias("text"))
     scores = text_records.pit_novelty(docs).drop("date")
     return core.join(scores, F.col("application_no") == F.col("app")).drop("app")
 
