@@ -1,4 +1,4 @@
-"""Hints to the optimizer: filters that stay where they are, broadcasts of a checked size."""
+"""Hints to the optimizer: filters that stay where they are, broadcasts of a checked size, joins without a broadcast."""
 
 from __future__ import annotations
 
@@ -29,3 +29,13 @@ SMALL = 10_000
 def broadcast_if_small(df: DataFrame, bound: int = SMALL) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``bound`` rows, which is counted; else as it is."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def not_sent(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast.
+
+    The optimizer takes a side for as large as the compressed files it is made from, times the share of
+    the columns read; words, variants or links exploded from them are a hundred times that in the
+    driver's memory. So joins of sides that grow with the input are merged, whatever their files weigh.
+    """
+    return df.hint("merge")

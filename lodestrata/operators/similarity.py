@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import bidf
+from .barrier import not_sent
 
 NEAR_ZERO = 1e-12
 
@@ -23,7 +24,7 @@ def word_vectors(docs: DataFrame) -> DataFrame:
     df = tf.groupBy("word", "q").agg(F.count(F.lit(1)).alias("n")).select("word", "q", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("df"))
     per_q = docs.where(size > 0).groupBy("q").agg(F.count(F.lit(1)).alias("n"))
     n_docs = per_q.select("q", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(1)).orderBy("q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("N"))
-    w = tf.join(df, ["word", "q"]).join(n_docs, "q").select("app", "q", "word", (F.col("tf") * bidf(F.col("N"), F.col("df"))).alias("w")).where("w is not null and w <> 0")
+    w = tf.join(not_sent(df), ["word", "q"]).join(n_docs, "q").select("app", "q", "word", (F.col("tf") * bidf(F.col("N"), F.col("df"))).alias("w")).where("w is not null and w <> 0")
     return w.select("app", "q", "word", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("app")))).alias("x"))
 
 
@@ -49,7 +50,7 @@ def scores(docs: DataFrame, granted: DataFrame, window: int = 8) -> DataFrame:
 
     vectors = materialize(word_vectors(docs))
     meta = docs.select("app", "q", F.nullif(F.col("field"), F.lit("")).alias("field"), F.nullif(F.col("applicant"), F.lit("")).alias("applicant"))
-    v = materialize(vectors.join(meta.select("app", "field", "applicant"), "app"))
+    v = materialize(vectors.join(not_sent(meta.select("app", "field", "applicant")), "app"))
 
     def framed(keys: list[str], low: int, high: int, name: str) -> DataFrame:
         rows = v
@@ -57,7 +58,7 @@ def scores(docs: DataFrame, granted: DataFrame, window: int = 8) -> DataFrame:
             rows = rows.where(F.col(k).isNotNull())
         daily = rows.groupBy(*keys, "word", "q").agg(F.sum("x").alias("s"))
         w = W.partitionBy(*keys, "word").orderBy("q").rangeBetween(low, high)
-        return daily.select(*keys, "word", "q", F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias(name))
+        return not_sent(daily.select(*keys, "word", "q", F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias(name)))
 
     joined = (
         v.join(framed(["field"], -window, -1, "s1"), ["field", "word", "q"], "left")
@@ -76,7 +77,7 @@ def scores(docs: DataFrame, granted: DataFrame, window: int = 8) -> DataFrame:
         ((F.col("q") - window >= F.col("q0")) & (F.col("q") + window <= F.col("q1"))).cast("int").alias("window_complete"),
     )
     flat = lambda c: F.when(F.abs(z(c)) < NEAR_ZERO, F.lit(0.0)).otherwise(z(c))
-    return meta.join(sums, "app", "left").join(totals, "q", "left").select(
+    return meta.join(not_sent(sums), "app", "left").join(totals, "q", "left").select(
         "app", "q", "field", "applicant",
         F.when(F.col("field").isNotNull() & (F.col("nb") > 0), flat("b") / F.col("nb")).alias("bs"), F.when(F.col("nf") > 0, flat("f") / F.col("nf")).alias("fs"), "window_complete",
     )
