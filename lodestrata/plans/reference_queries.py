@@ -9,6 +9,7 @@ from ..functions import codes, keys
 from ..functions.dates import lenient_date, period_of_year, quarter_label, quarter_ordinal
 from ..functions.text import words
 from ..operators import audits, code_metrics, records, similarity, text_records
+from ..operators.barrier import not_sent
 from ..session import materialize, table
 from . import reference_sql as S
 
@@ -686,7 +687,7 @@ def _similarity_docs(spark, d):
     granted = core.where((codes.granted_invention(F.col("patent_type_group"), F.col("grant_no"), F.col("grant_date")) == 1) & F.col("application_date").isNotNull())
     granted = granted.select("application_no", quarter_ordinal(F.col("application_date")).alias("q"), F.coalesce("ipc_main_subclass", F.lit("")).alias("field"))
     texts = text_records.text_core(_text(spark, d)).select(F.col("application_no").alias("a"), "abstract_clean", keys.applicant_key(F.col("applicant"), F.lit("")).alias("applicant"), "baseline_eligible")
-    docs = granted.join(texts, F.col("application_no") == F.col("a")).select(F.col("application_no").alias("app"), "q", "field", "applicant", words(F.col("abstract_clean")).alias("tokens"), "baseline_eligible")
+    docs = granted.join(not_sent(texts), F.col("application_no") == F.col("a")).select(F.col("application_no").alias("app"), "q", "field", "applicant", words(F.col("abstract_clean")).alias("tokens"), "baseline_eligible")
     counts = granted.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
     return materialize(docs.where(F.size("tokens") > 0)), counts
 
@@ -742,7 +743,7 @@ def similarity_market(spark, d):
     from ..functions.dates import ordinal_label
 
     docs, scored = _similarity(spark, d)
-    base = scored.join(docs.where("baseline_eligible = 1").select("app"), "app", "left_semi")
+    base = scored.join(not_sent(docs.where("baseline_eligible = 1").select("app")), "app", "left_semi")
     return similarity.quality_summary(base, ["q"]).select(ordinal_label(F.col("q")).alias("quarter"), "patent_count", "quality_mean", "quality_median", "bs_mean", "fs_mean")
 
 
@@ -757,7 +758,7 @@ def similarity_firm(spark, d):
 
     _, scored = _similarity(spark, d)
     edges = records.firm_edges(_records(spark, d)).where("baseline_eligible = 1").select("listed_parent", F.col("application_no").alias("app"))
-    return similarity.quality_summary(scored.join(edges, "app"), ["listed_parent", "q"]).select("listed_parent", ordinal_label(F.col("q")).alias("quarter"), "patent_count", "quality_mean", "quality_median", "bs_mean", "fs_mean")
+    return similarity.quality_summary(scored.join(not_sent(edges), "app"), ["listed_parent", "q"]).select("listed_parent", ordinal_label(F.col("q")).alias("quarter"), "patent_count", "quality_mean", "quality_median", "bs_mean", "fs_mean")
 
 
 # ---- remaining counts, sources and streams ----------------------------------------------------------
