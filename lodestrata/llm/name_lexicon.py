@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.barrier import not_sent
 from ..session import materialize
 from .name_parts import Lexicon, bare_zh, damerau, is_han, latin_words
 from .unify import transducer
@@ -95,7 +96,7 @@ def _learn_han(typed: DataFrame, lex: Lexicon, least: int) -> Lexicon:
     rest = typed.where("stem is null").select("body").distinct()
     windows = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("body") - size + 1)), lambda i: F.struct(i.alias("at"), F.substring("body", i, F.lit(size)).alias("stem")))
     cut = F.flatten(F.array(*[windows(size) for size in stem_sizes[:3]]))
-    found = rest.select("body", F.explode(cut).alias("c")).select("body", "c.at", "c.stem").join(stems, "stem")
+    found = rest.select("body", F.explode(cut).alias("c")).select("body", "c.at", "c.stem").join(not_sent(stems), "stem")
     after = F.expr("substring(body, at + length(stem))")
     endings = F.array(*[F.lit(f) for f in legal]).cast("array<string>")
     ending = F.get(F.filter(endings, lambda f: F.endswith(after, f) & (F.length(after) > F.length(f))), F.lit(0))
@@ -126,10 +127,10 @@ def _learn_latin(typed: DataFrame, lex: Lexicon) -> Lexicon:
     if not often:
         return lex
     # the stem of a name: of its other words the best supported one, then the longest
-    flagged = words.where(F.length("w") > 2).join(F.broadcast(_listed(names, often)), "w", "left_anti").join(counts, "w")
+    flagged = words.where(F.length("w") > 2).join(F.broadcast(_listed(names, often)), "w", "left_anti").join(not_sent(counts), "w")
     stems = flagged.groupBy("i").agg(F.max_by("w", F.struct("df", F.length("w"), "w")).alias("stem"), F.max("df").alias("df"))
     kept = F.array(*[F.lit(w) for w in sorted(often)])
-    slim = materialize(names.join(stems, "i").select("stem", (F.col("df") > 1).alias("again"), F.array_sort(F.array_intersect("words", kept)).alias("c"), (F.size(F.filter(F.array_except("words", kept), lambda w: F.length(w) <= 2)) > 0).alias("initial")))
+    slim = materialize(names.join(not_sent(stems), "i").select("stem", (F.col("df") > 1).alias("again"), F.array_sort(F.array_intersect("words", kept)).alias("c"), (F.size(F.filter(F.array_except("words", kept), lambda w: F.length(w) <= 2)) > 0).alias("initial")))
     spread = {r["w"]: (r["stems"], r["n"], r["initials"]) for r in slim.select("stem", "again", "initial", F.explode("c").alias("w")).groupBy("w").agg(F.count_distinct(F.when(F.col("again"), F.col("stem"))).alias("stems"), F.count(F.lit(1)).alias("n"), F.count_if("initial").alias("initials")).collect()}
     common = {w: s for w, s in spread.items() if s[0] >= STEMS}
     pair = lambda c: F.explode(F.flatten(F.transform(c, lambda a, k: F.transform(F.slice(c, k + 2, F.size(c)), lambda b: F.struct(a.alias("u"), b.alias("v"))))))
@@ -153,9 +154,9 @@ def _common_words(names: DataFrame, words: DataFrame, counts: DataFrame, total:
     frequent = [r["w"] for r in counts.where(F.col("df") >= max(STEMS + 1, total * COMMON)).select("w").collect()]
     rest = words.where(F.length("w") > 1).join(F.broadcast(_listed(names, frequent)), "w", "left_anti") if frequent else words.where(F.length("w") > 1)
     beside = rest.withColumnRenamed("w", "o").where(F.length("o") > 2)
-    others = rest.join(beside, "i").where("w <> o").groupBy("w").agg(F.count_distinct("o").alias("others"))
+    others = rest.join(not_sent(beside), "i").where("w <> o").groupBy("w").agg(F.count_distinct("o").alias("others"))
     least = max(STEMS, total // 50_000)
-    rare = others.where((F.col("others") >= least) & (F.length("w") > 2)).join(counts, "w").where(F.col("others") >= 0.5 * F.col("df"))
+    rare = others.where((F.col("others") >= least) & (F.length("w") > 2)).join(not_sent(counts), "w").where(F.col("others") >= 0.5 * F.col("df"))
     found = {r["w"]: r["df"] for r in rare.select("w", "df").collect()}
     kept = list(frequent)
     for w in sorted(found, key=lambda w: (-found[w], w)):

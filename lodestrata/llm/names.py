@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.barrier import not_sent
 from ..session import materialize
 from .name_parts import Lexicon, damerau, parse_name
 
@@ -128,7 +129,7 @@ def candidate_pairs(placed: DataFrame) -> DataFrame:
 
     keyed = placed.mapInPandas(variants, "cell int, variant string, sid string, code string, stem string, radius int, at_home boolean")
     left, right = keyed.where("at_home").alias("x"), keyed.alias("y")
-    candidates = left.join(right, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.variant") == F.col("y.variant"))).where("x.sid <> y.sid")
+    candidates = left.join(not_sent(right), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.variant") == F.col("y.variant"))).where("x.sid <> y.sid")
     first = F.col("x.sid") < F.col("y.sid")
     pick = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
     (sid_a, sid_b), (code_a, code_b), (s, t) = pick("sid"), pick("code"), pick("stem")
@@ -215,8 +216,8 @@ def linked_names(names: DataFrame, lex: Lexicon) -> DataFrame:
     at = seen.select("nid", "sid")
     links = (
         at.select(F.col("nid").alias("u"), F.col("sid").alias("sid_a"))
-        .join(both, "sid_a")
-        .join(at.select(F.col("nid").alias("v"), F.col("sid").alias("sid_b")), "sid_b")
+        .join(not_sent(both), "sid_a")
+        .join(not_sent(at.select(F.col("nid").alias("v"), F.col("sid").alias("sid_b"))), "sid_b")
         .where("u <> v")
         .select("u", "v", "d")
         .distinct()
@@ -232,21 +233,21 @@ def linked_names(names: DataFrame, lex: Lexicon) -> DataFrame:
                 OR (kind_u = 'person' AND length(stem_u) >= 6))"""
     )
     edges = materialize(
-        links.join(left, F.col("u") == F.col("nid_u")).join(right, F.col("v") == F.col("nid_v")).where(fits).select("u", "v", "d", "full_u", "full_v")
+        links.join(not_sent(left), F.col("u") == F.col("nid_u")).join(not_sent(right), F.col("v") == F.col("nid_v")).where(fits).select("u", "v", "d", "full_u", "full_v")
     )
     rooted = _gather(nodes.where("full"), edges.where("full_u and full_v"))
     rooted = materialize(rooted)
     # incomplete nodes: the one entity among the nearest complete neighbours
-    near = edges.where("not full_u and full_v").join(rooted.select(F.col("nid").alias("v"), "entity"), "v")
+    near = edges.where("not full_u and full_v").join(not_sent(rooted.select(F.col("nid").alias("v"), "entity")), "v")
     best = near.groupBy("u").agg(F.min("d").alias("dm"))
-    tied = near.join(best, "u").where("d = dm").groupBy("u").agg(F.min("entity").alias("e0"), F.max("entity").alias("e1"))
+    tied = near.join(not_sent(best), "u").where("d = dm").groupBy("u").agg(F.min("entity").alias("e0"), F.max("entity").alias("e1"))
     placed = tied.where("e0 = e1").select(F.col("u").alias("nid"), F.col("e0").alias("entity"))
     settled = materialize(rooted.unionByName(placed))
-    loose = nodes.join(settled.select("nid"), "nid", "left_anti")
+    loose = nodes.join(not_sent(settled.select("nid")), "nid", "left_anti")
     loose = materialize(loose)
-    open_edges = edges.join(loose.select(F.col("nid").alias("u")), "u", "left_semi").join(loose.select(F.col("nid").alias("v")), "v", "left_semi")
+    open_edges = edges.join(not_sent(loose.select(F.col("nid").alias("u"))), "u", "left_semi").join(not_sent(loose.select(F.col("nid").alias("v"))), "v", "left_semi")
     entity = settled.unionByName(_gather(loose, open_edges))
-    return parsed.withColumn("nid", node_id).join(entity, "nid").select("space", "name_id", "entity")
+    return parsed.withColumn("nid", node_id).join(not_sent(entity), "nid").select("space", "name_id", "entity")
 
 
 def _gather(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -260,12 +261,12 @@ def _gather(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     degree = edges.groupBy(F.col("u").alias("nid")).agg(F.count(F.lit(1)).alias("deg"))
     known = (F.col("a") != "").cast("int") + (F.length("a") > 1).cast("int") + (F.col("b") != "").cast("int")
     rank = F.struct(known.alias("known"), F.coalesce("deg", F.lit(0)).alias("deg"), F.col("n").alias("n"), F.col("nid").alias("nid"))
-    ranked = nodes.join(degree, "nid", "left").select("nid", rank.alias("rank"))
-    reach = edges.select("u", "v").join(ranked.select(F.col("nid").alias("v"), "rank"), "v").select(F.col("u").alias("nid"), "rank")
+    ranked = nodes.join(not_sent(degree), "nid", "left").select("nid", rank.alias("rank"))
+    reach = edges.select("u", "v").join(not_sent(ranked.select(F.col("nid").alias("v"), "rank")), "v").select(F.col("u").alias("nid"), "rank")
     hop = materialize(ranked.unionAll(reach.select("nid", "rank")).groupBy("nid").agg(F.max("rank").alias("r")).select("nid", F.col("r.nid").alias("entity"), F.lit(True).alias("moved")))
     while True:
         further = hop.select(F.col("nid").alias("entity"), F.col("entity").alias("next"))
-        hop = materialize(hop.join(further, "entity").select("nid", F.col("next").alias("entity"), (F.col("next") != F.col("entity")).alias("moved")))
+        hop = materialize(hop.join(not_sent(further), "entity").select("nid", F.col("next").alias("entity"), (F.col("next") != F.col("entity")).alias("moved")))
         if not hop.where("moved").limit(1).count():
             return hop.select("nid", "entity")
 
@@ -274,4 +275,4 @@ def name_pairs(linked: DataFrame) -> DataFrame:
     """All pairs of names of one entity, the smaller id first."""
     a = linked.select(F.col("space").alias("field_name"), F.col("entity").alias("e"), F.col("name_id").alias("name_id_a"))
     b = linked.select(F.col("space").alias("f"), F.col("entity").alias("e2"), F.col("name_id").alias("name_id_b"))
-    return a.join(b, (F.col("field_name") == F.col("f")) & (F.col("e") == F.col("e2")) & (F.col("name_id_a") < F.col("name_id_b"))).select("field_name", "name_id_a", "name_id_b")
+    return a.join(not_sent(b), (F.col("field_name") == F.col("f")) & (F.col("e") == F.col("e2")) & (F.col("name_id_a") < F.col("name_id_b"))).select("field_name", "name_id_a", "name_id_b")

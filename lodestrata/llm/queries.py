@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import NO_VALUE_MARKS
-from ..operators.barrier import broadcast_if_small
+from ..operators.barrier import broadcast_if_small, not_sent
 from ..plans.quality_queries import no_value
 from ..session import materialize, table
 from . import leaks, names, packing, reading, survivors, unify
@@ -94,7 +94,7 @@ def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every typed name with the smallest name id of its entity and the entity's number of names."""
     linked = _linked(spark, sf_dir)
     heads = linked.groupBy("space", "entity").agg(F.min("name_id").alias("entity_id"), F.count(F.lit(1)).alias("n_names"))
-    return linked.join(heads, ["space", "entity"]).select(F.col("space").alias("field_name"), "name_id", "entity_id", "n_names")
+    return linked.join(not_sent(heads), ["space", "entity"]).select(F.col("space").alias("field_name"), "name_id", "entity_id", "n_names")
 
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,3 +38,14 @@ def test_scores_send_neither_words_nor_documents(spark):
     granted = spark.createDataFrame([(q, 5) for q in range(4)], "q int, n bigint")
     text = plan(similarity.scores(documents(spark, 60), granted, window=2))
     assert not broadcast_of(text, "word") and not broadcast_of(text, "app")
+
+
+def test_variants_of_names_are_not_sent_to_the_driver(spark):
+    from lodestrata.llm import names
+
+    rows = [(f"s{i}", "c" * 12, stem, 2, 0, [0]) for i, stem in enumerate(["harbour", "harbor", "meadow"])]
+    placed = materialize(spark.createDataFrame(rows, "sid string, code string, stem string, radius int, home int, cells array<int>"))
+    text = plan(names.candidate_pairs(placed))
+    assert "BroadcastExchange" not in text and "SortMergeJoin" in text
+    linked = materialize(spark.createDataFrame([("x", 1, "e"), ("x", 2, "e")], "space string, name_id bigint, entity string"))
+    assert "BroadcastExchange" not in plan(names.name_pairs(linked))
