@@ -619,7 +619,8 @@ def text_group_quarter(spark, d):
 
 
 def _text_groups(spark, d, scored):
-    rows = _text(spark, d)
+    # only the keys of the edges are used: their texts need not be exchanged
+    rows = _text(spark, d).withColumn("abstract_clean", F.lit(""))
     edges = text_records.text_firm_edges(rows, scored).select("listed_parent", F.col("application_no").alias("a"))
     return text_records.text_by_quarter(scored.drop("listed_parent").join(edges, F.col("application_no") == F.col("a")), ["listed_parent", "quarter"], TEXT_METRICS, min_group=10)
 
