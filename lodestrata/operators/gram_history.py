@@ -200,9 +200,9 @@ def centroid_scores(docs: DataFrame, low: int, high: int, buckets: int | None, s
 
     app = docs.schema["app"].dataType.simpleString()
     counts = docs.select(*key, "app", "date", "text").groupBy(*key).applyInPandas(count, "grp bigint, part int, slice int, n int, grams binary, counts binary")
-    earlier = materialize(counts.groupBy("slice").applyInPandas(add_counts, "grp bigint, part int, slice int, ids binary, df binary"))
+    earlier = materialize(counts.groupBy("slice").applyInPandas(add_counts, "grp bigint, part int, slice int, ids binary, df binary"), remove_exchanged=True)
     sums = docs.groupBy(*key).cogroup(earlier.groupBy(*key)).applyInPandas(weigh, "grp bigint, part int, slice int, ids binary, sums binary")
-    added = materialize(sums.groupBy("slice").applyInPandas(add_sums, "grp bigint, part int, slice int, s binary, growth double"))
+    added = materialize(sums.groupBy("slice").applyInPandas(add_sums, "grp bigint, part int, slice int, s binary, growth double"), remove_exchanged=True)
     state = earlier.drop("ids").unionByName(added.drop("growth"), allowMissingColumns=True)
     scored = docs.groupBy(*key).cogroup(state.groupBy(*key)).applyInPandas(score, f"app {app}, grp bigint, num double, unseen double, within double")
     groups = added.groupBy("grp").agg(F.sum("growth").alias("growth"))

@@ -27,13 +27,16 @@ def prepared(raw: DataFrame, ordinal: str) -> DataFrame:
     ).where("application_no <> ''")
 
 
-def text_core(rows: DataFrame) -> DataFrame:
-    """One row per application: the longest text, the first eligible record's metadata, the earliest date."""
+def text_core(rows: DataFrame, meta: list[str] = META) -> DataFrame:
+    """One row per application: the longest text, the first eligible record's metadata, the earliest date.
+
+    Only the ``meta`` named are made: columns inside structs are exchanged whether they are used or not.
+    """
     eligible = F.col("baseline_eligible") == 1
-    best = F.struct(F.length("abstract_clean").alias("len"), (-F.col("ord")).alias("o"), F.struct("abstract_clean", "patent_type_group", *META).alias("r"))
+    best = F.struct(F.length("abstract_clean").alias("len"), (-F.col("ord")).alias("o"), F.struct("abstract_clean", "patent_type_group", *meta).alias("r"))
     grouped = rows.groupBy("application_no").agg(
         F.max(best).alias("best"),
-        F.min_by(F.struct(*META), F.when(eligible, F.col("ord"))).alias("rep"),
+        *([F.min_by(F.struct(*meta), F.when(eligible, F.col("ord"))).alias("rep")] if meta else []),
         F.min("application_date").alias("application_date"),
         F.coalesce(F.min("application_date") != F.max("application_date"), F.lit(False)).cast("int").alias("application_date_conflict"),
         F.max(eligible).alias("any_eligible"),
@@ -47,7 +50,7 @@ def text_core(rows: DataFrame) -> DataFrame:
     text = F.col("best.r.abstract_clean")
     return grouped.select(
         "application_no", "application_date", quarter_label(F.col("application_date")).alias("quarter"), F.col("best.r.patent_type_group").alias("patent_type_group"),
-        *[F.coalesce(F.col(f"rep.{c}"), F.col(f"best.r.{c}")).alias(c) for c in META],
+        *[F.coalesce(F.col(f"rep.{c}"), F.col(f"best.r.{c}")).alias(c) for c in meta],
         text.alias("abstract_clean"), F.length(text).alias("abstract_length_chars"), distinct_chars(text).alias("abstract_unique_char_count"),
         "abstract_source_record_count", "abstract_version_count", (F.col("abstract_version_count") > 1).cast("int").alias("abstract_conflict_flag"),
         "relation_type_values", "listed_parent_values", "applicant_values", (F.col("any_eligible") & (F.col("application_date_conflict") == 0)).cast("int").alias("baseline_eligible"),
@@ -113,7 +116,8 @@ def pit_novelty(docs: DataFrame, buckets: int | None = None, count_empty_grams:
     scores). A document's weights depend on its own date only, so the centroid is a running sum of
     daily sums of unit vectors, and its squared norm a running sum of 2 S d + d^2; both are made in
     blocks of dates of about ``block`` characters (``gram_history``). History counts all non-empty texts, or those with an n-gram
-    only if ``count_empty_grams`` is false. N-grams are of ``low`` to ``high`` characters.
+    only if ``count_empty_grams`` is false. N-grams are of ``low`` to ``high`` characters. ``docs`` is
+    read five times, so it should be a table and not a plan: no copy of the texts is written here.
     """
     from ..session import materialize
 
@@ -121,10 +125,10 @@ def pit_novelty(docs: DataFrame, buckets: int | None = None, count_empty_grams:
     counted = size >= (1 if count_empty_grams else low)
     per_day = docs.where("date is not null").groupBy("date").agg(F.count_if(counted).alias("n"), F.sum(size).alias("chars"))
     days = W.partitionBy(F.lit(1)).orderBy("date").rowsBetween(W.unboundedPreceding, -1)
-    per_day = materialize(blocks_of(per_day.withColumn("history", F.coalesce(F.sum("n").over(days), F.lit(0))), block))
+    per_day = materialize(blocks_of(per_day.withColumn("history", F.coalesce(F.sum("n").over(days), F.lit(0))), block), remove_exchanged=True)
     chars = per_day.agg(F.sum("chars")).first()[0] or 0
     dated = docs.where(size > 0).join(broadcast_if_small(per_day.select("date", "history", "grp", "parts"), DATES), "date")
-    placed = materialize(dated.select("app", "date", "text", "history", "grp", part_of(F.col("app"), F.col("parts")).alias("part")))
+    placed = dated.select("app", "date", "text", "history", "grp", part_of(F.col("app"), F.col("parts")).alias("part"))
     scored = centroid_scores(placed, low, high, buckets, max(8, chars // SLICE))
     out = docs.select("app", "date").join(broadcast_if_small(per_day.select("date", "history"), DATES), "date", "left").join(scored, "app", "left")
     known = (F.col("history") > 0) & (F.col("norm2") > 1e-12) & F.col("num").isNotNull()

@@ -544,8 +544,8 @@ def canonical_patents(spark, d):
     return text_records.canonical_patents(_text(spark, d)).select("application_no", "application_date", "application_quarter", "abstract_clean", "applicant", "baseline_firm", "source_record_count")
 
 
-def _docs(spark, d):
-    core = text_records.text_core(_text(spark, d)).where("application_date is not null")
+def _docs(spark, d, meta=()):
+    core = text_records.text_core(_text(spark, d), list(meta)).where("application_date is not null")
     return core, core.select(F.col("application_no").alias("app"), F.col("application_date").alias("date"), F.col("abstract_clean").alias("text"))
 
 
@@ -576,7 +576,7 @@ _BUCKET = "('0x' || left(md5(g), 8))::ubigint % 65536"
 @query(f"{_NOVELTY}\n#SELECT * FROM nov", ("unseen_ngram_share", "prior_centroid_similarity", "prior_centroid_novelty"))
 def pit_text_exact(spark, d):
     """Novelty against earlier texts over exact n-grams."""
-    return text_records.pit_novelty(materialize(_docs(spark, d)[1]))
+    return text_records.pit_novelty(materialize(_docs(spark, d)[1], remove_exchanged=True))
 
 
 @query(
@@ -585,11 +585,11 @@ def pit_text_exact(spark, d):
 )
 def pit_text_hashed(spark, d):
     """Novelty against earlier texts over 65,536 hashed buckets."""
-    return text_records.pit_novelty(materialize(_docs(spark, d)[1]), buckets=65_536)
+    return text_records.pit_novelty(materialize(_docs(spark, d)[1], remove_exchanged=True), buckets=65_536)
 
 
 def _scored(spark, d):
-    core = materialize(_docs(spark, d)[0])
+    core = materialize(_docs(spark, d, text_records.META)[0])
     docs = core.select(F.col("application_no").alias("app"), F.col("application_date").alias("date"), F.col("abstract_clean").alias("text"))
     scores = text_records.pit_novelty(docs).drop("date")
     return core.join(scores, F.col("application_no") == F.col("app")).drop("app")

@@ -45,15 +45,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Spark removes what an execution has exchanged once it has ended; otherwise when the driver happens to collect its garbage.
+REMOVE_EXCHANGED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, remove_exchanged: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage for results that are read several times; the files live in the shared folder,
-    so they survive the loss of an executor.
+    so they survive the loss of an executor. With ``remove_exchanged`` the shuffle files of the write
+    do not stay on disk beside its result.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(REMOVE_EXCHANGED, None)
+    if remove_exchanged:
+        spark.conf.set(REMOVE_EXCHANGED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if remove_exchanged:
+            spark.conf.unset(REMOVE_EXCHANGED) if before is None else spark.conf.set(REMOVE_EXCHANGED, before)
     _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
