@@ -588,11 +588,16 @@ def pit_text_hashed(spark, d):
     return text_records.pit_novelty(materialize(_docs(spark, d)[1], remove_exchanged=True), buckets=65_536)
 
 
+#: What the queries of scored texts read of an application.
+_SCORED_COLUMNS = ["application_no", "application_date", "quarter", "patent_type_group", "relation", "abstract_length_chars", "application_date_conflict", "baseline_eligible"]
+
+
 def _scored(spark, d):
-    core = materialize(_docs(spark, d, text_records.META)[0])
+    """Applications with their scores; the texts, most of the bytes, end with the scoring."""
+    core = materialize(_docs(spark, d, ["relation"])[0].select(*_SCORED_COLUMNS, "abstract_clean"), remove_exchanged=True)
     docs = core.select(F.col("application_no").alias("app"), F.col("application_date").alias("date"), F.col("abstract_clean").alias("text"))
     scores = text_records.pit_novelty(docs).drop("date")
-    return core.join(scores, F.col("application_no") == F.col("app")).drop("app")
+    return core.drop("abstract_clean").join(scores, F.col("application_no") == F.col("app")).drop("app")
 
 
 _SCORED = f"{_NOVELTY}, scd AS (SELECT tc.*, nov.* EXCLUDE (app, date) FROM tc JOIN nov ON app = application_no)"
@@ -615,14 +620,14 @@ sj AS (SELECT sedge.listed_parent, scd.* EXCLUDE (listed_parent) FROM sedge JOIN
 )
 def text_group_quarter(spark, d):
     """Text metrics per listed parent and quarter."""
-    return _text_groups(spark, d, materialize(_scored(spark, d)))
+    return _text_groups(spark, d, materialize(_scored(spark, d), remove_exchanged=True))
 
 
 def _text_groups(spark, d, scored):
-    # only the keys of the edges are used: their texts need not be exchanged
-    rows = _text(spark, d).withColumn("abstract_clean", F.lit(""))
-    edges = text_records.text_firm_edges(rows, scored).select("listed_parent", F.col("application_no").alias("a"))
-    return text_records.text_by_quarter(scored.drop("listed_parent").join(edges, F.col("application_no") == F.col("a")), ["listed_parent", "quarter"], TEXT_METRICS, min_group=10)
+    # only the keys of the edges are used
+    edges = _text(spark, d).where("baseline_eligible = 1").select("listed_parent", F.col("application_no").alias("a")).distinct()
+    held = scored.where("application_date_conflict = 0").join(edges, F.col("application_no") == F.col("a"))
+    return text_records.text_by_quarter(held, ["listed_parent", "quarter"], TEXT_METRICS, min_group=10)
 
 
 @query(
@@ -655,7 +660,7 @@ gq AS (SELECT sedge.listed_parent, quarter, count(*) AS patent_count, (count(*)
 @query(f"{_GROUPS}\n#SELECT quarter, count(DISTINCT listed_parent) AS group_count, avg(low_sample_flag) AS low_sample_share, sum(patent_count)::bigint AS group_patent_count FROM gq GROUP BY 1", ("low_sample_share",))
 def text_group_diagnostics(spark, d):
     """Groups, share of small groups and applications per quarter."""
-    return text_records.group_diagnostics(_text_groups(spark, d, materialize(_scored(spark, d))))
+    return text_records.group_diagnostics(_text_groups(spark, d, materialize(_scored(spark, d), remove_exchanged=True)))
 
 
 @query(

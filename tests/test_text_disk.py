@@ -8,6 +8,7 @@ from test_gram_history import DOCS, texts
 
 from lodestrata import session
 from lodestrata.operators import text_records
+from lodestrata.plans import reference_queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,3 +44,11 @@ def test_core_of_fewer_columns(spark):
         less = text_records.text_core(rows, meta)
         assert set(whole.columns) - set(less.columns) == set(text_records.META) - set(meta)
         assert less.exceptAll(whole.select(less.columns)).isEmpty() and whole.select(less.columns).exceptAll(less).isEmpty()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_scored_rows_hold_no_texts(spark):
+    before = len(session._written(spark))
+    scored = reference_queries._scored(spark, DATA)
+    assert "abstract_clean" not in scored.columns and scored.count() > 0
+    assert sum("abstract_clean" in spark.read.parquet(p).columns or "text" in spark.read.parquet(p).columns for p in session._written(spark)[before:]) == 1
