@@ -650,7 +650,7 @@ dw AS (SELECT *, coalesce(sum(n) OVER (ORDER BY application_date ROWS BETWEEN UN
 )
 def pit_history_audit(spark, d):
     """Structural audit of scored texts."""
-    return text_records.history_audit(materialize(_scored(spark, d)))
+    return text_records.history_audit(materialize(_scored(spark, d), remove_exchanged=True))
 
 
 _GROUPS = f"""{_SCORED}, sedge AS (SELECT DISTINCT tr.listed_parent, tr.application_no FROM tr JOIN tc USING (application_no) WHERE tr.baseline_eligible = 1 AND application_date_conflict = 0),

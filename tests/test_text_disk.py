@@ -52,3 +52,12 @@ def test_scored_rows_hold_no_texts(spark):
     scored = reference_queries._scored(spark, DATA)
     assert "abstract_clean" not in scored.columns and scored.count() > 0
     assert sum("abstract_clean" in spark.read.parquet(p).columns or "text" in spark.read.parquet(p).columns for p in session._written(spark)[before:]) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["pit_text_hashed", "text_market_quarter", "pit_history_audit", "text_period_summary", "text_quality_audit"])
+def test_queries_write_the_texts_once(spark, name):
+    before = len(session._written(spark))
+    reference_queries.QUERIES[name](spark, DATA)
+    tables = [spark.read.parquet(p).columns for p in session._written(spark)[before:]]
+    assert len(tables) > 3 and sum("abstract_clean" in c or "text" in c for c in tables) == 1
