@@ -679,9 +679,9 @@ e AS (SELECT count(*) AS group_rows, count(*) - count(DISTINCT (listed_parent, q
 )
 def text_quality_audit(spark, d):
     """The 22 structural, history and range checks of the text outputs."""
-    scored = materialize(_scored(spark, d))
-    market = materialize(text_records.text_by_quarter(scored, ["quarter"], TEXT_METRICS))
-    return text_records.quality_audit(scored, market, materialize(_text_groups(spark, d, scored)))
+    scored = materialize(_scored(spark, d), remove_exchanged=True)
+    market = materialize(text_records.text_by_quarter(scored, ["quarter"], TEXT_METRICS), remove_exchanged=True)
+    return text_records.quality_audit(scored, market, materialize(_text_groups(spark, d, scored), remove_exchanged=True))
 
 
 # ---- similarity ---------------------------------------------------------------------------------
