@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 
 #: Characters of a block, and of all texts per slice of the grams.
 BLOCK, SLICE = 1_500_000, 5_000_000
+#: Characters of a round at least.
+ROUND = 30_000_000
+#: In the place of a group: all grams of earlier rounds.
+EARLIER = -1
 
 
 def blocks_of(per_day: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -26,6 +31,12 @@ def blocks_of(per_day: DataFrame, block: int = BLOCK) -> DataFrame:
     return per_day.withColumn("grp", F.floor(before / block).cast("bigint") * 2 + heavy.cast("int")).withColumn("parts", parts)
 
 
+def cuts_of(chars: int, block: int, rounds: int, least: int) -> list[int]:
+    """The groups at which a new round begins, for texts of ``chars`` characters, at most ``rounds`` of at least ``least``."""
+    rounds = max(1, min(rounds, chars // least))
+    return [2 * -(-chars * r // (rounds * block)) for r in range(1, rounds)]
+
+
 def part_of(app: Column, parts: Column) -> Column:
     """The part of its group a document belongs to."""
     return F.pmod(F.xxhash64(app), parts).cast("int")
@@ -91,12 +102,19 @@ class Block:
     def packed(self, which: np.ndarray) -> bytes:
         """The grams as bytes: the lengths, then the characters; of buckets their numbers."""
         if self.names is not None:
-            return self.names[which].astype("<i4").tobytes()
-        return self.size[which].tobytes() + "".join(self.strings(which)).encode("utf-8", "surrogatepass")
+            return packed(self.names[which], True)
+        return packed(self.strings(which), False)
+
+
+def packed(grams, hashed: bool) -> bytes:
+    """Grams, or numbers of buckets, as ``unpacked`` reads them."""
+    if hashed:
+        return np.asarray(grams).astype("<i4").tobytes()
+    return np.fromiter(map(len, grams), np.int8, len(grams)).tobytes() + "".join(grams).encode("utf-8", "surrogatepass")
 
 
 def unpacked(body: bytes, n: int, hashed: bool) -> list:
-    """The ``n`` grams of ``Block.packed``."""
+    """The ``n`` grams of ``packed``."""
     if hashed:
         return np.frombuffer(body, "<i4").tolist()
     sizes, text = np.frombuffer(body[:n], np.int8), body[n:].decode("utf-8", "surrogatepass")
@@ -136,16 +154,17 @@ class Weights:
         return product, unseen, within
 
 
-def centroid_scores(docs: DataFrame, low: int, high: int, buckets: int | None, slices: int) -> DataFrame:
+def centroid_scores(docs: DataFrame, low: int, high: int, buckets: int | None, slices: int, cuts: list[int] = ()) -> DataFrame:
     """``app``, ``num``, ``unseen``, ``norm2`` of every document with an n-gram.
 
     ``docs`` has ``app``, ``date``, ``text``, ``history`` (documents of strictly earlier dates), ``grp``
     and ``part`` (``blocks_of``). A block counts its grams; per slice of the grams the counts of earlier
     groups are added up; with them a block weighs its texts and sums the weights; these are added up in
     the same way, and with them a block scores its texts. N-grams are made anew from the texts each time
-    and are never written.
+    and are never written. The groups are taken in rounds that begin at ``cuts``; a round starts from the
+    totals of the grams of those before, so that only what one round has counted and added up is on disk.
     """
-    from ..session import materialize
+    from ..session import discard, materialize
 
     key, hashed = ["grp", "part"], bool(buckets)
 
@@ -170,14 +189,36 @@ def centroid_scores(docs: DataFrame, low: int, high: int, buckets: int | None, s
         n = np.diff(np.r_[b.start, len(b.gram)]).astype("<i4")
         return pd.DataFrame([(*k, i, len(at), b.packed(at), n[at].tobytes()) for i, at in enumerate(b.slots) if len(at)], columns=[*key, "slice", "n", "grams", "counts"])
 
-    def add_counts(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key, ignore_index=True)
-        grams = [unpacked(g, n, hashed) for g, n in zip(rows["grams"].tolist(), rows["n"].tolist())]
-        ids = pd.factorize(np.array([x for g in grams for x in g], object if not hashed else np.int64))[0].astype("<i4")
-        del grams
-        ids = np.split(ids, np.cumsum(rows["n"].to_numpy())[:-1])
-        before, _ = _added(rows["grp"].tolist(), ids, [np.frombuffer(c, "<i4") for c in rows["counts"]], "<i8")
-        return rows[[*key, "slice"]].assign(ids=[i.tobytes() for i in ids], df=[x.tobytes() for x in before])
+    def adders(last: bool) -> tuple[Callable, Callable]:
+        """Those of a round; the last keeps no totals for another."""
+
+        def add_counts(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(key, ignore_index=True)
+            grams = [unpacked(g, n, hashed) for g, n in zip(rows["grams"].tolist(), rows["n"].tolist())]
+            ids, known = pd.factorize(np.array([x for g in grams for x in g], object if not hashed else np.int64))
+            del grams
+            ids = np.split(ids.astype("<i4"), np.cumsum(rows["n"].to_numpy())[:-1])
+            counts = [np.frombuffer(c, "<i8" if g == EARLIER else "<i4") for g, c in zip(rows["grp"].tolist(), rows["counts"].tolist())]
+            before, _, total = _added(rows["grp"].tolist(), ids, counts, "<i8")
+            out = rows[[*key, "slice"]].assign(ids=[i.tobytes() for i in ids], df=[x.tobytes() for x in before], n=0, grams=None, counts=None)
+            if last:
+                return out[out["grp"] != EARLIER]
+            # numbered in order: those of earlier rounds come first and keep their places
+            kept = pd.DataFrame([(EARLIER, 0, rows["slice"][0], None, None, len(known), packed(known, hashed), total.tobytes())], columns=out.columns)
+            return pd.concat([out[out["grp"] != EARLIER].astype({"grams": object, "counts": object}), kept], ignore_index=True)
+
+        def add_sums(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(key, ignore_index=True)
+            sums = [np.frombuffer(x, "<f8") for x in rows["sums"]]
+            ids = [np.frombuffer(i, "<i4") if i is not None else np.arange(len(x)) for i, x in zip(rows["ids"].tolist(), sums)]
+            before, growth, total = _added(rows["grp"].tolist(), ids, sums, "<f8")
+            out = rows[[*key, "slice"]].assign(s=[x.tobytes() for x in before], growth=growth)
+            if last:
+                return out[out["grp"] != EARLIER]
+            kept = pd.DataFrame([(EARLIER, 0, rows["slice"][0], total.tobytes(), 0.0)], columns=out.columns)
+            return pd.concat([out[out["grp"] != EARLIER], kept], ignore_index=True)
+
+        return add_counts, add_sums
 
     def weigh(k: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         _, b, w = weighed(rows, state)
@@ -185,33 +226,48 @@ def centroid_scores(docs: DataFrame, low: int, high: int, buckets: int | None, s
         out = [(*k, i, ids, sums[b.slots[i]].astype("<f8").tobytes()) for i, ids in zip(state["slice"].tolist(), state["ids"].tolist())]
         return pd.DataFrame(out, columns=[*key, "slice", "ids", "sums"])
 
-    def add_sums(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key, ignore_index=True)
-        before, growth = _added(rows["grp"].tolist(), [np.frombuffer(i, "<i4") for i in rows["ids"]], [np.frombuffer(x, "<f8") for x in rows["sums"]], "<f8")
-        return rows[[*key, "slice"]].assign(s=[x.tobytes() for x in before], growth=growth)
-
     def score(k: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         rows, b, w = weighed(rows, state)
         if w is None:
-            return pd.DataFrame([], columns=["app", "grp", "num", "unseen", "within"])
+            return pd.DataFrame([], columns=["app", "grp", "num", "unseen", "within", "growth"])
         num, unseen, within = w.scores(column(state, b, "s", "<f8"), len(rows))
-        out = pd.DataFrame({"app": rows["app"], "grp": k[0], "num": num, "unseen": unseen, "within": within})
-        return out[np.bincount(b.doc, minlength=len(rows)) > 0]
+        out = pd.DataFrame({"app": rows["app"], "grp": k[0], "num": num, "unseen": unseen, "within": within, "growth": 0.0})
+        out = out[np.bincount(b.doc, minlength=len(rows)) > 0].reset_index(drop=True)
+        out.loc[0, "growth"] = state.sort_values("slice")["growth"].sum()
+        return out
 
     app = docs.schema["app"].dataType.simpleString()
-    counts = docs.select(*key, "app", "date", "text").groupBy(*key).applyInPandas(count, "grp bigint, part int, slice int, n int, grams binary, counts binary")
-    earlier = materialize(counts.groupBy("slice").applyInPandas(add_counts, "grp bigint, part int, slice int, ids binary, df binary"), remove_exchanged=True)
-    sums = docs.groupBy(*key).cogroup(earlier.groupBy(*key)).applyInPandas(weigh, "grp bigint, part int, slice int, ids binary, sums binary")
-    added = materialize(sums.groupBy("slice").applyInPandas(add_sums, "grp bigint, part int, slice int, s binary, growth double"), remove_exchanged=True)
-    state = earlier.drop("ids").unionByName(added.drop("growth"), allowMissingColumns=True)
-    scored = docs.groupBy(*key).cogroup(state.groupBy(*key)).applyInPandas(score, f"app {app}, grp bigint, num double, unseen double, within double")
-    groups = added.groupBy("grp").agg(F.sum("growth").alias("growth"))
+    scored, earlier, added, bounds = None, None, None, [None, *cuts, None]
+    for first, end in zip(bounds, bounds[1:]):
+        own, (add_counts, add_sums) = docs, adders(last=end is None)
+        if first is not None:
+            own = own.where(F.col("grp") >= first)
+        if end is not None:
+            own = own.where(F.col("grp") < end)
+        counts = own.select(*key, "app", "date", "text").groupBy(*key).applyInPandas(count, "grp bigint, part int, slice int, n int, grams binary, counts binary")
+        if earlier is not None:
+            counts = counts.unionByName(earlier.where(F.col("grp") == EARLIER).select(counts.columns))
+        was, earlier = earlier, materialize(counts.groupBy("slice").applyInPandas(add_counts, "grp bigint, part int, slice int, ids binary, df binary, n int, grams binary, counts binary"), remove_exchanged=True)
+        discard(was)
+        counted = earlier.where(F.col("grp") != EARLIER).select(*key, "slice", "ids", "df")
+        sums = own.groupBy(*key).cogroup(counted.groupBy(*key)).applyInPandas(weigh, "grp bigint, part int, slice int, ids binary, sums binary")
+        if added is not None:
+            sums = sums.unionByName(added.where(F.col("grp") == EARLIER).select(*key, "slice", F.lit(None).cast("binary").alias("ids"), F.col("s").alias("sums")))
+        was, added = added, materialize(sums.groupBy("slice").applyInPandas(add_sums, "grp bigint, part int, slice int, s binary, growth double"), remove_exchanged=True)
+        discard(was)
+        state = counted.drop("ids").unionByName(added.where(F.col("grp") != EARLIER), allowMissingColumns=True)
+        scores = own.groupBy(*key).cogroup(state.groupBy(*key)).applyInPandas(score, f"app {app}, grp bigint, num double, unseen double, within double, growth double")
+        scores = materialize(scores, remove_exchanged=True)
+        scored = scored.unionByName(scores) if scored is not None else scores
+    discard(earlier)
+    discard(added)
+    groups = scored.groupBy("grp").agg(F.sum("growth").alias("growth"))
     base = groups.select("grp", F.coalesce(F.sum("growth").over(W.partitionBy(F.lit(1)).orderBy("grp").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
-    return scored.join(base, "grp").select("app", "num", "unseen", (F.col("base") + F.col("within")).alias("norm2"))
+    return scored.join(materialize(base, remove_exchanged=True), "grp").select("app", "num", "unseen", (F.col("base") + F.col("within")).alias("norm2"))
 
 
-def _added(groups: list[int], ids: list[np.ndarray], values: list[np.ndarray], kind: str) -> tuple[list[np.ndarray], list[float]]:
-    """For rows in order of group: the sums of earlier groups, and how much the group adds to the squared norm (at its first row)."""
+def _added(groups: list[int], ids: list[np.ndarray], values: list[np.ndarray], kind: str) -> tuple[list[np.ndarray], list[float], np.ndarray]:
+    """For rows in order of group: the sums of earlier groups, how much the group adds to the squared norm (at its first row), and the sums of all."""
     total = np.zeros(max((int(i.max()) + 1 for i in ids if len(i)), default=0), kind)
     before, growth, at = [], [], 0
     while at < len(groups):
@@ -226,4 +282,4 @@ def _added(groups: list[int], ids: list[np.ndarray], values: list[np.ndarray], k
         more = total[touched] - old
         growth += [float(np.sum(2.0 * old * more + more * more)), *[0.0] * (end - at - 1)]
         at = end
-    return before, growth
+    return before, growth, total

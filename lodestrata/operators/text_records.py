@@ -10,7 +10,7 @@ from ..functions.dates import lenient_date, period_of_year, quarter_label
 from ..functions.keys import joined_values
 from ..functions.values import trim_spaces
 from .barrier import broadcast_if_small
-from .gram_history import BLOCK, SLICE, blocks_of, centroid_scores, part_of
+from .gram_history import BLOCK, ROUND, SLICE, blocks_of, centroid_scores, cuts_of, part_of
 from ..functions.text import distinct_chars, ngrams_of, token_bucket
 
 META = ["stkcd_raw", "stkcd", "company_name", "relation", "relation_type", "listed_parent", "applicant", "applicant_type"]
@@ -109,15 +109,16 @@ def ngram_frequencies(docs: DataFrame, low: int = 2, high: int = 4, buckets: int
     return grams.groupBy("app", "date", "g").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def pit_novelty(docs: DataFrame, buckets: int | None = None, count_empty_grams: bool = True, low: int = 2, high: int = 4, block: int = BLOCK) -> DataFrame:
+def pit_novelty(docs: DataFrame, buckets: int | None = None, count_empty_grams: bool = True, low: int = 2, high: int = 4, block: int = BLOCK, rounds: int = 1, least: int = ROUND) -> DataFrame:
     """Novelty of every text against the centroid of all texts of strictly earlier dates.
 
     ``docs`` has one row per ``app`` with ``date`` and ``text`` (null or empty texts get counts, no
     scores). A document's weights depend on its own date only, so the centroid is a running sum of
     daily sums of unit vectors, and its squared norm a running sum of 2 S d + d^2; both are made in
-    blocks of dates of about ``block`` characters (``gram_history``). History counts all non-empty texts, or those with an n-gram
+    blocks of dates of about ``block`` characters, in up to ``rounds`` rounds of ``least`` characters or more (``gram_history``):
+    more rounds need less disk and more reading. History counts all non-empty texts, or those with an n-gram
     only if ``count_empty_grams`` is false. N-grams are of ``low`` to ``high`` characters. ``docs`` is
-    read five times, so it should be a table and not a plan: no copy of the texts is written here.
+    read twice and three times a round, so it should be a table and not a plan: no copy of the texts is written here.
     """
     from ..session import materialize
 
@@ -129,7 +130,7 @@ def pit_novelty(docs: DataFrame, buckets: int | None = None, count_empty_grams:
     chars = per_day.agg(F.sum("chars")).first()[0] or 0
     dated = docs.where(size > 0).join(broadcast_if_small(per_day.select("date", "history", "grp", "parts"), DATES), "date")
     placed = dated.select("app", "date", "text", "history", "grp", part_of(F.col("app"), F.col("parts")).alias("part"))
-    scored = centroid_scores(placed, low, high, buckets, max(8, chars // SLICE))
+    scored = centroid_scores(placed, low, high, buckets, max(8, chars // SLICE), cuts_of(chars, block, rounds, least))
     out = docs.select("app", "date").join(broadcast_if_small(per_day.select("date", "history"), DATES), "date", "left").join(scored, "app", "left")
     known = (F.col("history") > 0) & (F.col("norm2") > 1e-12) & F.col("num").isNotNull()
     similarity = F.when(known, F.col("num") / F.sqrt("norm2"))

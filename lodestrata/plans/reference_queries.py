@@ -592,11 +592,11 @@ def pit_text_hashed(spark, d):
 _SCORED_COLUMNS = ["application_no", "application_date", "quarter", "patent_type_group", "relation", "abstract_length_chars", "application_date_conflict", "baseline_eligible"]
 
 
-def _scored(spark, d):
+def _scored(spark, d, rounds=1):
     """Applications with their scores; the texts, most of the bytes, end with the scoring."""
     core = materialize(_docs(spark, d, ["relation"])[0].select(*_SCORED_COLUMNS, "abstract_clean"), remove_exchanged=True)
     docs = core.select(F.col("application_no").alias("app"), F.col("application_date").alias("date"), F.col("abstract_clean").alias("text"))
-    scores = text_records.pit_novelty(docs).drop("date")
+    scores = text_records.pit_novelty(docs, rounds=rounds).drop("date")
     return core.drop("abstract_clean").join(scores, F.col("application_no") == F.col("app")).drop("app")
 
 
@@ -638,7 +638,7 @@ def _text_groups(spark, d, scored):
 )
 def text_period_summary(spark, d):
     """Text metrics per period."""
-    return text_records.text_period_summary(_scored(spark, d), TEXT_METRICS)
+    return text_records.text_period_summary(_scored(spark, d, rounds=3), TEXT_METRICS)
 
 
 @query(

@@ -67,7 +67,17 @@ def materialize(df: DataFrame, remove_exchanged: bool = False) -> DataFrame:
         if remove_exchanged:
             spark.conf.unset(REMOVE_EXCHANGED) if before is None else spark.conf.set(REMOVE_EXCHANGED, before)
     _written(spark).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._lodestrata_path = path
+    return found
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the files of one result of ``materialize`` that nothing reads any more; none is fine."""
+    if df is not None:
+        target, system = _file(df.sparkSession, df._lodestrata_path)
+        system.delete(target, True)
+        _written(df.sparkSession).remove(df._lodestrata_path)
 
 
 def _written(spark: SparkSession) -> list[str]:

@@ -47,3 +47,27 @@ def test_hashed_blocks_agree_with_one_block(spark):
 def test_no_dates_and_no_texts(spark):
     got = text_records.pit_novelty(spark.createDataFrame([("a", None, "text"), ("b", dt.date(2020, 1, 1), None)], DOCS)).collect()
     assert {(r.app, r.history_document_count, r.prior_centroid_novelty) for r in got} == {("a", None, None), ("b", 0, None)}
+
+
+@pytest.mark.parametrize(("buckets", "block"), [(None, 1), (None, 40), (50, 40)])
+def test_rounds_keep_the_scores_and_a_part_on_disk(spark, buckets, block, monkeypatch):
+    written, materialize = [], session.materialize
+
+    def recorded(df, **options):
+        found = materialize(df, **options)
+        if "slice" in found.columns:
+            written.append(found.where("grp >= 0").select("grp", "part").distinct().count())
+        return found
+
+    docs = spark.createDataFrame(texts(7, 60, 20, 25), DOCS)
+    score = lambda rounds: {r.app: (r.history_document_count, r.unseen_ngram_share, r.prior_centroid_similarity) for r in text_records.pit_novelty(docs, buckets, block=block, rounds=rounds, least=1).collect()}
+    one = score(1)
+    monkeypatch.setattr(session, "materialize", recorded)
+    before = len(session._written(spark))
+    many = score(3)
+    assert one.keys() == many.keys()
+    assert all(many[a] == (n, u if u is None else pytest.approx(u), s if s is None else pytest.approx(s)) for a, (n, u, s) in one.items())
+    # counts and sums of three rounds, none with the blocks of another, and none left
+    counts, sums = written[::2], written[1::2]
+    assert counts == sums and len(counts) == 3 and max(counts) < sum(counts)
+    assert not any("slice" in spark.read.parquet(p).columns for p in session._written(spark)[before:])
